@@ -79,5 +79,10 @@ def words(text: Column, separators: str = SPACE) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), separators), "")
 
 
+def bind(value: Column, f) -> Column:
+    """f(value) with ``value`` computed once, however often f uses it: a lambda's argument is a variable."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

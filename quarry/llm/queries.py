@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import decontaminate, mixing, quality_rules
 from .common import documents
 
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_mixing": lambda spark, d: mixing.op4(documents(spark, d)),
+    "op8_decontaminate": lambda spark, d: decontaminate.op8(documents(spark, d), _table(spark, d, "benchmark")),
     "op10_quality_rules": lambda spark, d: quality_rules.op10(documents(spark, d)),
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_mixing": mixing.OP4_SQL, "op8_decontaminate": decontaminate.OP8_SQL}
