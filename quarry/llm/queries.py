@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality_rules
+from . import decontaminate, mixing, quality_rules, simhash
 from .common import documents
 
 
@@ -17,6 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": lambda spark, d: mixing.op4(documents(spark, d)),
+    "op6_simhash": lambda spark, d: simhash.op6(documents(spark, d)),
     "op8_decontaminate": lambda spark, d: decontaminate.op8(documents(spark, d), _table(spark, d, "benchmark")),
     "op10_quality_rules": lambda spark, d: quality_rules.op10(documents(spark, d)),
 }
