@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality_rules, simhash
+from . import chat, decontaminate, licenses, mixing, quality_rules, simhash
 from .common import documents
 
 
@@ -16,10 +16,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_chat": lambda spark, d: chat.op3(_table(spark, d, "conversations")),
     "op4_mixing": lambda spark, d: mixing.op4(documents(spark, d)),
+    "op5_licenses": lambda spark, d: licenses.op5(documents(spark, d)),
     "op6_simhash": lambda spark, d: simhash.op6(documents(spark, d)),
     "op8_decontaminate": lambda spark, d: decontaminate.op8(documents(spark, d), _table(spark, d, "benchmark")),
     "op10_quality_rules": lambda spark, d: quality_rules.op10(documents(spark, d)),
 }
 
-ORACLES: dict[str, str] = {"op4_mixing": mixing.OP4_SQL, "op8_decontaminate": decontaminate.OP8_SQL}
+ORACLES: dict[str, str] = {"op3_chat": chat.OP3_SQL, "op4_mixing": mixing.OP4_SQL, "op8_decontaminate": decontaminate.OP8_SQL}

@@ -49,3 +49,13 @@ def quality_counts(text):
             covered |= {i, i + 1, i + 2}
     lines = [x for x in text.split("\n") if WORD.search(x)]
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+
+
+def phrase_places(text, phrases):
+    """Words, and (label, first word) of every place."""
+    w = ALNUM.findall((text or "").translate(LOWER))
+    found = []
+    for phrase, label in phrases.items():
+        p = phrase.split()
+        found += [(label, i) for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
+    return w, sorted(found)
