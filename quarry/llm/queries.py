@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, licenses, mixing, quality_rules, simhash
+from . import byte_cnn, chat, decontaminate, html_tree, licenses, mixing, quality_rules, simhash
 from .common import documents
 
 
@@ -16,6 +16,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html": lambda spark, d: html_tree.op1(_table(spark, d, "pages")),
+    "op2_quality": lambda spark, d: byte_cnn.op2(documents(spark, d), _table(spark, d, "labels")),
     "op3_chat": lambda spark, d: chat.op3(_table(spark, d, "conversations")),
     "op4_mixing": lambda spark, d: mixing.op4(documents(spark, d)),
     "op5_licenses": lambda spark, d: licenses.op5(documents(spark, d)),
