@@ -48,20 +48,21 @@ class Layout:
     def __init__(self, texts: list[bytes]) -> None:
         size = np.array([max(1, len(t)) for t in texts], dtype=np.int64)
         self.blocks = -(-size // BLOCK)
-        self.first = np.concatenate([[0], np.cumsum(self.blocks)])
+        room = -(-(size + WIDTH - 1) // BLOCK)  # a window at the end of a text must not see the next text
+        self.first = np.concatenate([[0], np.cumsum(room)])
         total = int(self.first[-1])
         self.bytes = np.zeros((total + 1) * BLOCK, dtype=np.uint8)
         for t, b in zip(texts, self.first):
             self.bytes[b * BLOCK : b * BLOCK + len(t)] = np.frombuffer(t, dtype=np.uint8)
-        owner = np.repeat(np.arange(len(texts)), self.blocks)
+        owner = np.repeat(np.arange(len(texts)), room)
         left = size[owner] - (np.arange(total) - self.first[owner]) * BLOCK
-        self.starts = np.minimum(BLOCK, left)  # window starts inside the text, of each block
-        self.last = np.zeros(total, dtype=bool)  # of its text
-        self.last[self.first[1:] - 1] = True
+        self.starts = np.clip(left, 0, BLOCK)  # window starts inside the text, of each block
+        last = np.zeros(total, dtype=bool)  # of its text
+        last[self.first[:-1] + self.blocks - 1] = True
         # one chunk from each block to the next; a text of one block is one chunk
         alone = self.blocks[owner] == 1
-        self.chunk = np.flatnonzero(~self.last | alone)
-        self.next = np.where(self.last[self.chunk], self.chunk, self.chunk + 1)
+        self.chunk = np.flatnonzero((self.starts > 0) & (~last | alone))
+        self.next = np.where(last[self.chunk], self.chunk, self.chunk + 1)
         self.chunks = np.maximum(1, self.blocks - 1)
         self.first_chunk = np.concatenate([[0], np.cumsum(self.chunks)[:-1]])
 
