@@ -2,15 +2,15 @@
 
 Scratch tables are Parquet folders under ``spark.checkpoint.dir``, which every
 executor and the driver can read, so a lost executor costs a re-read and never
-a result.  They go when the frame that reads them is garbage-collected or, at
-the latest, with the driver process.
+a result.  Results read them lazily, so they stay until ``clear_scratch`` is
+called or the driver process ends.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
-import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,13 +43,25 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_FOLDERS: list[tuple[SparkSession, str]] = []
+
+
+def clear_scratch() -> None:
+    """Remove all scratch tables; results that weren't written by then can't be read any more."""
+    while _FOLDERS:
+        _remove(*_FOLDERS.pop())
+
+
+atexit.register(clear_scratch)
+
+
 class Scratch:
-    """A folder of intermediate tables, removed with the frame it is tied to."""
+    """A folder of intermediate tables."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/quarry-{name}-{uuid.uuid4().hex}"
-        self._gone = weakref.finalize(self, _remove, spark, self.path)
+        _FOLDERS.append((spark, self.path))
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it back: cuts the lineage and survives lost executors."""
@@ -57,17 +69,12 @@ class Scratch:
         return self.load(name)
 
     def load(self, name: str) -> DataFrame:
-        return self.tie(self.spark.read.parquet(f"{self.path}/{name}"))
+        return self.spark.read.parquet(f"{self.path}/{name}")
 
     def drop(self, name: str) -> None:
+        """Remove a table that nothing reads any more."""
         _remove(self.spark, f"{self.path}/{name}")
 
-    def tie(self, df: DataFrame) -> DataFrame:
-        """Keep the folder for as long as ``df`` is referenced."""
-        df._quarry_scratch = self
-        return df
-
-
 
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else."""

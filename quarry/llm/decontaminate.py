@@ -168,7 +168,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.coalesce(n_covered(F.col("starts")), F.lit(0)).cast("bigint").alias("n_hit"),
         F.coalesce(F.sort_array("items"), F.array().cast("array<string>")).alias("items"),
     )
-    return scratch.tie(out)
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "clean")
     found = find_hits(docs, benchmark, scratch).select("_id", "_th")
     keyed = docs.select("*", *_key())
-    return scratch.tie(keyed.join(found, ["_id", "_th"], "left_anti").select(*docs.columns))
+    return keyed.join(found, ["_id", "_th"], "left_anti").select(*docs.columns)
 
 
 def op8(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -185,7 +185,6 @@ def op8(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
-    out._quarry_scratch = scored._quarry_scratch
     return out
 
 

@@ -108,7 +108,7 @@ def mix_sizes(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     out = sizes.join(per.withColumnRenamed("source", "k"), F.col("source").eqNullSafe(F.col("k")))
     copies = F.col("repeats") + (F.col("place") < F.col("below")).cast("bigint")
     out = out.withColumn("taken", F.col("size") * F.least(copies, F.lit(MAX_REPEATS)))
-    return scratch.tie(out.select("doc_id", "source", "size", "source_size", "target", "taken", F.least(copies, F.lit(MAX_REPEATS)).alias("copies")))
+    return out.select("doc_id", "source", "size", "source_size", "target", "taken", F.least(copies, F.lit(MAX_REPEATS)).alias("copies"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0) -> DataFrame:
@@ -125,13 +125,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0)
     joined = docs.join(per, docs["source"].eqNullSafe(F.col("_k")))
     n = F.when(F.size(words(F.col("text"))) > 0, F.least(copies, F.lit(MAX_REPEATS))).otherwise(F.lit(0)).cast("int")
     out = joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), n))).select(*[docs[c] for c in docs.columns])
-    return scratch.tie(out)
+    return out
 
 
 def op4(docs: DataFrame) -> DataFrame:
     mixed = mix_sizes(docs)
     out = mixed.select("doc_id", "size", "source_size", "target", "taken")
-    out._quarry_scratch = mixed._quarry_scratch
     return out
 
 

@@ -177,12 +177,11 @@ def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     p = 1 / (1 + F.exp(-odds))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     out = stats.withColumn("base_failed", failed).withColumn("p_good", p)
-    return scratch.tie(out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold)))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
 
 
 def op10(docs: DataFrame) -> DataFrame:
     scored = quality_rules(docs)
     keep = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good"]
     out = scored.select(*keep)
-    out._quarry_scratch = scored._quarry_scratch
     return out

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_cnn, chat, decontaminate, html_tree, licenses, mixing, quality_rules, repeats, simhash
+from . import byte_cnn, chat, decontaminate, html_tree, licenses, mixing, pitman_yor, quality_rules, repeats, simhash
 from .common import documents
 
 
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": lambda spark, d: mixing.op4(documents(spark, d)),
     "op5_licenses": lambda spark, d: licenses.op5(documents(spark, d)),
     "op6_simhash": lambda spark, d: simhash.op6(documents(spark, d)),
+    "op7_language_model": lambda spark, d: pitman_yor.op7(documents(spark, d)),
     "op8_decontaminate": lambda spark, d: decontaminate.op8(documents(spark, d), _table(spark, d, "benchmark")),
     "op9_repeats": lambda spark, d: repeats.op9(documents(spark, d)),
     "op10_quality_rules": lambda spark, d: quality_rules.op10(documents(spark, d)),

@@ -436,7 +436,7 @@ def find_repeats(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([row, pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], ["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
     out = located(docs, scratch).select("blob", "found").mapInArrow(run, f"row {schema}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
-    return scratch.tie(out)
+    return out
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
@@ -448,7 +448,6 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     kept = found.where((F.col("n_bytes") == 0) | (F.col("n_removed") < F.col("n_bytes")))
     text = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit("")))
     out = kept.select(*(text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
-    out._quarry_scratch = found._quarry_scratch
     return out
 
 
@@ -464,4 +463,4 @@ def op9(docs: DataFrame, **sizes: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     out = located(slim, scratch, **sizes).select("blob", "found").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
-    return scratch.tie(out)
+    return out

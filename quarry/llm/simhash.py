@@ -173,11 +173,10 @@ def near_copies(docs: DataFrame, shingle: int = 5, max_distance: int = 2, blocks
     labelled = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     lowest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = labelled.join(lowest, "root").select("fp", "component_id")
-    return scratch.tie(fps.join(labels, "fp").select("doc_id", "fp", "component_id"))
+    return fps.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
 def op6(docs: DataFrame) -> DataFrame:
     found = near_copies(docs, shingle=3, max_distance=2)
     out = found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-    out._quarry_scratch = found._quarry_scratch
     return out
