@@ -3,8 +3,8 @@
 Restaurants, from the leaves up: one for each class of preceding word (its
 last two bytes, or the start of the text); their common parent over words; and
 below that, as the word restaurant's base measure, a model of spelling, whose
-restaurants stand for the three preceding letters' classes and share parents of
-two, one and no letters.  A text's end is the empty word.  Every probability
+restaurants stand for the classes of four preceding letters (of the fourth, two
+bits) and share parents of three, two, one and no letters.  A text's end is the empty word.  Every probability
 backs off along this chain and sums to one over all words there could be.
 
 Seating is sampled by Gibbs sweeps: all customers of a dish leave their
@@ -15,7 +15,7 @@ Predictive probabilities are averaged over the sweeps after ``BURN_IN``.
 
 What is learnt from the corpus: the counts of all words by class of context,
 which stay distributed (and grow with the corpus), and the customers of the
-spelling model, at most ``2 ** 23`` cells however large the corpus, of which the
+spelling model, at most ``2 ** 25`` cells however large the corpus, of which the
 driver takes a few merged copies.
 
 Texts are packed into pages.  A page sends each of its distinct words once to
@@ -46,7 +46,11 @@ from .common import Scratch
 
 FOLDS, HELD_OUT = 5, 1
 PAGE, PAGE_ROWS, BUCKET = 8_000_000, 16_384, 24_000_000
-CLASSES, ORDER, LETTERS = 64, 3, 32
+CLASSES = 64
+#: Bits of context for each of the preceding letters, the closest first.
+BITS = (5, 5, 5, 2)
+ORDER = len(BITS)
+WIDTH = [sum(BITS[:m]) for m in range(ORDER + 1)]
 BURN_IN, SAMPLES, SINGLE = 2, 3, 64
 #: Concentration of every restaurant; discounts are estimated from counts of counts.
 CONCENTRATION = 1.0
@@ -118,7 +122,7 @@ class Words:
         stream[place < np.repeat(size - 1, size)] = self.data
         kind, context = _CLASS[stream], np.zeros(n, dtype=np.int64)
         for k in range(1, ORDER + 1):
-            context[k:] |= np.where(place[k:] >= k, kind[:-k], 0) << 5 * (k - 1)
+            context[k:] |= np.where(place[k:] >= k, kind[:-k] & ((1 << BITS[k - 1]) - 1), 0) << WIDTH[k - 1]
         return context << 8 | stream, first[:-1], size
 
 
@@ -256,10 +260,10 @@ def seat(n: np.ndarray, p: np.ndarray, concentration: np.ndarray | float, discou
 
 
 class Spelling:
-    """Predictive probabilities of letters after up to three classes of letters."""
+    """Predictive probabilities of letters after up to four classes of letters."""
 
     def __init__(self) -> None:
-        self.row = np.zeros(1 << 5 * ORDER, dtype=np.int32)
+        self.row = np.zeros(1 << WIDTH[ORDER], dtype=np.int32)
         self.table = np.full((1, 256), 1 / 256)
 
     def fit(self, cells: np.ndarray, n: np.ndarray, r: np.random.Generator, before: Spelling | None) -> Spelling:
@@ -272,7 +276,7 @@ class Spelling:
             one, two = int((n == 1).sum()), int((n == 2).sum())
             discount = min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.3
             context = cells >> 8
-            parent = (context & ((1 << 5 * max(m - 1, 0)) - 1)) << 8 | cells & 255
+            parent = (context & ((1 << WIDTH[max(m - 1, 0)]) - 1)) << 8 | cells & 255
             p = before.level(m - 1, parent) if before is not None and m else np.full(len(cells), 1 / 256)
             rooms, room = np.unique(context, return_inverse=True)
             tables = np.bincount(room, minlength=len(rooms)).astype(np.float64)
@@ -286,7 +290,7 @@ class Spelling:
         up_index = np.zeros(1, dtype=np.int32)
         for m, cells, n, t, discount in reversed(levels):
             rooms, room = np.unique(cells >> 8, return_inverse=True)
-            width = 1 << 5 * m
+            width = 1 << WIDTH[m]
             base = up[up_index[rooms & (len(up_index) - 1)]]
             seen, tables = np.bincount(room, weights=n, minlength=len(rooms)), np.bincount(room, weights=t, minlength=len(rooms))
             table = base * ((CONCENTRATION + discount * tables) / (CONCENTRATION + seen))[:, None]

@@ -14,7 +14,7 @@ few, and a window can repeat only where its anchor's hash does.
 2. In a bucket, occurrences of an anchor with the same context (all its windows)
    are repeats but for the first.  Where several contexts share an anchor, the
    first occurrence of each is asked for its bytes.
-3. The contexts of a bucket are put behind each other in document order and
+3. Of a bucket's contexts, windows whose bytes around the anchor recur are put behind each other in document order and
    indexed: suffixes are ordered by their first bytes, by doubling, the
    Burrows-Wheeler transform is read off, and breadth-first backward extension
    of intervals finds the boundaries with common prefixes of 0, 1, 2, ... bytes.
@@ -255,6 +255,34 @@ def _slices(x: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return x[at]
 
 
+def _class(sums: Hashes, low: np.ndarray, high: np.ndarray, anchor: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Windows from low to high that start k to k + 7 bytes before their anchor: first, last, if any, and a hash of the bytes that they share."""
+    a, z = np.maximum(low, anchor - (k + CLASS - 1)), np.minimum(high, anchor - k)
+    ok = a <= z
+    common = anchor[ok] - k
+    return a, z, ok, _mixed(sums.of(common, common + LENGTH - CLASS + 1) + _U(k))
+
+
+def _worth_indexing(x: np.ndarray, start: np.ndarray, size: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of contexts (ranges of ``x``): context, first and last window of each run of classes whose shared bytes occur in another context.
+
+    Equal windows share them, so nothing that repeats is left out; what merely
+    has an anchor in common needs no index.
+    """
+    classes = range(0, SPAN, CLASS)
+    sums, anchor = Hashes(x), start + back
+    keep = np.zeros((len(start), len(classes) + 2), dtype=bool)
+    lows, highs = (np.zeros((len(start), len(classes)), dtype=np.int64) for _ in range(2))
+    for j, k in enumerate(classes):
+        lows[:, j], highs[:, j], ok, common = _class(sums, start, start + size - LENGTH, anchor, k)
+        _, place, count = np.unique(common, return_inverse=True, return_counts=True)
+        keep[np.flatnonzero(ok), j + 1] = count[place] > 1
+    edges = np.diff(keep.astype(np.int8), axis=1)
+    own, begin = np.nonzero(edges == 1)
+    _, end = np.nonzero(edges == -1)
+    return own, lows[own, end - 1], highs[own, begin]
+
+
 def context_packs(joined: DataFrame, buckets: int) -> DataFrame:
     """bucket, page, contexts: the bytes that were asked for.  ``joined`` has page, blob, requests."""
 
@@ -264,27 +292,23 @@ def context_packs(joined: DataFrame, buckets: int) -> DataFrame:
                 _, ids, x, offsets = _unpack(blob.as_buffer())
                 first, back, more, h, crowded = (np.concatenate(c) for c in zip(*(_unblob(r, np.uint32, np.uint8, np.uint8, np.uint64, np.uint8) for r in requests)))
                 first, back, more = first.astype(np.int64), back.astype(np.int64), more.astype(np.int64)
-                low, high, key = first, first + more, h
+                low, high, key, anchor = first, first + more, h, first + back
                 hot = np.flatnonzero(crowded)
                 if len(hot):  # windows by offset of the anchor, eight at a time, with the bytes that they share
                     sums, parts = Hashes(x), []
                     for k in range(0, SPAN, CLASS):
-                        anchor = first[hot] + back[hot]
-                        a, z = np.maximum(first[hot], anchor - (k + CLASS - 1)), np.minimum(first[hot] + more[hot], anchor - k)
-                        z0 = anchor - k
-                        ok = a <= z
-                        common = sums.of(z0[ok], np.minimum(z0[ok] + LENGTH - CLASS + 1, len(x)))
-                        parts.append((a[ok], z[ok], _mixed(h[hot][ok] + common + _U(k))))
+                        a, z, ok, common = _class(sums, low[hot], high[hot], anchor[hot], k)
+                        parts.append((a[ok], z[ok], _mixed(h[hot][ok] + common), anchor[hot][ok]))
                     cold = crowded == 0
-                    low, high, key = (np.concatenate([base[cold], *(p[i] for p in parts)]) for i, base in enumerate((low, high, key)))
+                    low, high, key, anchor = (np.concatenate([base[cold], *(p[i] for p in parts)]) for i, base in enumerate((low, high, key, anchor)))
                 order = np.argsort(low, kind="stable")
-                low, high, key = low[order], high[order], key[order]
+                low, high, key, anchor = low[order], high[order], key[order], anchor[order]
                 owner = np.searchsorted(offsets, low, side="right") - 1
                 bucket = (_mixed(key) % _U(buckets)).astype(np.int64)
                 rows = []
                 for k, i in _by_page(bucket):
                     size = high[i] - low[i] + LENGTH
-                    head = _blob(ids[owner[i]], low[i].astype(np.uint32), size.astype(np.uint8))
+                    head = _blob(ids[owner[i]], low[i].astype(np.uint32), (anchor[i] - low[i]).astype(np.int8), size.astype(np.uint8))
                     rows.append((k, page, head, zstandard.compress(_slices(x, low[i], size).tobytes(), 1)))
                 if rows:
                     c = list(zip(*rows))
@@ -355,17 +379,22 @@ def index_bucket(table: pa.Table) -> pa.Table:
     """A bucket of contexts: by page, ranges of windows that have an earlier equal."""
     heads, pages_, bodies = [], [], []
     for page, head, body in zip(*(table.column(c).to_pylist() for c in ("page", "head", "body"))):
-        heads.append(_unblob(head, np.int64, np.uint32, np.uint8))
+        heads.append(_unblob(head, np.int64, np.uint32, np.int8, np.uint8))
         pages_.append(np.full(len(heads[-1][0]), page, dtype=np.int64))
         bodies.append(np.frombuffer(zstandard.decompress(body), dtype=np.uint8))
-    ids, low, size = (np.concatenate(c) for c in zip(*heads))
+    ids, low, back, size = (np.concatenate(c) for c in zip(*heads))
     page, x, size = np.concatenate(pages_), np.concatenate(bodies), size.astype(np.int64)
     start = np.concatenate([[0], np.cumsum(size)[:-1]])
+    own, first, last = _worth_indexing(x, start, size, back.astype(np.int64))
+    if not len(own):
+        return pa.table({"page": pa.array([], pa.int64()), "ranges": pa.array([], pa.binary())})
+    ids, page, low, start, size = ids[own], page[own], low[own] + (first - start[own]), first, last - first + LENGTH
     order = np.lexsort((low, page, ids))
     page, low, size = page[order], low[order].astype(np.int64), size[order]
+    index_start = np.concatenate([[0], np.cumsum(size)[:-1]])
     t = np.concatenate([_slices(x, start[order], size).astype(np.int16) + 1, np.zeros(1, np.int16)])
     owner = np.repeat(np.arange(len(size)), size)
-    offset = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+    offset = np.arange(len(owner)) - np.repeat(index_start, size)
     window = np.concatenate([offset + LENGTH <= size[owner], [False]])
     ranks, kind = same_prefix_classes(t, LENGTH)
     place = np.where(window[ranks], ranks, len(t))
