@@ -1,7 +1,8 @@
 """LM scoring with a hierarchical Pitman-Yor model.
 
-Restaurants, from the leaves up: one for each class of preceding word (its
-last two bytes, or the start of the text); their common parent over words; and
+Restaurants, from the leaves up: one for each context (a hash of the latest
+word of at most three bytes, of which each language has its own, or the start
+of the text); their common parent over words; and
 below that, as the word restaurant's base measure, a model of spelling, whose
 restaurants stand for the classes of four preceding letters (of the fourth, two
 bits) and share parents of three, two, one and no letters.  A text's end is the empty word.  Every probability
@@ -13,7 +14,7 @@ parent's probability, to a new one, which sends a customer to the parent.  The
 first ``SINGLE`` of them are drawn singly, later ones in blocks of a tenth.
 Predictive probabilities are averaged over the sweeps after ``BURN_IN``.
 
-What is learnt from the corpus: the counts of all words by class of context,
+What is learnt from the corpus: the counts of all words by context,
 which stay distributed (and grow with the corpus), and the customers of the
 spelling model, at most ``2 ** 25`` cells however large the corpus, of which the
 driver takes a few merged copies.
@@ -46,7 +47,8 @@ from .common import Scratch
 
 FOLDS, HELD_OUT = 5, 1
 PAGE, PAGE_ROWS, BUCKET = 8_000_000, 16_384, 24_000_000
-CLASSES = 64
+#: Contexts: the start of a text and hashes of its latest short word.
+CLASSES, SHORT = 128, 3
 #: Bits of context for each of the preceding letters, the closest first.
 BITS = (5, 5, 5, 2)
 ORDER = len(BITS)
@@ -98,14 +100,14 @@ class Words:
         n = len(self.offsets) - 1
         return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.ascontiguousarray(self.offsets.astype(np.int32))), pa.py_buffer(np.ascontiguousarray(self.data))])
 
-    def from_end(self, k: int) -> np.ndarray:
-        """The k-th last byte of each, 0 if there is none."""
-        at = self.offsets[1:] - k
-        return np.where(at >= self.offsets[:-1], self.data[np.maximum(at, 0)] if len(self.data) else 0, 0).astype(np.int64)
-
     def classes(self) -> np.ndarray:
-        """The class that a word gives to the next; 0 is the start of a text."""
-        return 1 + (self.from_end(1) * 37 + self.from_end(2) * 11) % (CLASSES - 1)
+        """The context that a short word gives to the words behind it, 0 for other words."""
+        size = np.diff(self.offsets)
+        short = np.flatnonzero((size > 0) & (size <= SHORT))
+        out = np.zeros(len(size), dtype=np.int64)
+        raw, o = self.data.tobytes(), self.offsets
+        out[short] = [1 + zlib.crc32(raw[o[i] : o[i + 1]]) % (CLASSES - 1) for i in short]
+        return out
 
     def hashes(self) -> np.ndarray:
         raw = self.data.tobytes()
@@ -158,8 +160,11 @@ def pages(docs: DataFrame, page_bytes: int = PAGE) -> DataFrame:
                 part = b.slice(start, end - start)
                 ids = part.column("doc_id").to_pylist()
                 words, codes, tokens = tokenise(part.column("text"))
-                previous = np.concatenate([[0], words.classes()[codes[:-1]]])
-                previous[np.concatenate([[0], np.cumsum(tokens)[:-1]])] = 0
+                own = words.classes()[codes]
+                begins = np.concatenate([[0], np.cumsum(tokens)[:-1]])
+                latest = np.maximum.accumulate(np.where(own > 0, np.arange(len(own)), -1))
+                latest = np.concatenate([[-1], latest[:-1]])  # of the tokens before
+                previous = np.where(latest >= np.repeat(begins, tokens), own[latest], 0)
                 out = held_out(ids)
                 pair, place = np.unique(codes * CLASSES + previous, return_inverse=True)
                 trained = np.bincount(place, weights=~np.repeat(out, tokens), minlength=len(pair)).astype(np.uint32)

@@ -15,8 +15,8 @@ SCHEMA = "doc_id bigint, text string, page string, score int"
 
 def test_base_and_perplexity(spark):
     r = random.Random(8)
-    # two dialects, so that the word before tells something
-    forms = [[f"{s}{k}{e}" for k in range(300)] for s, e in (("ba", "xo"), ("ki", "mu"))]
+    # two dialects with a short word each, so that the words before tell something
+    forms = [[d if k % 4 == 0 else f"{s}{k}{e}" for k in range(300)] for s, e, d in (("ba", "xo", "da"), ("ki", "mu", "ne"))]
     rows = []
     for i in range(400):
         w = forms[i % 2]
