@@ -64,7 +64,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     )
     level = F.when(F.col("total") > F.col("stopped"), (F.col("total") - F.col("stopped")) / F.col("open")).otherwise(F.lit(0.0))
     per = per.withColumn("level", level)
-    per = per.withColumn("level", F.min(F.when(F.col("level") <= F.col("stop"), F.col("level"))).over(everything))
+    whole = before.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    per = per.withColumn("level", F.first(F.when(F.col("level") <= F.col("stop"), F.col("level")), ignorenulls=True).over(whole))
     fill = F.when(F.col("level") < F.col("stop"), F.col("level") * F.col("weight")).otherwise(F.col("cap"))
     per = per.withColumn("target", fill)
     repeats = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
@@ -147,7 +148,8 @@ s3 AS (SELECT *, CAST(sum(source_size) OVER () AS DOUBLE) AS total,
          sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY stop, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open
        FROM s2),
 s4 AS (SELECT *, CASE WHEN total > stopped THEN (total - stopped) / CAST(open AS DOUBLE) ELSE 0e0 END AS own FROM s3),
-s5 AS (SELECT *, min(CASE WHEN own <= stop THEN own END) OVER () AS level FROM s4),
+s5 AS (SELECT *, first_value(CASE WHEN own <= stop THEN own END IGNORE NULLS) OVER (ORDER BY stop, source NULLS LAST
+         ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS level FROM s4),
 s6 AS (SELECT *, CASE WHEN level < stop THEN level * weight ELSE cap END AS target FROM s5),
 s7 AS (SELECT *, CASE WHEN source_size > 0 THEN least(CAST(floor(target / source_size) AS BIGINT), 3) ELSE 0 END AS repeats FROM s6),
 u AS (SELECT d.source, place, sum(size) AS s, min(target - repeats * source_size) AS lft
