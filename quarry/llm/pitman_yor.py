@@ -83,6 +83,7 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
         self.data, self.offsets = data, offsets
+        self._spelt: tuple[np.ndarray, ...] | None = None
 
     @classmethod
     def of(cls, array: pa.Array) -> Words:
@@ -114,8 +115,14 @@ class Words:
         o = self.offsets.tolist()
         return np.fromiter((xxhash.xxh64_intdigest(raw[a:z]) for a, z in zip(o, o[1:])), dtype=np.uint64, count=len(o) - 1)
 
-    def letters(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Cells (context << 8 | letter) of the spelling with its closing space, and where each word's begin and how many they are."""
+    def letters(self) -> tuple[np.ndarray, ...]:
+        """Distinct cells (context << 8 | letter) of spellings with their closing space, the number of each letter's, and where each word's letters begin and how many they are."""
+        if self._spelt is None:
+            cells, first, size = self._cells()
+            self._spelt = (*np.unique(cells, return_inverse=True), first, size)
+        return self._spelt
+
+    def _cells(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         size = np.diff(self.offsets) + 1
         first = np.concatenate([[0], np.cumsum(size)])
         n = int(first[-1])
@@ -268,8 +275,7 @@ class Spelling:
     """Predictive probabilities of letters after up to four classes of letters."""
 
     def __init__(self) -> None:
-        self.row = np.zeros(1 << WIDTH[ORDER], dtype=np.int32)
-        self.table = np.full((1, 256), 1 / 256)
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def fit(self, cells: np.ndarray, n: np.ndarray, r: np.random.Generator, before: Spelling | None) -> Spelling:
         """One sweep over the restaurants, leaves first; ``before`` gives the parents' probabilities."""
@@ -282,7 +288,7 @@ class Spelling:
             discount = min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.3
             context = cells >> 8
             parent = (context & ((1 << WIDTH[max(m - 1, 0)]) - 1)) << 8 | cells & 255
-            p = before.level(m - 1, parent) if before is not None and m else np.full(len(cells), 1 / 256)
+            p = before.of(parent, m - 1) if before is not None and m else np.full(len(cells), 1 / 256)
             rooms, room = np.unique(context, return_inverse=True)
             tables = np.bincount(room, minlength=len(rooms)).astype(np.float64)
             t = seat(n, p, CONCENTRATION, discount, tables[room] - 1, r)
@@ -290,38 +296,30 @@ class Spelling:
             if m:
                 cells, place = np.unique(parent, return_inverse=True)
                 n = np.bincount(place, weights=t, minlength=len(cells))
-        out.levels = {}
-        up = np.full((1, 256), 1 / 256)
-        up_index = np.zeros(1, dtype=np.int32)
         for m, cells, n, t, discount in reversed(levels):
             rooms, room = np.unique(cells >> 8, return_inverse=True)
-            width = 1 << WIDTH[m]
-            base = up[up_index[rooms & (len(up_index) - 1)]]
             seen, tables = np.bincount(room, weights=n, minlength=len(rooms)), np.bincount(room, weights=t, minlength=len(rooms))
-            table = base * ((CONCENTRATION + discount * tables) / (CONCENTRATION + seen))[:, None]
-            table[room, cells & 255] += np.maximum(0, n - discount * t) / (CONCENTRATION + seen)[room]
-            index = (up_index[np.arange(width) & (len(up_index) - 1)] + len(rooms)).astype(np.int32)
-            index[rooms] = np.arange(len(rooms))
-            up, up_index = np.concatenate([table, up]), index
-            out.levels[m] = (up_index, up)
-        out.row, out.table = up_index, up.astype(np.float32)
+            share = np.ones(1 << WIDTH[m], dtype=np.float32)  # of the parent's probabilities, in empty restaurants all
+            share[rooms] = (CONCENTRATION + discount * tables) / (CONCENTRATION + seen)
+            own = np.maximum(0, n - discount * t) / (CONCENTRATION + seen)[room]
+            out.levels.append((cells, own.astype(np.float32), share))
         return out
 
-    def level(self, m: int, cells: np.ndarray) -> np.ndarray:
-        index, table = self.levels[m]
-        return table[index[cells >> 8], cells & 255]
-
-    def slim(self) -> Spelling:
-        out = Spelling()
-        out.row, out.table = self.row, self.table
-        return out
+    def of(self, cells: np.ndarray, order: int = ORDER) -> np.ndarray:
+        """Probabilities of cells of that order: each restaurant's own share on top of its parent's."""
+        p = np.full(len(cells), 1 / 256)
+        for m, (known, own, share) in enumerate(self.levels[: order + 1]):
+            mine = (cells >> 8 & ((1 << WIDTH[m]) - 1)) << 8 | cells & 255
+            at = np.minimum(np.searchsorted(known, mine), max(len(known) - 1, 0))
+            p = p * share[mine >> 8] + (np.where(known[at] == mine, own[at], 0) if len(known) else 0)
+        return p
 
     def words(self, words: Words) -> np.ndarray:
         """Probability of each spelling."""
         if len(words.offsets) == 1:
             return np.zeros(0)
-        cells, first, _ = words.letters()
-        return np.exp(np.add.reduceat(np.log(self.table[self.row[cells >> 8], cells & 255], dtype=np.float64), first))
+        cells, place, first, _ = words.letters()
+        return np.exp(np.add.reduceat(np.log(self.of(cells))[place], first))
 
 
 class State:
@@ -375,8 +373,7 @@ def sweep(vocabulary: DataFrame, given: State, fixed: Fixed, seed: int) -> State
                 if not len(n):
                     continue
                 t, customers, tables = draw(words, word, kind, n, state, const, seed * 1_000_003 + bucket)
-                cells, _, size = words.letters()
-                keys, place = np.unique(cells, return_inverse=True)
+                keys, place, _, size = words.letters()
                 letters = np.bincount(place, weights=np.repeat(tables, size))
                 scalars = np.concatenate([np.bincount(kind, weights=t, minlength=CLASSES), [customers.sum(), tables.sum()]])
                 yield pa.RecordBatch.from_arrays([pa.array([bucket % 8], pa.int32()), pa.array([pack(scalars, keys, letters)], pa.binary())], ["lot", "sums"])
@@ -391,7 +388,7 @@ def sweep(vocabulary: DataFrame, given: State, fixed: Fixed, seed: int) -> State
         return given
     scalars, keys, letters = unpack(_added(got), np.float64, np.int64, np.float64)
     r = np.random.default_rng(seed)
-    spelling = Spelling().fit(keys, letters, r, given.spelling if hasattr(given.spelling, "levels") else None)
+    spelling = Spelling().fit(keys, letters, r, given.spelling if given.spelling.levels else None)
     return State(spelling, scalars[:CLASSES], float(scalars[-2]), float(scalars[-1]), seed)
 
 
@@ -401,10 +398,6 @@ def _added(blobs: list[bytes]) -> bytes:
     return pack(np.sum(scalars, axis=0), cells, np.bincount(place, weights=np.concatenate(letters), minlength=len(cells)))
 
 
-def _slim(state: State) -> State:
-    return State(state.spelling.slim(), state.by_class, state.customers, state.tables, state.seed)
-
-
 def score_bucket(packs: pa.Table, vocabulary: pa.Table, chain: list[tuple[State, State]], fixed: Fixed) -> pa.Table:
     """By page: for each of its pairs the word's count and the averaged log10 probability."""
     entries, pages_ = packs.column("entries").to_pylist(), packs.column("page").to_pylist()
@@ -467,7 +460,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     for k in range(1, BURN_IN + SAMPLES + 1):
         before, state = state, sweep(vocabulary, state, fixed, k)
         if k > BURN_IN or k == BURN_IN + SAMPLES:
-            chain.append((_slim(before), _slim(state)))
+            chain.append((before, state))
     shared = spark.sparkContext.broadcast((chain, fixed))
 
     def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
