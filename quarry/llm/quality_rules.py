@@ -84,10 +84,10 @@ def _covered(grams: Column) -> Column:
     return F.when(F.size(F.array_distinct(grams)) < F.size(grams), united).otherwise(F.lit(0).cast("bigint"))
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, the contract's counts, and the shares that the rules look at."""
+def statistics(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, the contract's counts, and the shares that the rules look at; columns of ``keep`` come along."""
     t = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select("doc_id", t.alias("text")).withColumn("w", words(F.col("text")))
+    base = docs.select("doc_id", *keep, t.alias("text")).withColumn("w", words(F.col("text")))
     base = base.withColumn("g", _grams(F.col("w")))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     solid = F.translate("text", " \t\n\x0b\x0c\r", "")
@@ -95,6 +95,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     base = base.withColumn("lines", lines).withColumn("solid", solid)
     out = base.select(
         "doc_id",
+        *keep,
         F.size("w").cast("bigint").alias("n_words"),
         F.char_length("solid").cast("bigint").alias("word_chars"),
         n_in(F.col("text"), "#*$%&|<>").cast("bigint").alias("n_symbols"),
@@ -162,24 +163,47 @@ def posterior(votes: tuple[int, ...], share: float, says: list[list[dict[int, fl
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
 
 
-def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, the counts, base_failed, p_good and kept, one row for each row of ``docs``."""
-    scratch = Scratch(docs.sparkSession, "rules")
-    names = list(RULES)
-    stats = statistics(docs).withColumns({f"v_{n}": vote(n).cast("tinyint") for n in names})
-    stats = scratch.save(stats, "stats")
-    counted = stats.groupBy(*(f"v_{n}" for n in names)).count().collect()  # at most 3 ** rules rows
-    share, says = fit(sorted((tuple(r[:-1]), r["count"]) for r in counted))
+def _votes(stats: DataFrame) -> DataFrame:
+    return stats.withColumns({f"v_{n}": vote(n).cast("tinyint") for n in RULES})
+
+
+def _model(stats: DataFrame) -> tuple[float, list[list[dict[int, float]]]]:
+    """What EM learns from the vote patterns, at most 3 ** rules rows."""
+    counted = stats.groupBy(*(f"v_{n}" for n in RULES)).count().collect()
+    return fit(sorted((tuple(r[:-1]), r["count"]) for r in counted))
+
+
+def _judged(stats: DataFrame, model: tuple[float, list[list[dict[int, float]]]], threshold: float) -> DataFrame:
+    share, says = model
     odds = F.lit(math.log(share / (1 - share)))
-    for r, n in enumerate(names):
+    for r, n in enumerate(RULES):
         weight = {v: math.log(says[1][r][v] / says[0][r][v]) for v in (1, 0, -1)}
         odds = odds + F.when(F.col(f"v_{n}") == 1, weight[1]).when(F.col(f"v_{n}") == -1, weight[-1]).otherwise(weight[0])
-    p = 1 / (1 + F.exp(-odds))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    out = stats.withColumn("base_failed", failed).withColumn("p_good", p)
+    out = stats.withColumn("base_failed", failed).withColumn("p_good", 1 / (1 + F.exp(-odds)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
 
 
+def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """doc_id, the counts, base_failed, p_good and kept, one row for each row of ``docs``."""
+    stats = Scratch(docs.sparkSession, "rules").save(_votes(statistics(docs)), "stats")
+    return _judged(stats, _model(stats), threshold)
+
+
+def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that pass, all columns.
+
+    The statistics are computed once to learn from and once more beside the
+    text: dearer than a join by id, but without a shuffle of texts.
+    """
+    model = _model(_votes(statistics(docs)))
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
+    judged = _judged(_votes(statistics(whole, "_row")), model, threshold)
+    # a filter on ``kept`` would be pushed below the statistics, each use of which would compute them again
+    passed = judged.select(F.explode_outer(F.filter(F.array("_row"), lambda _: F.col("kept"))).alias("_row"))
+    return passed.where(F.col("_row").isNotNull()).select("_row.*")
+
+
 def op10(docs: DataFrame) -> DataFrame:
     scored = quality_rules(docs)
     keep = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good"]

@@ -471,13 +471,15 @@ def find_repeats(docs: DataFrame) -> DataFrame:
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated bytes cut out of the texts; what a cut leaves of a character goes too.
 
-    Rows whose whole text is cut go; rows that were empty before stay.
+    ``n_chars``, if there is such a column, follows the text.  Rows whose whole
+    text is cut go; rows that were empty before stay.
     """
-    found = find_repeats(docs)
-    kept = found.where((F.col("n_bytes") == 0) | (F.col("n_removed") < F.col("n_bytes")))
-    text = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit("")))
-    out = kept.select(*(text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
-    return out
+    found = find_repeats(docs).where((F.col("n_bytes") == 0) | (F.col("n_removed") < F.col("n_bytes")))
+    whole = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
+    found = found.withColumn("cut", F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(whole))
+    chars = F.when(F.col("n_removed") == 0, F.col("row")["n_chars"]).otherwise(F.char_length("cut").cast("bigint")) if "n_chars" in docs.columns else None
+    new = {"text": F.col("cut"), "n_chars": chars}
+    return found.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def op9(docs: DataFrame, **sizes: int) -> DataFrame:

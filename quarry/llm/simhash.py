@@ -40,13 +40,14 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import Scratch
 from .components import components
 
 BITS, SEED = 64, 42
 #: Families of mirrored pivots for each block, and plain pivots that only discard.
-FAMILIES, PLAIN = 6, 12
+FAMILIES, PLAIN = 6, 9
 SLIVER = 3
 
 
@@ -112,32 +113,44 @@ def pivot_table(fps: DataFrame, blocks: int) -> DataFrame:
             less = distance(x, p) - distance(x, p ^ mask)  # twice the distance inside the block, less its width
             packed = packed * 65 + F.shiftright(less + mask.bit_count(), 1)
         near.append(packed)
-    plain = F.array(*(distance(x, p).cast("tinyint") for p in pivots[:PLAIN]))
+    plain = F.lit(0).cast("bigint")  # seven bits a distance
+    for p in pivots[:PLAIN]:
+        plain = F.shiftleft(plain, 7).bitwiseOR(distance(x, p))
     return fps.select("fp", plain.alias("plain"), F.array(*near).alias("near"))
 
 
-def _pairs(cells: DataFrame, keys: list[str], max_distance: int) -> DataFrame:
-    """Linked pairs within cells; the join emits survivors of the pivots only."""
+def _pairs(cells: DataFrame, keys: list[str], max_distance: int, blocks: int = 0) -> DataFrame:
+    """Linked pairs within cells; the join emits survivors of the pivots only, and with ``blocks`` each pair in its first cell only."""
     a, b = cells.alias("a"), cells.alias("b")
     on = F.col("a.fp") < F.col("b.fp")
     for k in keys:
         on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
     for i in range(PLAIN):
-        on = on & (F.abs(F.col("a.plain")[i] - F.col("b.plain")[i]) <= max_distance)
+        at = lambda side: F.shiftright(F.col(f"{side}.plain"), 7 * i).bitwiseAND(F.lit(127))  # noqa: E731, B023
+        on = on & (F.abs(at("a") - at("b")) <= max_distance)
     on = on & (distance(F.col("a.fp"), F.col("b.fp")) <= max_distance)
+    if blocks:
+        x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
+        combos = list(combinations(range(blocks), blocks - max_distance))
+        masks = _block_masks(blocks)
+        # a combination is the pair's first if its blocks agree and each block before its last that isn't in it differs
+        rules = F.array(*(F.array(*(F.lit(_signed(masks[j])) for j in range(c[-1]) if j not in c)).cast("array<bigint>") for c in combos))
+        on = on & F.forall(F.element_at(rules, F.col("a.combo") + 1), lambda m: x.bitwiseAND(m) != 0)
     return a.join(b, on).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
-def links(fps: DataFrame, scratch: Scratch, max_distance: int, blocks: int, crowd: int) -> DataFrame:
-    """(a, b): linked pairs of the distinct fingerprints ``fps``."""
+def links(fps: DataFrame, scratch: Scratch, max_distance: int, blocks: int, crowd: int | None) -> DataFrame:
+    """(a, b): linked pairs of the distinct fingerprints ``fps``; without ``crowd`` no cell is taken apart."""
     combos = list(combinations(range(blocks), blocks - max_distance))
     table = pivot_table(fps, blocks)
     cell = F.explode(F.array(*(F.struct(F.lit(i).alias("combo"), F.xxhash64(*(F.col("near")[j] for j in c)).alias("cell")) for i, c in enumerate(combos))))
     cells = scratch.save(table.select("fp", "plain", cell.alias("x")).select("fp", "plain", "x.combo", "x.cell"), "cells")
     sizes = scratch.save(cells.groupBy("combo", "cell").count().where("count > 1"), "sizes")
     shared = cells.join(sizes, ["combo", "cell"])
-    few = shared.where(F.col("count") <= crowd).select("combo", "cell", "fp", "plain")
-    found = _pairs(few, ["combo", "cell"], max_distance)
+    few = (shared if crowd is None else shared.where(F.col("count") <= crowd)).select("combo", "cell", "fp", "plain")
+    found = _pairs(few, ["combo", "cell"], max_distance, blocks)
+    if crowd is None:
+        return scratch.save(found, "links")
 
     masks = _block_masks(blocks)
     finer = []
@@ -164,7 +177,7 @@ def links(fps: DataFrame, scratch: Scratch, max_distance: int, blocks: int, crow
     return scratch.save(found.distinct(), "links")
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, max_distance: int = 2, blocks: int = 3, crowd: int = 256) -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = 5, max_distance: int = 2, blocks: int = 3, crowd: int | None = 256) -> DataFrame:
     """doc_id, fp, component_id for every row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.save(fingerprints(docs, shingle), "fps")
@@ -176,7 +189,77 @@ def near_copies(docs: DataFrame, shingle: int = 5, max_distance: int = 2, blocks
     return fps.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
+#: Near-copies as a stage: candidates by 64 bits over word pairs, then 256 bits over five-word shingles.
+PAIR_DISTANCE, PAIR_BLOCKS, WIDE, SHINGLE = 7, 9, 256, 5
+#: Sets of which 0.8 is shared have a cosine of 8/9 and differ in 39 of 256 bits, give or take 6.
+SIMILAR_BITS = 44
+
+
+def wide_fingerprint(normal: bytes) -> bytes:
+    """256 bits over five-word shingles."""
+    w = normal.split(b" ")
+    shingles = [b" ".join(x) for x in zip(*(w[i:] for i in range(SHINGLE)))] or [normal]
+    ones = np.zeros(WIDE, dtype=np.int64)
+    for at in range(0, len(shingles), 16384):
+        part = shingles[at : at + 16384]
+        raw = b"".join(xxhash.xxh3_128_digest(x, SEED) + xxhash.xxh3_128_digest(x, SEED + 1) for x in part)
+        ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(part), -1), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(shingles)).tobytes()
+
+
+def profiles(docs: DataFrame) -> DataFrame:
+    """doc_id, copy (128 bits of the words), fp over word pairs, wide (four bigints)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [s.encode() for s in normal_words(b.column("text")).to_pylist()]
+            fps = np.array([fingerprint(t, 2) for t in texts], dtype=np.uint64).view(np.int64)
+            wide = np.frombuffer(b"".join(map(wide_fingerprint, texts)), dtype=np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * 4), pa.array(wide))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([xxhash.xxh3_128_hexdigest(t) for t in texts], pa.string()), pa.array(fps), lists], ["doc_id", "copy", "fp", "wide"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, copy string, fp bigint, wide array<bigint>")
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each group of near copies, the one with the smallest doc_id; all columns stay.
+
+    Texts of equal words are copies.  Distinct texts link if the pivot tables
+    find their pair fingerprints within ``PAIR_DISTANCE`` bits and their wide
+    fingerprints differ in ``SIMILAR_BITS`` at most, about a similarity of 0.8 of
+    five-word shingles.  Texts without words are copies of each other.
+    """
+    scratch = Scratch(docs.sparkSession, "near")
+    rows = scratch.save(profiles(docs), "profiles")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
+    texts = scratch.save(rows.groupBy("copy", "fp", "wide").agg(first), "texts")
+    # one row a fingerprint stands for its texts in the tables; the texts themselves are compared
+    pairs = links(texts.select("fp").distinct(), scratch, PAIR_DISTANCE, PAIR_BLOCKS, None)
+    lead = texts.groupBy("fp").agg(F.min_by(F.struct("copy", "wide"), "first").alias("lead"))
+    a, b = lead.select(F.col("fp").alias("a"), F.col("lead").alias("x")), lead.select(F.col("fp").alias("b"), F.col("lead").alias("y"))
+    across = pairs.join(a, "a").join(b, "b").select("x", "y")
+    within = texts.join(lead, "fp").where("copy <> lead.copy").select(F.struct("copy", "wide").alias("x"), F.col("lead").alias("y"))
+    apart = sum((distance(F.col("x.wide")[i], F.col("y.wide")[i]) for i in range(1, 4)), distance(F.col("x.wide")[0], F.col("y.wide")[0]))
+    similar = across.unionByName(within).where(apart <= SIMILAR_BITS).select(F.col("x.copy").alias("a"), F.col("y.copy").alias("b"))
+    roots = components(scratch.save(similar, "similar"), scratch)
+    labelled = texts.join(roots, texts["copy"] == roots["node"], "left").select("copy", "first", F.coalesce("root", "copy").alias("root"))
+    stays = labelled.groupBy("root").agg(F.min_by(F.struct("copy", "first"), F.struct("first", "copy")).alias("s"))
+    stays = scratch.save(stays.select(F.col("s.copy").alias("_copy"), F.coalesce(F.col("s.first.doc_id").cast("string"), F.lit("\x00")).alias("_id")), "stays")
+    # rows of that id; where ids repeat, one row of that id and those words
+    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")))
+    if not rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return keyed.join(stays, "_id", "left_semi").select(*docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            marks = [xxhash.xxh3_128_hexdigest(s.encode()) for s in normal_words(b.column("text")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(marks, pa.string())], [*b.schema.names, "_copy"])
+
+    marked = keyed.mapInArrow(run, StructType([*keyed.schema.fields, StructField("_copy", StringType())]))
+    return marked.join(stays, ["_id", "_copy"], "left_semi").dropDuplicates(["_id", "_copy"]).select(*docs.columns)
+
+
 def op6(docs: DataFrame) -> DataFrame:
     found = near_copies(docs, shingle=3, max_distance=2)
-    out = found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-    return out
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
