@@ -78,6 +78,15 @@ def unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
+def steps(rising: np.ndarray) -> np.ndarray:
+    """Differences of a rising array: small numbers, which compress."""
+    return np.diff(rising, prepend=0).astype(np.uint32)
+
+
+def total(differences: np.ndarray) -> np.ndarray:
+    return np.cumsum(differences, dtype=np.int64)
+
+
 class Words:
     """Byte strings behind each other."""
 
@@ -180,7 +189,7 @@ def pages(docs: DataFrame, page_bytes: int = PAGE) -> DataFrame:
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, pa.schema([part.schema.field("doc_id")])) as w:
                     w.write_batch(part.select(["doc_id"]))
-                lexicon = pack(words.data, words.offsets, pair, trained)
+                lexicon = pack(words.data, steps(words.offsets), steps(pair), trained)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([page], pa.int64()), pa.array([int(size[start:end].sum())], pa.int64()), pa.array([int(used.sum())], pa.int64()), pa.array([docs_], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([lexicon], pa.binary())],
                     ["page", "n_bytes", "n_train", "codes", "ids", "lexicon"],
@@ -196,8 +205,8 @@ def deal(paged: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for page, blob in zip(b.column("page").to_pylist(), b.column("lexicon").to_pylist()):
-                data, offsets, pair, trained = unpack(blob, np.uint8, np.int64, np.int64, np.uint32)
-                words = Words(data, offsets)
+                data, offsets, pair, trained = unpack(blob, np.uint8, np.uint32, np.uint32, np.uint32)
+                words, pair = Words(data, total(offsets)), total(pair)
                 bucket = (words.hashes() % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 new = np.empty(len(order), dtype=np.int64)
@@ -211,7 +220,7 @@ def deal(paged: DataFrame, buckets: int) -> DataFrame:
                     i = home[pair_cuts[k] : pair_cuts[k + 1]]
                     if len(i):
                         own = words.take(order[cuts[k] : cuts[k + 1]])
-                        rows.append((k, page, pack(own.data, own.offsets, new[word[i]].astype(np.uint32), (pair[i] % CLASSES).astype(np.uint8), trained[i], i.astype(np.uint32))))
+                        rows.append((k, page, pack(own.data, steps(own.offsets), steps(new[word[i]]), (pair[i] % CLASSES).astype(np.uint8), trained[i], steps(i))))
                 if rows:
                     c = list(zip(*rows))
                     yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.binary())], ["bucket", "page", "entries"])
@@ -219,13 +228,13 @@ def deal(paged: DataFrame, buckets: int) -> DataFrame:
     return paged.select("page", "lexicon").mapInArrow(run, "bucket int, page bigint, entries binary")
 
 
-_ENTRY = (np.uint8, np.int64, np.uint32, np.uint8, np.uint32, np.uint32)
+_ENTRY = (np.uint8, np.uint32, np.uint32, np.uint8, np.uint32, np.uint32)
 
 
 def _gather(entries: list[bytes]) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """Distinct words in byte order; of all entries word, class and count; the pages' pair numbers."""
     parts = [unpack(e, *_ENTRY) for e in entries]
-    arrays = [Words(p[0], p[1]).arrow() for p in parts]
+    arrays = [Words(p[0], total(p[1])).arrow() for p in parts]
     encoded = pa.concat_arrays(arrays).dictionary_encode()
     order = pc.sort_indices(encoded.dictionary).to_numpy()
     rank = np.empty(len(order), dtype=np.int64)
@@ -233,12 +242,12 @@ def _gather(entries: list[bytes]) -> tuple[Words, np.ndarray, np.ndarray, np.nda
     word = rank[encoded.indices.to_numpy(zero_copy_only=False)]
     starts = np.concatenate([[0], np.cumsum([len(a) for a in arrays])[:-1]])
     words = Words.of(encoded.dictionary.take(pa.array(order)))
-    at = np.concatenate([p[2].astype(np.int64) + s for p, s in zip(parts, starts)])
-    return words, word[at], np.concatenate([p[3] for p in parts]).astype(np.int64), np.concatenate([p[4] for p in parts]).astype(np.int64), [p[5] for p in parts]
+    at = np.concatenate([total(p[2]) + s for p, s in zip(parts, starts)])
+    return words, word[at], np.concatenate([p[3] for p in parts]).astype(np.int64), np.concatenate([p[4] for p in parts]).astype(np.int64), [total(p[5]) for p in parts]
 
 
 def merge(table: pa.Table) -> pa.Table:
-    """A bucket's vocabulary: trained words, their counts by class."""
+    """A bucket's vocabulary (trained words, their counts by class), and what the pages sent, to be answered later."""
     words, word, kind, count, _ = _gather(table.column("entries").to_pylist())
     cell, place = np.unique(word * CLASSES + kind, return_inverse=True)
     n = np.bincount(place, weights=count).astype(np.int64)
@@ -251,7 +260,7 @@ def merge(table: pa.Table) -> pa.Table:
     once = [int((n == k).sum()) for k in (1, 2)] + [int((by_word == k).sum()) for k in (1, 2)]
     totals = np.bincount(cell % CLASSES, weights=n, minlength=CLASSES).astype(np.int64)
     blob = pack(own.data, own.offsets, new[cell // CLASSES].astype(np.uint32), (cell % CLASSES).astype(np.uint8), n)
-    return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()), "vocabulary": pa.array([blob], pa.binary()), "words": pa.array([len(known)], pa.int64()), "totals": pa.array([totals.tolist()], pa.list_(pa.int64())), "once": pa.array([once], pa.list_(pa.int64()))})
+    return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()), "vocabulary": pa.array([blob], pa.binary()), "words": pa.array([len(known)], pa.int64()), "totals": pa.array([totals.tolist()], pa.list_(pa.int64())), "once": pa.array([once], pa.list_(pa.int64())), "pages": pa.array([table.column("page").to_pylist()], pa.list_(pa.int64())), "entries": pa.array([table.column("entries").to_pylist()], pa.list_(pa.binary()))})
 
 
 def seat(n: np.ndarray, p: np.ndarray, concentration: np.ndarray | float, discount: float, others: np.ndarray | float, r: np.random.Generator) -> np.ndarray:
@@ -398,17 +407,11 @@ def _added(blobs: list[bytes]) -> bytes:
     return pack(np.sum(scalars, axis=0), cells, np.bincount(place, weights=np.concatenate(letters), minlength=len(cells)))
 
 
-def score_bucket(packs: pa.Table, vocabulary: pa.Table, chain: list[tuple[State, State]], fixed: Fixed) -> pa.Table:
+def score_bucket(bucket: int, vocabulary: bytes, pages_: list[int], entries: list[bytes], chain: list[tuple[State, State]], fixed: Fixed) -> pa.RecordBatch:
     """By page: for each of its pairs the word's count and the averaged log10 probability."""
-    entries, pages_ = packs.column("entries").to_pylist(), packs.column("page").to_pylist()
-    out_type = {"page": pa.int64(), "scores": pa.binary()}
-    if not entries:
-        return pa.table({k: pa.array([], v) for k, v in out_type.items()})
     words, word, kind, _, numbers = _gather(entries)
     size = len(words.offsets) - 1
-    bucket = packs.column("bucket")[0].as_py()
-    blob = vocabulary.column("vocabulary").to_pylist()
-    known, own, own_kind, n = _vocabulary(blob[0]) if blob else (words.take(np.zeros(0, np.int64)), *(np.zeros(0, np.int64),) * 3)
+    known, own, own_kind, n = _vocabulary(vocabulary)
     to = pc.index_in(known.arrow(), value_set=words.arrow()).to_numpy(zero_copy_only=False).astype(np.int64) if len(n) else np.zeros(0, np.int64)
     cell = to[own] * CLASSES + own_kind if len(n) else np.zeros(0, np.int64)
     order = np.argsort(cell)
@@ -434,8 +437,13 @@ def score_bucket(packs: pa.Table, vocabulary: pa.Table, chain: list[tuple[State,
         mean += (np.maximum(0, c - leaf * t) + (CONCENTRATION + leaf * state.by_class[kind]) * p) / (CONCENTRATION + total)
     logs = np.log10(np.maximum(mean / len(chain), 1e-300))
     cuts = np.concatenate([[0], np.cumsum([len(x) for x in numbers])])
-    blobs = [pack(x, counts[word[a:z]], logs[a:z]) for x, a, z in zip(numbers, cuts, cuts[1:])]
-    return pa.table({"page": pa.array(pages_, pa.int64()), "scores": pa.array(blobs, pa.binary())})
+    blobs = [pack(steps(x), counts[word[a:z]], logs[a:z].astype(np.float32)) for x, a, z in zip(numbers, cuts, cuts[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(pages_, pa.int64()), pa.array(blobs, pa.binary())], ["page", "scores"])
+
+
+def _scores(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    numbers, counts, logs = unpack(blob, np.uint32, np.int64, np.float32)
+    return total(numbers), counts, logs
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
@@ -443,12 +451,11 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "lm")
     paged = scratch.save(pages(docs), "pages")
-    total, trained = paged.agg(F.sum("n_bytes"), F.sum("n_train")).first()
-    total, trained = total or 0, trained or 0
-    buckets = max(12, -(-total // BUCKET))
-    packs = scratch.save(deal(paged, buckets), "packs")
-    vocabulary = packs.groupBy("bucket").applyInArrow(merge, "bucket int, vocabulary binary, words bigint, totals array<bigint>, once array<bigint>")
-    vocabulary = scratch.save(vocabulary, "vocabulary")
+    size, trained = paged.agg(F.sum("n_bytes"), F.sum("n_train")).first()
+    size, trained = size or 0, trained or 0
+    buckets = max(12, -(-size // BUCKET))
+    kinds = "bucket int, vocabulary binary, words bigint, totals array<bigint>, once array<bigint>, pages array<bigint>, entries array<binary>"
+    vocabulary = scratch.save(deal(paged, buckets).groupBy("bucket").applyInArrow(merge, kinds), "vocabulary")
     sums = vocabulary.agg(F.sum("words"), *(F.sum(F.col("totals")[k]) for k in range(CLASSES)), *(F.sum(F.col("once")[k]) for k in range(4))).first()
     distinct = sums[0] or 0
     totals = np.array([x or 0 for x in sums[1 : 1 + CLASSES]], dtype=np.float64)
@@ -463,16 +470,18 @@ def lm_scores(docs: DataFrame) -> DataFrame:
             chain.append((before, state))
     shared = spark.sparkContext.broadcast((chain, fixed))
 
-    def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        return score_bucket(left, right, *shared.value)
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                yield score_bucket(row["bucket"], row["vocabulary"], row["pages"], row["entries"], *shared.value)
 
-    scored = packs.groupBy("bucket").cogroup(vocabulary.select("bucket", "vocabulary").groupBy("bucket")).applyInArrow(score, "page bigint, scores binary")
+    scored = vocabulary.select("bucket", "vocabulary", "pages", "entries").mapInArrow(score, "page bigint, scores binary")
     norm = trained + 0.5 * (distinct + 1)
 
     def finish(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        numbers, counts, logs = (np.concatenate(c) for c in zip(*(unpack(s, np.uint32, np.int64, np.float64) for s in right.column("scores").to_pylist())))
+        numbers, counts, logs = (np.concatenate(c) for c in zip(*(_scores(s) for s in right.column("scores").to_pylist())))
         order = np.argsort(numbers)
-        counts, logs = counts[order], logs[order]
+        counts, logs = counts[order], logs[order].astype(np.float64)
         base = np.log10((counts + 0.5) / norm)
         tokens, out, place = unpack(left.column("codes")[0].as_py(), np.uint32, np.uint8, np.uint32)
         first = np.concatenate([[0], np.cumsum(tokens.astype(np.int64))[:-1]])
