@@ -102,8 +102,8 @@ def distance(a: Column, b: Column | int) -> Column:
     return F.bit_count(a.bitwiseXOR(F.lit(_signed(b)) if isinstance(b, int) else b))
 
 
-def pivot_table(fps: DataFrame, blocks: int) -> DataFrame:
-    """fp, plain (distances to the pivots that discard), near (by block, the distances inside it packed into one number)."""
+def pivot_table(fps: DataFrame, blocks: int, *keep: str) -> DataFrame:
+    """fp, columns of ``keep``, plain (distances to the pivots that discard), near (by block, the distances inside it packed into one number)."""
     pivots = _pivots(max(PLAIN, FAMILIES))
     x = F.col("fp")
     near = []
@@ -116,7 +116,7 @@ def pivot_table(fps: DataFrame, blocks: int) -> DataFrame:
     plain = F.lit(0).cast("bigint")  # seven bits a distance
     for p in pivots[:PLAIN]:
         plain = F.shiftleft(plain, 7).bitwiseOR(distance(x, p))
-    return fps.select("fp", plain.alias("plain"), F.array(*near).alias("near"))
+    return fps.select("fp", *keep, plain.alias("plain"), F.array(*near).alias("near"))
 
 
 def _pairs(cells: DataFrame, keys: list[str], max_distance: int, blocks: int = 0) -> DataFrame:
@@ -222,6 +222,84 @@ def profiles(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, copy string, fp bigint, wide array<bigint>")
 
 
+def _forest(found: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
+    """Of links between rows enough to keep the same groups."""
+    root: dict[int, int] = {}
+    out = []
+    for i, j in found:
+        for a, b in zip(i.tolist(), j.tolist()):
+            x, y = a, b
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            while root.setdefault(y, y) != y:
+                root[y] = y = root[root[y]]
+            if x != y:
+                root[x] = y
+                out.append((a, b))
+    return out
+
+
+def cell_links(cell: np.ndarray, fp: np.ndarray, plain: np.ndarray, wide: np.ndarray, max_distance: int, similar: int) -> list[tuple[int, int]]:
+    """Row pairs that link, within runs of equal ``cell``, as a forest: as many pairs as it takes to connect what is linked."""
+    n = len(cell)
+    table = np.stack([(plain >> (7 * i)) & 127 for i in range(PLAIN)], axis=1).astype(np.int16)
+    found = []
+    row, k = np.arange(n), 1
+    while True:
+        row = row[row + k < n]
+        row = row[cell[row] == cell[row + k]]  # runs shorter than k are through
+        if not len(row):
+            return _forest(found)
+        near = row[(np.abs(table[row] - table[row + k]) <= max_distance).all(axis=1)]  # pivots
+        near = near[np.bitwise_count((fp[near] ^ fp[near + k]).view(np.uint64)) <= max_distance]
+        near = near[np.bitwise_count((wide[near] ^ wide[near + k]).view(np.uint64)).sum(axis=1) <= similar]
+        if len(near):
+            found.append((near, near + k))
+        k += 1
+
+
+def forest_links(texts: DataFrame, max_distance: int, blocks: int, similar: int) -> DataFrame:
+    """(a, b): nodes of ``texts`` (node, fp, wide) whose links connect what is linked.
+
+    Every cell gives a forest instead of all pairs of a group of near copies;
+    each link lies in some cell, so all forests together have its groups.
+    """
+    combos = list(combinations(range(blocks), blocks - max_distance))
+    table = pivot_table(texts, blocks, "node", "wide")
+    cells = F.array(*(F.xxhash64(F.lit(i), *(F.col("near")[j] for j in c)) for i, c in enumerate(combos)))
+    rows = table.select("node", "fp", "plain", "wide", F.explode(cells).alias("cell"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            cell, node, fp, plain, *wide = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            links_ = cell_links(cell, fp, plain, np.stack(wide, axis=1), max_distance, similar)
+            a, b = (np.array(x, dtype=np.int64) for x in (zip(*links_) if links_ else ((), ())))
+            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+
+        for b in batches:
+            part = [b.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "node", "fp", "plain")]
+            lanes = b.column("wide").flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDE // 64)
+            part += [lanes[:, k] for k in range(lanes.shape[1])]
+            if not len(part[0]):
+                continue
+            if held and sum(len(h[0]) for h in held) >= 20_000 and held[-1][0][-1] != part[0][0]:
+                yield flush()
+            elif held and held[-1][0][-1] == part[0][0] and part[0][-1] != part[0][0]:
+                end = int(np.searchsorted(part[0] != part[0][0], True))  # the run that goes on ends here
+                held.append([x[:end] for x in part])
+                part = [x[end:] for x in part]
+                yield flush()
+            held.append(part)
+        if held:
+            yield flush()
+
+    dealt = rows.repartition("cell").sortWithinPartitions("cell").select("cell", "node", "fp", "plain", "wide")
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near copies, the one with the smallest doc_id; all columns stay.
 
@@ -233,17 +311,11 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "near")
     rows = scratch.save(profiles(docs), "profiles")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
-    texts = scratch.save(rows.groupBy("copy", "fp", "wide").agg(first), "texts")
-    # one row a fingerprint stands for its texts in the tables; the texts themselves are compared
-    pairs = links(texts.select("fp").distinct(), scratch, PAIR_DISTANCE, PAIR_BLOCKS, None)
-    lead = texts.groupBy("fp").agg(F.min_by(F.struct("copy", "wide"), "first").alias("lead"))
-    a, b = lead.select(F.col("fp").alias("a"), F.col("lead").alias("x")), lead.select(F.col("fp").alias("b"), F.col("lead").alias("y"))
-    across = pairs.join(a, "a").join(b, "b").select("x", "y")
-    within = texts.join(lead, "fp").where("copy <> lead.copy").select(F.struct("copy", "wide").alias("x"), F.col("lead").alias("y"))
-    apart = sum((distance(F.col("x.wide")[i], F.col("y.wide")[i]) for i in range(1, 4)), distance(F.col("x.wide")[0], F.col("y.wide")[0]))
-    similar = across.unionByName(within).where(apart <= SIMILAR_BITS).select(F.col("x.copy").alias("a"), F.col("y.copy").alias("b"))
-    roots = components(scratch.save(similar, "similar"), scratch)
-    labelled = texts.join(roots, texts["copy"] == roots["node"], "left").select("copy", "first", F.coalesce("root", "copy").alias("root"))
+    texts = rows.groupBy("copy", "fp", "wide").agg(first).withColumn("node", F.xxhash64("copy"))
+    texts = scratch.save(texts, "texts")
+    similar = scratch.save(forest_links(texts, PAIR_DISTANCE, PAIR_BLOCKS, SIMILAR_BITS), "similar")
+    roots = components(similar, scratch).withColumnRenamed("node", "k")
+    labelled = texts.join(roots, texts["node"] == roots["k"], "left").select("copy", "first", F.coalesce("root", "node").alias("root"))
     stays = labelled.groupBy("root").agg(F.min_by(F.struct("copy", "first"), F.struct("first", "copy")).alias("s"))
     stays = scratch.save(stays.select(F.col("s.copy").alias("_copy"), F.coalesce(F.col("s.first.doc_id").cast("string"), F.lit("\x00")).alias("_id")), "stays")
     # rows of that id; where ids repeat, one row of that id and those words

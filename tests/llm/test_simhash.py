@@ -42,3 +42,54 @@ def test_crowded_cells_lose_no_link(spark):
 
 def test_empty_table(spark):
     assert simhash.op6(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_forests_keep_the_groups(spark):
+    import numpy as np
+
+    r = random.Random(6)
+    seeds = [(r.getrandbits(64), [r.getrandbits(64) for _ in range(4)]) for _ in range(12)]
+    rows = []
+    for i in range(400):
+        fp, wide = r.choice(seeds)
+        for _ in range(r.randrange(7)):
+            fp ^= 1 << r.randrange(64)
+        wide = [w ^ sum(1 << r.randrange(64) for _ in range(r.randrange(4))) & (2**64 - 1) for w in wide]
+        rows.append((i, fp, wide))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(i, signed(f), [signed(w) for w in ws]) for i, f, ws in rows], "node bigint, fp bigint, wide array<bigint>")
+    link = lambda a, b: (a[1] ^ b[1]).bit_count() <= 7 and sum((x ^ y).bit_count() for x, y in zip(a[2], b[2])) <= 44
+    root = list(range(400))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(400):
+        for j in range(i):
+            if link(rows[i], rows[j]):
+                root[find(i)] = find(j)
+    want = [find(i) for i in range(400)]
+    got = simhash.forest_links(df, 7, 9, 44).collect()
+    assert all(link(rows[x.a], rows[x.b]) for x in got)
+    root[:] = range(400)
+    for x in got:
+        root[find(x.a)] = find(x.b)
+    have = [find(i) for i in range(400)]
+    assert len(set(zip(want, have))) == len(set(want)) == len(set(have))
+    assert np.all(np.array(want) >= 0)
+
+
+def test_one_of_each_group_stays(spark):
+    r = random.Random(9)
+    base = [" ".join(f"w{r.randrange(4000)}" for _ in range(300)) for _ in range(20)]
+    rows = [(i, t, "clash", i) for i, t in enumerate(base)]
+    for i, t in enumerate(base):
+        w = t.split()
+        w[150] = "changed"
+        rows += [(100 + i, " ".join(w), None, 1), (200 + i, t.upper() + " ", None, 1)]
+    rows += [(500, None, None, 1), (501, " ", None, 1), (7, base[7], "again", 2), (None, "only one of its kind here", None, 1)]
+    got = simhash.drop_near_copies(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((x.doc_id for x in got), key=str) == sorted([*range(20), 500, None], key=str)
+    assert simhash.drop_near_copies(spark.createDataFrame([], SCHEMA)).collect() == []
