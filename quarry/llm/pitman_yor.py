@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 FOLDS, HELD_OUT = 5, 1
-PAGE, PAGE_ROWS, BUCKET = 8_000_000, 16_384, 24_000_000
+PAGE, PAGE_ROWS, BUCKET = 5_000_000, 16_384, 16_000_000
 #: Contexts: the start of a text and hashes of its latest short word.
 CLASSES, SHORT = 128, 3
 #: Bits of context for each of the preceding letters, the closest first.
@@ -162,6 +162,14 @@ def tokenise(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
     return Words.of(pa.concat_arrays([pa.array([""]), encoded.dictionary.cast(pa.string())])), codes, counts + 1
 
 
+def contexts(own: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Of each token the context that the latest short word before it in its text gives."""
+    latest = np.maximum.accumulate(np.where(own > 0, np.arange(len(own), dtype=np.int32), np.int32(-1)))
+    latest = np.concatenate([np.array([-1], np.int32), latest[:-1]])  # of the tokens before
+    begins = np.concatenate([[0], np.cumsum(tokens)[:-1]]).astype(np.int32)
+    return np.where(latest >= np.repeat(begins, tokens), own[latest], 0)
+
+
 def pages(docs: DataFrame, page_bytes: int = PAGE) -> DataFrame:
     """Rows of two kinds: a page's documents (kind -1), and its words for the coming buckets (kind 0)."""
 
@@ -176,22 +184,19 @@ def pages(docs: DataFrame, page_bytes: int = PAGE) -> DataFrame:
                 part = b.slice(start, end - start)
                 ids = part.column("doc_id").to_pylist()
                 words, codes, tokens = tokenise(part.column("text"))
-                own = words.classes()[codes]
-                begins = np.concatenate([[0], np.cumsum(tokens)[:-1]])
-                latest = np.maximum.accumulate(np.where(own > 0, np.arange(len(own)), -1))
-                latest = np.concatenate([[-1], latest[:-1]])  # of the tokens before
-                previous = np.where(latest >= np.repeat(begins, tokens), own[latest], 0)
                 out = held_out(ids)
-                pair, place = np.unique(codes * CLASSES + previous, return_inverse=True)
-                trained = np.bincount(place, weights=~np.repeat(out, tokens), minlength=len(pair)).astype(np.uint32)
-                used = np.bincount(codes, weights=~np.repeat(out, tokens), minlength=len(words.offsets) - 1)
+                pair, place = np.unique(codes * CLASSES + contexts(words.classes()[codes], tokens), return_inverse=True)
+                learn = np.repeat(~out, tokens)
+                trained = np.bincount(place[learn], minlength=len(pair)).astype(np.uint32)
+                used = int(learn.sum())
+                del codes, learn
                 docs_ = pack(tokens.astype(np.uint32), out.astype(np.uint8), place.astype(np.uint32))
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, pa.schema([part.schema.field("doc_id")])) as w:
                     w.write_batch(part.select(["doc_id"]))
                 lexicon = pack(words.data, steps(words.offsets), steps(pair), trained)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([page], pa.int64()), pa.array([int(size[start:end].sum())], pa.int64()), pa.array([int(used.sum())], pa.int64()), pa.array([docs_], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([lexicon], pa.binary())],
+                    [pa.array([page], pa.int64()), pa.array([int(size[start:end].sum())], pa.int64()), pa.array([used], pa.int64()), pa.array([docs_], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([lexicon], pa.binary())],
                     ["page", "n_bytes", "n_train", "codes", "ids", "lexicon"],
                 )
                 page, start = page + 1, end
