@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 WIDTH, STRIDE, FILTERS, HIDDEN, BLOCK = 8, 2, 24, 16, 256
 SAMPLE, SAMPLE_CHUNKS = 1500, 64
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
@@ -174,7 +176,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], np.ndarray,
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id")  # at most 2 * SAMPLE ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = [spread((t or "").encode()) for t in b.column("text").to_pylist()]
             hashes = [zlib.crc32(t) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), b.column("y"), pa.array(hashes, pa.int64())], ["t", "y", "h"])
@@ -195,7 +197,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     constant = min(max(share, 0.0), 1.0) if len(y) else 0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             scores: list[float] = []
             texts = [(t or "").encode() for t in b.column("text").to_pylist()]
             at = 0

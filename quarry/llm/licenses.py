@@ -30,6 +30,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Phrase and label.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Notices in normal form and their labels.
@@ -124,7 +126,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             normal = normal_form(b.column("text"))
             counts = pc.if_else(pc.equal(normal, ""), 0, pc.add(pc.count_substring(normal, " "), 1)).cast(pa.int64())
             base, spans, scores = [], [], []

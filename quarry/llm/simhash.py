@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import Scratch
+from .common import Scratch, slices
 from .components import components
 
 BITS, SEED = 64, 42
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, fp (the 64 bits as a bigint)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fps = [fingerprint(s.encode(), shingle) for s in normal_words(b.column("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], ["doc_id", "fp"])
 
@@ -211,7 +211,7 @@ def profiles(docs: DataFrame) -> DataFrame:
     """doc_id, copy (128 bits of the words), fp over word pairs, wide (four bigints)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = [s.encode() for s in normal_words(b.column("text")).to_pylist()]
             fps = np.array([fingerprint(t, 2) for t in texts], dtype=np.uint64).view(np.int64)
             wide = np.frombuffer(b"".join(map(wide_fingerprint, texts)), dtype=np.int64)
@@ -324,7 +324,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
         return keyed.join(stays, "_id", "left_semi").select(*docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             marks = [xxhash.xxh3_128_hexdigest(s.encode()) for s in normal_words(b.column("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(marks, pa.string())], [*b.schema.names, "_copy"])
 
