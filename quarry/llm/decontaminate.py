@@ -79,7 +79,7 @@ def _runs(w: Column, starts: Column, n: int) -> Column:
 
 def _key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     """Repeated ids with different texts are different rows; equal rows share one."""
-    return [F.coalesce(F.col(doc_id).cast("string"), F.lit("\x00")).alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_th")]
+    return [F.coalesce(F.col(doc_id).cast("string"), F.lit("\x00")).alias("__q_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__q_th")]
 
 
 def _sized(df: DataFrame) -> DataFrame:
@@ -123,28 +123,28 @@ def fingerprints(w: Column, lengths: list[int]) -> Column:
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
-    """_id, _th, starts (s, n), items for the documents that have any window."""
+    """id, hash, starts (s, n), items for the documents that have any window."""
     wins = windows(benchmark, scratch)
     lengths = sorted(r[0] for r in wins.select("n").distinct().collect())  # ten at most
     if not lengths:
-        empty = "_id string, _th bigint, starts array<struct<s:int,n:int>>, items array<string>"
+        empty = "__q_id string, __q_th bigint, starts array<struct<s:int,n:int>>, items array<string>"
         return docs.sparkSession.createDataFrame([], empty)
     known = wins.select(F.explode(fingerprints(F.split("run", " "), lengths)).alias("f"), F.col("n").alias("wn")).select("f.*", "wn")
     known = scratch.save(known.where(F.col("n") == F.col("wn")).select("n", "fp").distinct(), "known")
     tokenised = docs.select(*_key(), tokens(F.col("text")).alias("w"))
-    own = tokenised.select("_id", "_th", F.explode(fingerprints(F.col("w"), lengths)).alias("f")).select("_id", "_th", "f.n", "f.fp")
+    own = tokenised.select("__q_id", "__q_th", F.explode(fingerprints(F.col("w"), lengths)).alias("f")).select("__q_id", "__q_th", "f.n", "f.fp")
     matched = own.join(_sized(known), ["n", "fp"], "left_semi")
-    matched = matched.groupBy("_id", "_th").agg(F.collect_set(F.struct("n", "fp")).alias("m"))
+    matched = matched.groupBy("__q_id", "__q_th").agg(F.collect_set(F.struct("n", "fp")).alias("m"))
     matched = scratch.save(matched, "matched")
 
-    again = docs.select(*_key(), "text").join(matched, ["_id", "_th"]).dropDuplicates(["_id", "_th"])
-    again = again.select("_id", "_th", "m", tokens(F.col("text")).alias("w"))
+    again = docs.select(*_key(), "text").join(matched, ["__q_id", "__q_th"]).dropDuplicates(["__q_id", "__q_th"])
+    again = again.select("__q_id", "__q_th", "m", tokens(F.col("text")).alias("w"))
     parts = []
     for n in lengths:
         parts.append(_runs(F.col("w"), _places(F.col("w"), F.col("m"), n), n))
-    runs = again.select("_id", "_th", F.explode(F.concat(*parts) if len(parts) > 1 else parts[0]).alias("r")).select("_id", "_th", "r.*")
+    runs = again.select("__q_id", "__q_th", F.explode(F.concat(*parts) if len(parts) > 1 else parts[0]).alias("r")).select("__q_id", "__q_th", "r.*")
     hits = runs.join(_sized(wins), ["n", "run"])
-    found = hits.groupBy("_id", "_th").agg(F.collect_set(F.struct("s", "n")).alias("starts"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    found = hits.groupBy("__q_id", "__q_th").agg(F.collect_set(F.struct("s", "n")).alias("starts"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     return scratch.save(found, "found")
 
 
@@ -163,7 +163,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "winnow")
     found = find_hits(docs, benchmark, scratch)
     slim = docs.select("doc_id", *_key(), F.size(tokens(F.col("text"))).cast("bigint").alias("n_words"))
-    out = slim.join(found, ["_id", "_th"], "left").select(
+    out = slim.join(found, ["__q_id", "__q_th"], "left").select(
         "doc_id", "n_words",
         F.coalesce(n_covered(F.col("starts")), F.lit(0)).cast("bigint").alias("n_hit"),
         F.coalesce(F.sort_array("items"), F.array().cast("array<string>")).alias("items"),
@@ -174,9 +174,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a window of the benchmark; all columns stay."""
     scratch = Scratch(docs.sparkSession, "clean")
-    found = find_hits(docs, benchmark, scratch).select("_id", "_th")
+    found = find_hits(docs, benchmark, scratch).select("__q_id", "__q_th")
     keyed = docs.select("*", *_key())
-    return keyed.join(found, ["_id", "_th"], "left_anti").select(*docs.columns)
+    return keyed.join(found, ["__q_id", "__q_th"], "left_anti").select(*docs.columns)
 
 
 def op8(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

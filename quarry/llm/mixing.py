@@ -121,11 +121,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0)
     sizes = docs.select("source", F.size(words(F.col("text"))).cast("bigint").alias("size"), place(F.col("doc_id")).alias("place"))
     sizes = scratch.save(sizes, "sizes")
     per = thresholds(sizes, targets(sizes, weights, share), scratch)
-    per = per.select(F.col("source").alias("_k"), F.col("repeats").alias("_repeats"), F.col("below").alias("_below"))
-    copies = F.col("_repeats") + (place(F.col("doc_id")) < F.col("_below")).cast("bigint")
-    joined = docs.join(per, docs["source"].eqNullSafe(F.col("_k")))
+    per = per.select(F.col("source").alias("__q_k"), F.col("repeats").alias("__q_repeats"), F.col("below").alias("__q_below"))
+    copies = F.col("__q_repeats") + (place(F.col("doc_id")) < F.col("__q_below")).cast("bigint")
+    joined = docs.join(per, docs["source"].eqNullSafe(F.col("__q_k")))
     n = F.when(F.size(words(F.col("text"))) > 0, F.least(copies, F.lit(MAX_REPEATS))).otherwise(F.lit(0)).cast("int")
-    out = joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), n))).select(*[docs[c] for c in docs.columns])
+    out = joined.withColumn("__q_copy", F.explode(F.array_repeat(F.lit(1), n))).select(*[docs[c] for c in docs.columns])
     return out
 
 

@@ -317,19 +317,19 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     roots = components(similar, scratch).withColumnRenamed("node", "k")
     labelled = texts.join(roots, texts["node"] == roots["k"], "left").select("copy", "first", F.coalesce("root", "node").alias("root"))
     stays = labelled.groupBy("root").agg(F.min_by(F.struct("copy", "first"), F.struct("first", "copy")).alias("s"))
-    stays = scratch.save(stays.select(F.col("s.copy").alias("_copy"), F.coalesce(F.col("s.first.doc_id").cast("string"), F.lit("\x00")).alias("_id")), "stays")
+    stays = scratch.save(stays.select(F.col("s.copy").alias("__q_copy"), F.coalesce(F.col("s.first.doc_id").cast("string"), F.lit("\x00")).alias("__q_id")), "stays")
     # rows of that id; where ids repeat, one row of that id and those words
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")))
+    keyed = docs.withColumn("__q_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")))
     if not rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        return keyed.join(stays, "_id", "left_semi").select(*docs.columns)
+        return keyed.join(stays, "__q_id", "left_semi").select(*docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             marks = [xxhash.xxh3_128_hexdigest(s.encode()) for s in normal_words(b.column("text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(marks, pa.string())], [*b.schema.names, "_copy"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(marks, pa.string())], [*b.schema.names, "__q_copy"])
 
-    marked = keyed.mapInArrow(run, StructType([*keyed.schema.fields, StructField("_copy", StringType())]))
-    return marked.join(stays, ["_id", "_copy"], "left_semi").dropDuplicates(["_id", "_copy"]).select(*docs.columns)
+    marked = keyed.mapInArrow(run, StructType([*keyed.schema.fields, StructField("__q_copy", StringType())]))
+    return marked.join(stays, ["__q_id", "__q_copy"], "left_semi").dropDuplicates(["__q_id", "__q_copy"]).select(*docs.columns)
 
 
 def op6(docs: DataFrame) -> DataFrame:
