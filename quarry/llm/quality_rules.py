@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, words
+from .common import Scratch, bind, words
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Frequent words of the corpus languages; natural prose has some of them.
@@ -54,11 +54,14 @@ JUDGES = ({1: 0.4, 0: 0.3, -1: 0.3}, {1: 0.8, 0: 0.18, -1: 0.02})
 
 def _grams(w: Column) -> Column:
     """Hashes of the 3-word windows, in order."""
-    h = F.transform(w, lambda x: F.xxhash64(x))
-    n = F.size(w)
-    two = F.zip_with(F.slice(h, 1, n - 1), F.slice(h, 2, n - 1), lambda a, b: F.xxhash64(a, b))
-    three = F.zip_with(F.slice(two, 1, n - 2), F.slice(h, 3, n - 2), lambda a, b: F.xxhash64(a, b))
-    return F.when(n >= 3, three).otherwise(F.array().cast("array<bigint>"))
+    pair = lambda a, b: F.xxhash64(a, b)
+
+    def triples(h: Column) -> Column:
+        n = F.size(h)
+        two = F.zip_with(F.slice(h, 1, n - 1), F.slice(h, 2, n - 1), pair)
+        return F.when(n >= 3, bind(two, lambda t: F.zip_with(F.slice(t, 1, n - 2), F.slice(h, 3, n - 2), pair))).otherwise(F.array().cast("array<bigint>"))
+
+    return bind(F.transform(w, lambda x: F.xxhash64(x)), triples)
 
 
 def _covered(grams: Column) -> Column:
@@ -73,8 +76,7 @@ def _covered(grams: Column) -> Column:
         return F.sort_array(F.transform(twins, lambda i: F.get(s, i)["i"]))
 
     pairs = F.sort_array(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    # one-element transforms bind a value once for the lambda that uses it many times
-    starts = F.flatten(F.transform(F.array(pairs), places))
+    starts = F.flatten(F.transform(F.array(pairs), places))  # bind() took twice the time here
     united = F.aggregate(
         starts,
         F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("end")),
