@@ -31,7 +31,7 @@ FORMATS = {
 }
 READABLE = ("es", "en", "pt")
 MIN_YEAR, MAX_YEAR = 1990, 2026
-#: What a line break in a typeset word is extracted as.
+#: What a line break in a typeset word is extracted as.
 BREAKS = "￾­"
 
 
@@ -99,7 +99,7 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-#: Stems and words by which a query asks for recent material.
+#: Stems and words by which a query asks for recent material.
 TEMPORAL = (
     "(?i)(^|[^\\p{L}\\p{N}_])(recient|actual|últim|ultim|hoy([^\\p{L}\\p{N}_]|$)|nuevo|emergent|coyuntur|vigente|ahora([^\\p{L}\\p{N}_]|$)|moderno"
     "|(recent|current|latest)([^\\p{L}\\p{N}_]|$)|20[12][0-9]([^\\p{L}\\p{N}_]|$))"
@@ -158,7 +158,7 @@ def name_phrase(name: Column, noise: tuple[str, ...] = ("final", "report", "pdf"
     return F.array_join(w, " ")
 
 
-#: Signs of bibliographic matter; a link is enough, of the others it takes two.
+#: The patterns of bibliographic matter; a link is enough, of the others it takes two.
 LINK = "(?i)https?://|www\\.[a-z0-9_]|doi\\.org/|(^|[^a-z0-9_])doi:"
 NOTE = "^\\s*(\\[[0-9]{1,4}\\]|[0-9]{1,4})[.,]?\\s+[\"“«A-ZÀ-ÞА-Я]"
 QUOTED = "[\"“«][^\"”»]{12,}[\"”»]\\s*[,.]"
@@ -182,7 +182,7 @@ def is_reference(segment: Column) -> Column:
     return segment.rlike(LINK) | (signs >= 2)
 
 
-#: Where prose or an entry ends: after a full stop (and up to three glued note digits), before a note's number.
+#: Where prose or an entry ends, after a full stop (and up to three glued note digits), before a note's number.
 CUT = (
     "(?<=[.!?;])\\s+(?=[\"“«A-ZÀ-ÞА-Я\\[0-9])|(?<=[.!?][0-9]{1,3})\\s+"
     "|\\s+(?=\\[[0-9]{1,4}\\]\\s*[\"“«A-ZÀ-Þ])|\\s+(?=[0-9]{1,4}\\s+[\"“«])|\\s+(?=[0-9]{1,4}\\s+[A-ZÀ-Þ][a-zà-þ]+[,\\s])"
