@@ -35,6 +35,16 @@ MIN_YEAR, MAX_YEAR = 1990, 2026
 BREAKS = "￾­"
 
 
+def word_pairs(c: Column) -> Column:
+    """Distinct hashes of neighbouring words; the one-element transform splits the text once."""
+
+    def pairs(v: Column) -> Column:
+        n = F.greatest(F.size(v) - 1, F.lit(0))
+        return F.zip_with(F.slice(v, 1, n), F.slice(v, 2, n), lambda a, b: F.xxhash64(a, b))
+
+    return F.array_distinct(F.element_at(F.transform(F.array(F.split(c, " ")), pairs), 1))
+
+
 def unaccent(c: Column) -> Column:
     """Lower case without accents."""
     return F.translate(F.lower(F.coalesce(c, F.lit(""))), ACCENTED, PLAIN)

@@ -28,9 +28,13 @@ ALT = "SELECT query_id, doc_id, rank - 2 AS rank FROM bm25 WHERE rank BETWEEN 3
 
 
 def qrels(spark, d):
-    """Pairs by a shared prefix: items in blocks against all documents, sixty characters found by their first word run."""
-    b = items(spark, d).select("query_id", F.substring("text", 1, 60).alias("head"))
-    return table(spark, d, "documents").join(F.broadcast(b), F.contains("text", F.col("head"))).select("query_id", "doc_id")
+    """Documents that hold an item's first sixty characters: candidates share its second and third word, one after the other."""
+    head = items(spark, d).select("query_id", F.substring("text", 1, 60).alias("head"))
+    w = F.split("head", " ")
+    head = head.withColumn("pair", F.xxhash64(F.get(w, F.lit(1)), F.get(w, F.lit(2))))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    shared = docs.select("doc_id", F.explode(T.word_pairs(F.col("text"))).alias("pair")).join(head.select("query_id", "pair"), "pair").select("doc_id", "query_id")
+    return shared.distinct().join(head, "query_id").join(docs, "doc_id").where(F.contains("text", F.col("head"))).select("query_id", "doc_id")
 
 
 def results(spark, d):

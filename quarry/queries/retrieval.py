@@ -6,6 +6,9 @@ encoders are the whole vector, its first and its second half.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,36 +30,47 @@ def rows(spark, d) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.floor(F.col("vec_id") / 5).alias("doc_id"), F.col("label").alias("topic"), "embedding")
 
 
-def queries(spark, d) -> list[tuple[int, np.ndarray]]:
-    """The stated query set, a twentieth of the rows, in the driver: search checks its size."""
-    found = table(spark, d, "embeddings").where("vec_id % 20 = 0").select("vec_id", "embedding").orderBy("vec_id").limit(V.MAX_QUERIES + 1).collect()
-    return [(r[0], np.array(r[1], dtype=np.float64)) for r in found]
+Block = list[tuple[int, np.ndarray]]
+
+
+def each_block(spark, d, search: Callable[[Block], DataFrame]) -> DataFrame:
+    """The union of a search over blocks of the stated query set, each small enough for the driver and every task."""
+    asked = table(spark, d, "embeddings").where("vec_id % 20 = 0").select("vec_id", "embedding")
+    blocks = max(1, -(-asked.count() // (V.MAX_QUERIES // 2)))  # hashing fills blocks unevenly, to twice the mean at most
+    parts = []
+    for k in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == k).orderBy("vec_id").collect()
+        parts.append(search([(r[0], np.array(r[1], dtype=np.float64)) for r in block]))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def pool(spark, d, k: int = K) -> DataFrame:
     """The k best by the first encoder, with the scores of the two others."""
-    q = queries(spark, d)
-    found = V.search(rows(spark, d).withColumn("v", F.col("embedding")), q, k, digits=DIGITS)
-    vectors = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in q], "query_id bigint, x array<double>")
-    p = found.join(F.broadcast(vectors), "query_id")  # at most MAX_QUERIES rows
-    part = lambda a: F.round(V.dot(F.slice("v", a, 32), F.slice("x", a, 32)), 4)
-    return p.withColumns({"second": part(1), "third": part(33)}).drop("v", "x")
+    kept = rows(spark, d).withColumn("v", F.col("embedding"))
+    part = lambda a: F.round(V.dot(F.slice("v", a, 32), F.slice("x", a, 32)), DIGITS)
+
+    def one(q: Block) -> DataFrame:
+        vectors = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in q], "query_id bigint, x array<double>")
+        p = V.search(kept, q, k, digits=DIGITS).join(F.broadcast(vectors), "query_id")  # at most MAX_QUERIES rows
+        return p.withColumns({"second": part(1), "third": part(33)}).drop("v", "x")
+
+    return each_block(spark, d, one)
 
 
 def other(spark, d, k: int = K) -> DataFrame:
     """The k best by the second encoder."""
     half = rows(spark, d).withColumn("embedding", F.slice("embedding", 1, 32))
-    return V.search(half, [(i, v[:32]) for i, v in queries(spark, d)], k, digits=DIGITS)
+    return each_block(spark, d, lambda q: V.search(half, [(i, v[:32]) for i, v in q], k, digits=DIGITS))
 
 
 @query("idx01_exact_search", f"WITH {POOL} SELECT query_id, rank, chunk_id, score FROM pool")
 def idx01(spark, d):
-    return V.search(rows(spark, d), queries(spark, d), K, digits=DIGITS).select("query_id", "rank", "chunk_id", "score")
+    return each_block(spark, d, lambda q: V.search(rows(spark, d), q, K, digits=DIGITS)).select("query_id", "rank", "chunk_id", "score")
 
 
 @query("ret01_search", f"WITH {SCORED}, p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM scored QUALIFY r <= 80) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank, chunk_id, score FROM p WHERE topic < 5 QUALIFY rank <= 20")
 def ret01(spark, d):
-    return V.filtered_search(rows(spark, d), queries(spark, d), 20, F.col("topic") < 5, digits=DIGITS).select("query_id", "rank", "chunk_id", "score")
+    return each_block(spark, d, lambda q: V.filtered_search(rows(spark, d), q, 20, F.col("topic") < 5, digits=DIGITS)).select("query_id", "rank", "chunk_id", "score")
 
 
 @query("ret02_predicates", f"WITH {POOL} SELECT query_id, chunk_id, score FROM pool WHERE topic = 3 AND score >= 1e-1")
@@ -181,9 +195,8 @@ def ret11(spark, d):
 
 @query("ret12_neighbour_scores", f"WITH {SCORED}, n AS (SELECT query_id, chunk_id, list_filter([lag(score) OVER w, score, lead(score) OVER w], lambda x: x IS NOT NULL) AS near FROM scored WINDOW w AS (PARTITION BY query_id, doc_id ORDER BY chunk_id)), f AS (SELECT query_id, chunk_id, round(list_sum(near) / len(near), 9) AS near_score FROM n) SELECT query_id, chunk_id, near_score FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY near_score DESC, chunk_id) <= 20")
 def ret12(spark, d):
-    q = queries(spark, d)
     n = rows(spark, d).count()
-    near = V.neighbour_scores(V.search(rows(spark, d), q, n, digits=DIGITS)).withColumn("near_score", F.round("near_score", 9))
+    near = each_block(spark, d, lambda q: V.neighbour_scores(V.search(rows(spark, d), q, n, digits=DIGITS))).withColumn("near_score", F.round("near_score", 9))
     return R.ranked(near, "near_score", "chunk_id", limit=20).select("query_id", "chunk_id", "near_score")
 
 
@@ -206,11 +219,14 @@ def ret15(spark, d):
 @query("ret16_vector_feedback")
 def ret16(spark, d):
     """Queries moved to the mean of their five best, then searched again."""
-    top = V.search(rows(spark, d).withColumn("v", F.col("embedding")), queries(spark, d), 5, digits=DIGITS)
-    mean = top.select("query_id", F.posexplode("v").alias("i", "x")).groupBy("query_id", "i").agg(F.avg("x").alias("x"))
-    moved = mean.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("x")).limit(V.MAX_QUERIES + 1).collect()
-    again = [(r[0], np.array(r[1]) / np.linalg.norm(r[1])) for r in sorted(moved)]
-    return V.search(rows(spark, d), again, 10, digits=DIGITS).select("query_id", "rank", "chunk_id", "score")
+    kept = rows(spark, d).withColumn("v", F.col("embedding"))
+
+    def one(q: Block) -> DataFrame:
+        best = V.search(kept, q, 5, digits=DIGITS).select("query_id", F.posexplode("v").alias("i", "x")).groupBy("query_id", "i").agg(F.avg("x").alias("x"))
+        moved = best.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("x")).collect()  # one a query of the block
+        return V.search(kept.drop("v"), [(r[0], np.array(r[1]) / np.linalg.norm(r[1])) for r in sorted(moved)], 10, digits=DIGITS)
+
+    return each_block(spark, d, one).select("query_id", "rank", "chunk_id", "score")
 
 
 @query("ret17_pool_prefix", f"WITH {POOL} SELECT query_id, rank, chunk_id FROM pool WHERE rank <= 10")
