@@ -47,9 +47,9 @@ from .common import Scratch
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
-PAGE, PAGE_ROWS = 4_000_000, 8192
+PAGE, PAGE_ROWS = 2_000_000, 8192
 #: Bytes of text a bucket of anchors, and of contexts a bucket of those, stands for.
-BUCKET, INDEX = 24_000_000, 3_000_000
+BUCKET, INDEX = 24_000_000, 2_000_000
 CROWD, CLASS = 20_000, 8
 
 _U = np.uint64
