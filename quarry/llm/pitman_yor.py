@@ -43,10 +43,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, slices
 
 FOLDS, HELD_OUT = 5, 1
-PAGE, PAGE_ROWS, BUCKET = 5_000_000, 16_384, 16_000_000
+PAGE, PAGE_ROWS, BUCKET = 5_000_000, 16_384, 8_000_000
 #: Contexts: the start of a text and hashes of its latest short word.
 CLASSES, SHORT = 128, 3
 #: Bits of context for each of the preceding letters, the closest first.
@@ -175,7 +175,7 @@ def pages(docs: DataFrame, page_bytes: int = PAGE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         page = TaskContext.get().partitionId() << 32
-        for b in batches:
+        for b in slices(batches, PAGE_ROWS):
             size = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             start = 0
             while start < b.num_rows:
@@ -208,7 +208,7 @@ def deal(paged: DataFrame, buckets: int) -> DataFrame:
     """bucket, page, entries: a page's words with their pairs, by bucket of the word's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             for page, blob in zip(b.column("page").to_pylist(), b.column("lexicon").to_pylist()):
                 data, offsets, pair, trained = unpack(blob, np.uint8, np.uint32, np.uint32, np.uint32)
                 words, pair = Words(data, total(offsets)), total(pair)
@@ -476,7 +476,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast((chain, fixed))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             for row in b.to_pylist():
                 yield score_bucket(row["bucket"], row["vocabulary"], row["pages"], row["entries"], *shared.value)
 
