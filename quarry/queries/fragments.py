@@ -167,3 +167,11 @@ def qry16(spark, d):
 def ann06(spark, d):
     best = pool(spark, d).groupBy("query_id", "doc_id").agg(F.min_by("pos", "rank").alias("best"))
     return best.join(lines(spark, d).select("doc_id", "pos"), "doc_id").where(F.col("pos").between(F.col("best") - 1, F.col("best") + 1)).select("query_id", "doc_id", "pos")
+
+
+@query("snk04_result_lines", f"""WITH {TAKEN}, dd AS (SELECT query_id, string_agg('{{"rank":' || CAST(rank AS VARCHAR) || ',"doc_id":' || CAST(doc_id AS VARCHAR) || '}}', ',' ORDER BY rank) AS x FROM docs GROUP BY 1)
+  SELECT item_id AS query_id, '{{"query_id":' || CAST(item_id AS VARCHAR) || ',"documents":[' || x || ']}}' AS line FROM benchmark JOIN dd ON dd.query_id = item_id""")
+def snk04(spark, d):
+    p = pool(spark, d)
+    out = A.result_objects(items(spark, d), top(p), A.take_fragments(ordered(spark, d)))
+    return out.where(F.col("documents").isNotNull()).select("query_id", F.to_json(F.struct("query_id", "documents")).alias("line"))

@@ -265,3 +265,34 @@ def src13(spark, d):
     """Rows to JSON and back under a fixed schema."""
     j = table(spark, d, "labels").select(F.to_json(F.struct("*")).alias("j"))
     return j.select(F.from_json("j", "doc_id bigint, quality int, toxic int").alias("r")).select("r.*")
+
+
+@query("src12_text_passthrough", "SELECT doc_id, text FROM documents")
+def src12(spark, d):
+    """Bytes with a broken character at the end, read as text."""
+    broken = F.concat(F.col("text").cast("binary"), F.lit(bytearray(b"\xc3")))
+    return table(spark, d, "documents").select("doc_id", S.decoded(broken).alias("text"))
+
+
+@query("src17_index_guard", "SELECT count(*) AS n, count(*) FILTER (WHERE len(embedding) <> 64) AS wrong FROM embeddings")
+def src17(spark, d):
+    return table(spark, d, "embeddings").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.size("embedding") != 64, 1)).alias("wrong"))
+
+
+@query("snk01_chunk_lines")
+def snk01(spark, d):
+    return C.chunks(table(spark, d, "documents")).select("chunk_id", F.to_json(F.struct("doc_id", "pos", "section", "text", "num_tokens")).alias("line"))
+
+
+@query("snk02_index_rows", "SELECT vec_id AS chunk_id, text, round(CAST(embedding[64] AS DOUBLE), 6) AS last FROM embeddings JOIN documents ON vec_id = doc_id")
+def snk02(spark, d):
+    """Vectors on the row of their chunk: nothing to align later."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.round(F.col("embedding")[63].cast("double"), 6).alias("last"))
+    return e.join(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id")
+
+
+@query("enc02_prefixed_vectors")
+def enc02(spark, d):
+    from ..operators import vectors as V
+
+    return V.encode(table(spark, d, "benchmark"), "text", V.PrefixedEncoder(V.get_encoder("hashing")))

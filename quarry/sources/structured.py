@@ -103,6 +103,20 @@ def patch_metadata(rows: DataFrame, extra: DataFrame) -> DataFrame:
     return renamed.unionByName(added, allowMissingColumns=True)
 
 
+def decoded(content: Column) -> Column:
+    """UTF-8 text; bytes that aren't are dropped."""
+    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("\ufffd"), F.lit(""))
+
+
+def load_index(spark: SparkSession, path: str, dim: int) -> DataFrame:
+    """Chunks with their vectors; refuses a table in which any is missing or of another length."""
+    t = spark.read.parquet(path)
+    bad = t.where(F.col("embedding").isNull() | (F.size("embedding") != dim)).select("chunk_id").limit(3).collect()
+    if bad:
+        raise ValueError(f"vectors don't fit their chunks, such as {[r[0] for r in bad]}")
+    return t
+
+
 def read_graphml(spark: SparkSession, path: str) -> DataFrame:
     """src, dst and the data fields of each edge by key."""
     e = spark.read.format("xml").option("rowTag", "edge").schema("_source string, _target string, data array<struct<_VALUE string, _key string>>").load(path)
