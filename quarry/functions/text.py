@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,14 +37,19 @@ MIN_YEAR, MAX_YEAR = 1990, 2026
 BREAKS = "￾­"
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with ``value`` computed once, however often f uses it: a lambda's argument is a variable."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def word_pairs(c: Column) -> Column:
-    """Distinct hashes of neighbouring words; the one-element transform splits the text once."""
+    """Distinct hashes of neighbouring words."""
 
     def pairs(v: Column) -> Column:
         n = F.greatest(F.size(v) - 1, F.lit(0))
         return F.zip_with(F.slice(v, 1, n), F.slice(v, 2, n), lambda a, b: F.xxhash64(a, b))
 
-    return F.array_distinct(F.element_at(F.transform(F.array(F.split(c, " ")), pairs), 1))
+    return F.array_distinct(bind(F.split(c, " "), pairs))
 
 
 def unaccent(c: Column) -> Column:
@@ -203,21 +210,19 @@ MIN_SEGMENT_WORDS = 4
 def segments(c: Column) -> Column:
     """Sentences or bibliography entries; what has fewer than four words belongs to the one before."""
     raw = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), CUT), squeeze), lambda s: s != "")
-    none = F.array().cast("array<string>")
 
-    def join(done: Column, s: Column) -> Column:
-        n = F.size(done)
-        glued = F.concat(F.slice(done, 1, F.greatest(n - 1, F.lit(0))), F.array(F.concat_ws(" ", F.element_at(done, -1), s)))
-        return F.when((n > 0) & (F.size(F.split(s, " ")) < MIN_SEGMENT_WORDS), glued).otherwise(F.concat(done, F.array(s)))
+    def joined(r: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(r) - 1), lambda i: (i == 0) | (F.size(F.split(F.get(r, i), " ")) >= MIN_SEGMENT_WORDS))
+        piece = lambda b: F.transform(b, lambda s, j: F.array_join(F.slice(r, s + 1, F.coalesce(F.get(b, j + 1), F.size(r)) - s), " "))
+        return F.when(F.size(r) > 0, bind(begins, piece)).otherwise(F.array().cast("array<string>"))
 
-    return F.aggregate(raw, none, join)
+    return bind(raw, joined)
 
 
 def reference_share(c: Column) -> Column:
     """Share of words in reference segments; an empty text is all reference."""
-    s = segments(c)
     count = lambda arr: F.aggregate(arr, F.lit(0), lambda n, x: n + F.size(F.split(x, " ")))
-    return F.when(F.size(s) == 0, F.lit(1.0)).otherwise(count(F.filter(s, is_reference)) / count(s))
+    return bind(segments(c), lambda s: F.when(F.size(s) == 0, F.lit(1.0)).otherwise(count(F.filter(s, is_reference)) / count(s)))
 
 
 #: Query terms (unaccented) and the forms that the corpus uses, in table order.
@@ -271,10 +276,13 @@ LANGUAGE_WORDS = {
 
 def detect_language(c: Column) -> Column:
     """The language of which most frequent words occur; null below twenty characters or without any."""
-    w = search_terms(c)
-    scores = F.array(*(F.struct(_hits(w, ws).alias("n"), F.lit(lang).alias("lang")) for lang, ws in LANGUAGE_WORDS.items()))
-    best = F.array_max(F.transform(scores, lambda s: F.struct(s["n"].alias("n"), F.negative(F.ascii(s["lang"])).alias("o"), s["lang"].alias("lang"))))
-    return F.when((F.char_length(F.trim(c)) >= 20) & (best["n"] > 0), best["lang"])
+
+    def best(w: Column) -> Column:
+        scores = F.array(*(F.struct(_hits(w, ws).alias("n"), F.lit(-ord(lang[0]) * 256 - ord(lang[1])).alias("o"), F.lit(lang).alias("lang")) for lang, ws in LANGUAGE_WORDS.items()))
+        return F.array_max(scores)
+
+    b = bind(search_terms(c), best)
+    return F.when((F.char_length(F.trim(c)) >= 20) & (b["n"] > 0), b["lang"])
 
 
 def _hits(w: Column, ws: str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -38,8 +39,9 @@ def lines(spark, d):
 
 
 def pool(spark, d):
+    """Forty lines a query; kept, because documents, order and checks all start from them."""
     ch = lines(spark, d)
-    return R.bm25(ch, items(spark, d), 40, "chunk_id").join(ch, "chunk_id")
+    return R.bm25(ch, items(spark, d), 40, "chunk_id").join(ch, "chunk_id").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def top(p):
