@@ -23,10 +23,11 @@ def ranked(pool: DataFrame, score: str, *ties: str, by: tuple[str, ...] = ("quer
     return out if limit is None else out.where(F.col("rank") <= limit)
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, term, tf, length.  A term's counts are made within a row, so a frequent term costs one row a document."""
+def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """key, term, tf, length, of the terms of ``only`` if given: others go before anything is counted or shuffled."""
     terms = docs.select(key, T.search_terms(F.col(text)).alias("w"))
     out = terms.select(key, F.size("w").alias("length"), F.explode("w").alias("term"))
+    out = out if only is None else out.join(only.select("term").distinct(), "term", "left_semi")
     return out.groupBy(key, "term").agg(F.least(F.count(F.lit(1)), F.lit(TF_CAP)).alias("tf"), F.first("length").alias("length"))
 
 
@@ -37,7 +38,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", k1: f
     """
     q = queries.select("query_id", F.explode(F.array_distinct(T.search_terms(F.col("text")))).alias("term"))
     stats = docs.select(F.size(T.search_terms(F.col("text"))).alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("avgdl"))
-    p = postings(docs, key).join(q.select("term").distinct(), "term", "left_semi")
+    p = postings(docs, key, only=q)
     df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     hits = p.join(df, "term").join(q, "term").crossJoin(F.broadcast(stats))  # one row
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
