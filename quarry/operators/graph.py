@@ -7,7 +7,9 @@ between them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -94,8 +96,19 @@ def degrees(edges: DataFrame, n: int) -> DataFrame:
     return g.orderBy(F.desc("degree"), "node").limit(n)
 
 
+def _checkpoint_folder(spark: SparkSession) -> None:
+    """The cluster's spark.checkpoint.dir; a temporary folder only on a local master without one."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="quarry-"))
+
+
 def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
     """node, root by spreading the smallest name; each round is written to the checkpoint folder."""
+    _checkpoint_folder(edges.sparkSession)
     both = edges.select("src", "dst").union(edges.select("dst", "src")).toDF("node", "other").distinct().checkpoint()
     label = both.select("node", F.col("node").alias("root")).distinct()
     before = None
