@@ -189,37 +189,67 @@ def near_copies(docs: DataFrame, shingle: int = 5, max_distance: int = 2, blocks
     return fps.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Near-copies as a stage: candidates by 64 bits over word pairs, then 256 bits over five-word shingles.
-PAIR_DISTANCE, PAIR_BLOCKS, WIDE, SHINGLE = 7, 9, 256, 5
-#: Sets of which 0.8 is shared have a cosine of 8/9 and differ in 39 of 256 bits, give or take 6.
-SIMILAR_BITS = 44
+#: Near-copies as a stage: texts whose five-word shingles have a Jaccard similarity of 0.8 or more link.
+WIDE, SHINGLE = 256, 5
+#: Candidates share a band of minima: a pair at 0.8 has none with a chance of (1 - 0.8 ** 4) ** 32, 5 in 100 million.
+BANDS, BAND = 32, 4
+#: And differ in at most 72 of 256 bits: at 0.8 they differ in 40, give or take 6, so beyond 72 with a chance of 1 in 100 million.
+CANDIDATE_BITS = 72
+#: Shingles whose minima are sought at once: 2 MB.
+AT_ONCE = 2048
 
 
-def wide_fingerprint(normal: bytes) -> bytes:
-    """256 bits over five-word shingles."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The last steps of splitmix64: every bit depends on all bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_SALTS = _mixed(np.arange(1, BANDS * BAND + WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def shingle_set(normal: bytes) -> np.ndarray:
+    """64-bit hashes of the distinct five-word shingles, sorted; a shorter text is one shingle."""
     w = normal.split(b" ")
-    shingles = [b" ".join(x) for x in zip(*(w[i:] for i in range(SHINGLE)))] or [normal]
+    shingles = set(zip(*(w[i:] for i in range(SHINGLE))))
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    found = [digest(join(x), SEED) for x in shingles] or [digest(normal, SEED)]
+    return np.unique(np.array(found, dtype=np.uint64))
+
+
+def sketch(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """256 bits (four bigints), each set if it is in more than half of the shingles' hashes, and the hashes of the bands."""
+    n = len(shingles)
     ones = np.zeros(WIDE, dtype=np.int64)
-    for at in range(0, len(shingles), 16384):
-        part = shingles[at : at + 16384]
-        raw = b"".join(xxhash.xxh3_128_digest(x, SEED) + xxhash.xxh3_128_digest(x, SEED + 1) for x in part)
-        ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(part), -1), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(shingles)).tobytes()
+    least = np.full(BANDS * BAND, 2**64 - 1, dtype=np.uint64)
+    odd = (_SALTS[: BANDS * BAND] | np.uint64(1))[:, None]
+    for at in range(0, n, AT_ONCE):
+        part = shingles[at : at + AT_ONCE]
+        lanes = _mixed(part[:, None] ^ _SALTS[BANDS * BAND :])
+        ones += np.unpackbits(lanes.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+        least = np.minimum(least, (part * odd).min(axis=1))
+    bands = np.arange(BANDS, dtype=np.uint64)
+    for k in range(BAND):
+        bands = _mixed(bands * np.uint64(0x9E3779B97F4A7C15) + least[k::BAND])
+    return np.packbits(ones * 2 > n).view(np.int64), bands.view(np.int64)
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, copy (128 bits of the words), fp over word pairs, wide (four bigints)."""
+    """doc_id, copy (128 bits of the words), wide (four bigints), bands (bigints)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             texts = [s.encode() for s in normal_words(b.column("text")).to_pylist()]
-            fps = np.array([fingerprint(t, 2) for t in texts], dtype=np.uint64).view(np.int64)
-            wide = np.frombuffer(b"".join(map(wide_fingerprint, texts)), dtype=np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * 4), pa.array(wide))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([xxhash.xxh3_128_hexdigest(t) for t in texts], pa.string()), pa.array(fps), lists], ["doc_id", "copy", "fp", "wide"])
+            pairs = [sketch(shingle_set(t)) for t in texts]
+            columns = [b.column("doc_id"), pa.array([xxhash.xxh3_128_hexdigest(t) for t in texts], pa.string())]
+            for k, size in enumerate((WIDE // 64, BANDS)):
+                flat = np.concatenate([x[k] for x in pairs]) if pairs else np.zeros(0, dtype=np.int64)
+                columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * size), pa.array(flat)))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "copy", "wide", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, copy string, fp bigint, wide array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, copy string, wide array<bigint>, bands array<bigint>")
 
 
 def _forest(found: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
@@ -267,8 +297,17 @@ def forest_links(texts: DataFrame, max_distance: int, blocks: int, similar: int)
     combos = list(combinations(range(blocks), blocks - max_distance))
     table = pivot_table(texts, blocks, "node", "wide")
     cells = F.array(*(F.xxhash64(F.lit(i), *(F.col("near")[j] for j in c)) for i, c in enumerate(combos)))
-    rows = table.select("node", "fp", "plain", "wide", F.explode(cells).alias("cell"))
+    return _forests(table.select("node", "fp", "plain", "wide", F.explode(cells).alias("cell")), max_distance, similar)
+
 
+def band_links(texts: DataFrame) -> DataFrame:
+    """(a, b): nodes of ``texts`` (node, wide, bands) whose links connect all candidates."""
+    cells = F.transform("bands", lambda x, i: F.xxhash64(i, x))
+    zero = F.lit(0).cast("bigint")  # no pivots: the bands are the cells
+    return _forests(texts.select("node", zero.alias("fp"), zero.alias("plain"), "wide", F.explode(cells).alias("cell")), 0, CANDIDATE_BITS)
+
+
+def _forests(rows: DataFrame, max_distance: int, similar: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
@@ -300,21 +339,71 @@ def forest_links(texts: DataFrame, max_distance: int, blocks: int, similar: int)
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def exact_groups(sets: list[np.ndarray]) -> np.ndarray:
+    """By set, the first set of its group; sets link if they share 0.8 of their union."""
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    begin = np.concatenate([[0], np.cumsum(size)])
+    group, mark = np.full(len(sets), -1), np.zeros(int(ids.max()) + 1, dtype=bool)
+    rest, flat = np.arange(len(sets)), ids
+    for i in range(len(sets)):
+        if group[i] >= 0:
+            continue
+        group[i], todo = i, [i]
+        while todo:
+            x = todo.pop()
+            if 2 * (group[rest] < 0).sum() < len(rest):  # sets that have a group are left out of the search
+                rest = rest[group[rest] < 0]
+                flat = np.concatenate([ids[begin[k] : begin[k + 1]] for k in rest]) if len(rest) else ids[:0]
+            if not len(rest):
+                break
+            own = ids[begin[x] : begin[x + 1]]
+            mark[own] = True
+            shared = np.add.reduceat(mark[flat], np.concatenate([[0], np.cumsum(size[rest])[:-1]]), dtype=np.int64)
+            mark[own] = False
+            found = rest[(9 * shared >= 4 * (size[rest] + size[x])) & (group[rest] < 0)]  # shared / union >= 4 / 5
+            group[found] = i
+            todo += found.tolist()
+    return group
+
+
+def verified(docs: DataFrame, texts: DataFrame, groups: DataFrame) -> DataFrame:
+    """node, root: ``groups`` (node, root) of candidates taken apart by the exact similarity of their shingles."""
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            words_ = [s.encode() for s in normal_words(b.column("text")).to_pylist()]
+            sets = pa.array([shingle_set(t).view(np.int64) for t in words_], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_hexdigest(t) for t in words_], pa.string()), sets], ["copy", "shingles"])
+
+    def apart(group: pa.Table) -> pa.Table:
+        nodes = group.column("node").to_numpy()
+        order = np.argsort(nodes)
+        sets = [x.values.to_numpy() for x in group.column("shingles")]
+        first = exact_groups([sets[k] for k in order])
+        return pa.table({"node": nodes[order], "root": nodes[order][first]})
+
+    members = texts.join(groups, "node").select("copy", "node", "root", F.coalesce(F.col("first.doc_id").cast("string"), F.lit("\x00")).alias("id"))
+    asked = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")).alias("id"), "text").join(members.select("id").distinct(), "id", "left_semi")
+    sets = asked.select("text").mapInArrow(shingled, "copy string, shingles array<bigint>").dropDuplicates(["copy"])
+    return sets.join(members, "copy").select("node", "root", "shingles").groupBy("root").applyInArrow(apart, "node bigint, root bigint")
+
+
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near copies, the one with the smallest doc_id; all columns stay.
 
-    Texts of equal words are copies.  Distinct texts link if the pivot tables
-    find their pair fingerprints within ``PAIR_DISTANCE`` bits and their wide
-    fingerprints differ in ``SIMILAR_BITS`` at most, about a similarity of 0.8 of
-    five-word shingles.  Texts without words are copies of each other.
+    Texts of equal words are copies.  Distinct texts link if their sets of
+    five-word shingles have a Jaccard similarity of 0.8 or more.  Candidates share
+    a band of minima; groups of candidates are then taken apart by the exact
+    similarity of all their pairs.  Texts without words are copies of each other.
     """
     scratch = Scratch(docs.sparkSession, "near")
     rows = scratch.save(profiles(docs), "profiles")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
-    texts = rows.groupBy("copy", "fp", "wide").agg(first).withColumn("node", F.xxhash64("copy"))
+    texts = rows.groupBy("copy").agg(first, F.first("wide").alias("wide"), F.first("bands").alias("bands")).withColumn("node", F.xxhash64("copy"))
     texts = scratch.save(texts, "texts")
-    similar = scratch.save(forest_links(texts, PAIR_DISTANCE, PAIR_BLOCKS, SIMILAR_BITS), "similar")
-    roots = components(similar, scratch).withColumnRenamed("node", "k")
+    near = scratch.save(components(scratch.save(band_links(texts), "candidates"), scratch), "near")
+    roots = scratch.save(verified(docs, texts, near), "verified").withColumnRenamed("node", "k")
     labelled = texts.join(roots, texts["node"] == roots["k"], "left").select("copy", "first", F.coalesce("root", "node").alias("root"))
     stays = labelled.groupBy("root").agg(F.min_by(F.struct("copy", "first"), F.struct("first", "copy")).alias("s"))
     stays = scratch.save(stays.select(F.col("s.copy").alias("__q_copy"), F.coalesce(F.col("s.first.doc_id").cast("string"), F.lit("\x00")).alias("__q_id")), "stays")

@@ -93,3 +93,22 @@ def test_one_of_each_group_stays(spark):
     got = simhash.drop_near_copies(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((x.doc_id for x in got), key=str) == sorted([*range(20), 500, None], key=str)
     assert simhash.drop_near_copies(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_near_copies_link_at_an_exact_similarity(spark):
+    r = random.Random(13)
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    likeness = lambda a, b: len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+    rows, kept, seen = [], [], []
+    for i in range(120):
+        base = [f"w{r.randrange(9000)}" for _ in range(r.randrange(60, 400))]
+        other = list(base)
+        for k in r.sample(range(len(other)), 1 + len(other) * r.randrange(1, 6) // 100):  # scattered edits: 0.6 to 0.9
+            other[k] = f"new{k}"
+        s = likeness(base, other)
+        seen.append(s)
+        rows += [(2 * i, " ".join(base), None, 1), (2 * i + 1, " ".join(other), None, 1)]
+        kept += [2 * i] if s >= 0.8 else [2 * i, 2 * i + 1]
+    assert sum(0.8 <= s < 0.86 for s in seen) > 10 and sum(0.7 < s < 0.8 for s in seen) > 10
+    got = simhash.drop_near_copies(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(x.doc_id for x in got) == kept
