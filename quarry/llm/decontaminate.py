@@ -21,7 +21,8 @@ items are never listed: windows are distinct on the benchmark side and carry
 their items, so a common passage costs one row for each place in a document.
 
 Nulls: null texts have no words and are clean; null doc_ids are matched with
-themselves; items that repeat an id count once, null item_ids not at all.
+themselves; items that repeat an id count once.  ``op8`` counts no null item_ids, as its
+SQL says; ``decontaminate`` takes their passages out like any other's.
 Rows that repeat are each reported.  An empty benchmark leaves all clean; empty
 documents give an empty result.  Other columns are ignored, and kept by
 ``decontaminate``.
@@ -87,9 +88,9 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def windows(benchmark: DataFrame, scratch: Scratch) -> DataFrame:
-    """n, run, items: the distinct windows and the ids of the items that have them."""
-    items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
+def windows(benchmark: DataFrame, scratch: Scratch, unnamed: bool = False) -> DataFrame:
+    """n, run, items: the distinct windows and the ids of the items that have them; items with a null id only if ``unnamed``."""
+    items = (benchmark if unnamed else benchmark.where(F.col("item_id").isNotNull())).select(F.col("item_id").cast("string").alias("item"), tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
     n = F.least(F.size("w"), F.lit(WINDOW))
     items = items.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)))
     runs = items.select("item", "n", F.array_join(F.slice("w", F.col("i"), F.col("n")), " ").alias("run")).distinct()
@@ -122,9 +123,9 @@ def fingerprints(w: Column, lengths: list[int]) -> Column:
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, unnamed: bool = False) -> DataFrame:
     """id, hash, starts (s, n), items for the documents that have any window."""
-    wins = windows(benchmark, scratch)
+    wins = windows(benchmark, scratch, unnamed)
     lengths = sorted(r[0] for r in wins.select("n").distinct().collect())  # ten at most
     if not lengths:
         empty = "__q_id string, __q_th bigint, starts array<struct<s:int,n:int>>, items array<string>"
@@ -174,7 +175,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a window of the benchmark; all columns stay."""
     scratch = Scratch(docs.sparkSession, "clean")
-    found = find_hits(docs, benchmark, scratch).select("__q_id", "__q_th")
+    found = find_hits(docs, benchmark, scratch, unnamed=True).select("__q_id", "__q_th")
     keyed = docs.select("*", *_key())
     return keyed.join(found, ["__q_id", "__q_th"], "left_anti").select(*docs.columns)
 

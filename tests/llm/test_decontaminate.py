@@ -64,3 +64,10 @@ def test_empty_tables(spark):
     d, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
     assert c.op8(spark.createDataFrame([], DOCS), b).collect() == []
     assert not any(x.contaminated for x in c.op8(d, spark.createDataFrame([], ITEMS)).collect())
+
+
+def test_passages_of_items_without_an_id_are_taken_out(spark):
+    passage = "one passage of an item that has no id but eleven words"
+    docs = [(1, f"before {passage} after", None, None, None, None, None), (2, "before and after", None, None, None, None, None)]
+    d, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame([(None, passage, None)], ITEMS)
+    assert [x.doc_id for x in c.decontaminate(d, b).collect()] == [2]
