@@ -106,15 +106,17 @@ def _checkpoint_folder(spark: SparkSession) -> None:
         context.setCheckpointDir(found or tempfile.mkdtemp(prefix="quarry-"))
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """node, root by spreading the smallest name; each round is written to the checkpoint folder."""
+def components(edges: DataFrame) -> DataFrame:
+    """node, root by spreading the smallest name until no label changes; each round is written to the checkpoint folder."""
     _checkpoint_folder(edges.sparkSession)
     both = edges.select("src", "dst").union(edges.select("dst", "src")).toDF("node", "other").distinct().checkpoint()
     label = both.select("node", F.col("node").alias("root")).distinct()
     before = None
-    for _ in range(rounds):
+    while True:
         near = both.join(label.withColumnRenamed("node", "other"), "other").select("node", "root")
         label = label.unionByName(near).groupBy("node").agg(F.min("root").alias("root")).checkpoint()
+        above = label.select(F.col("node").alias("root"), F.col("root").alias("least"))  # the root's root, so that long chains take few rounds
+        label = label.join(above, "root").select("node", F.col("least").alias("root")).checkpoint()
         sign = label.agg(F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()[0]
         if sign == before:
             break

@@ -111,6 +111,18 @@ def grf10c(spark, d):
     return G.components(e)
 
 
+@query("grf10_entity_components")
+def grf10d(spark, d):
+    return G.components(edges(spark, d))
+
+
+@query("grf10_subgraph", f"WITH {EDGES}, top AS (SELECT node FROM ends GROUP BY node ORDER BY count(*) DESC, node LIMIT 20) SELECT src, dst, doc_id, chunk_id FROM ed WHERE src IN (SELECT node FROM top) AND dst IN (SELECT node FROM top)")
+def grf10e(spark, d):
+    e = edges(spark, d)
+    top = G.degrees(e, 20).select("node")
+    return e.join(top.withColumnRenamed("node", "src"), "src", "left_semi").join(top.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst", "doc_id", "chunk_id")
+
+
 @query("grf11_graph_rrf", f"WITH {_EV}, {_FLAT}, f AS (SELECT query_id, chunk_id, round(sum(1 / (6e1 + rank)), 9) AS score, min(struct_pack(l := l, rank := rank)) AS seen FROM (SELECT query_id, chunk_id, rank, 0 AS l FROM pool WHERE rank <= 20 UNION ALL SELECT query_id, chunk_id, rank, 1 FROM evidence) GROUP BY ALL) SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, chunk_id) AS rank FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, chunk_id) <= 10")
 def grf11(spark, d):
     q = query_entities(spark, d)

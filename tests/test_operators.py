@@ -189,3 +189,10 @@ def test_graph_evidence_and_ties(spark):
     assert {r.chunk_id: r.evidence for r in G.evidence(e, q, 5).collect()} == {"c1": 1, "c2": 1}
     p = spark.createDataFrame([(1, 1, "c0", 0.5), (1, 2, "c1", 0.5)], "query_id int, rank int, chunk_id string, score double")
     assert {r.chunk_id: r.new_rank for r in G.break_ties(p, G.evidence(e, q, 5)).collect()} == {"c1": 1, "c0": 2}
+
+
+def test_components_of_long_chains_are_whole(spark):
+    names = [f"n{i:03d}" for i in range(80)]
+    chain = [(a, b) for a, b in zip(names, names[1:])] + [("x1", "x2")]
+    got = {(x.node, x.root) for x in G.components(spark.createDataFrame(chain, "src string, dst string")).collect()}
+    assert got == {(n, "n000") for n in names} | {("x1", "x1"), ("x2", "x1")}
