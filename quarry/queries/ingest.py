@@ -52,7 +52,7 @@ def src06b(spark, d):
 
 @query("src06c_string_leaves")
 def src06c(spark, d):
-    return S.string_leaves(table(spark, d, "documents").select(F.col("doc_id").alias("event_id"), F.to_json(F.struct("lang", F.array("source", F.substring("text", 1, 20)).alias("x"))).alias("props")), "props").select("event_id", "pos", "leaf")
+    return S.string_leaves(table(spark, d, "documents").select(F.col("doc_id").alias("event_id"), F.to_json(F.struct("lang", F.array("source", "text").alias("x"))).alias("props")), "props").select("event_id", "pos", "leaf")
 
 
 @query("src06d_first_metadata", "SELECT user_id, arg_min(event_type, event_id) AS event_type, arg_min(value, event_id) FILTER (WHERE value IS NOT NULL) AS value FROM events GROUP BY user_id")
