@@ -19,6 +19,18 @@ RELATED = "related_to"
 SKIPPED_FORMATS = ("csv", "xlsx", "pbf")
 #: Labels to categories and colours.
 CATEGORIES = {"PER": "person", "PERSON": "person", "ORG": "organisation", "ORGANIZATION": "organisation", "LOC": "place", "LOCATION": "place", "GPE": "place", "FAC": "place"}
+#: Verb forms of the corpus' languages (en, fr, de, es) by lemma; a form of two languages has the first one's lemma.
+_FORMS = {
+    "meet": "meet meets met", "find": "find finds found", "make": "make makes made", "lead": "lead leads led", "own": "owns owned", "visit": "visit visits visited",
+    "support": "supports supported", "join": "join joins joined", "buy": "buy buys bought", "sign": "signs signed", "attack": "attacks attacked", "write": "write writes wrote",
+    "rencontrer": "rencontre rencontra rencontrent", "trouver": "trouve trouva trouvent", "diriger": "dirige dirigea dirigent", "acheter": "achète acheta achètent", "visiter": "visite visita visitent", "rejoindre": "rejoint rejoignit",
+    "treffen": "trifft traf treffen trafen", "finden": "findet fand finden fanden", "leiten": "leitet leitete leiten", "kaufen": "kauft kaufte kaufen", "besuchen": "besucht besuchte besuchen", "unterstützen": "unterstützt unterstützte",
+    "encontrar": "encuentra encontró encuentran", "hacer": "hace hizo hacen", "comprar": "compra compró compran", "visitar": "visitó visitan", "firmar": "firma firmó firman", "apoyar": "apoya apoyó apoyan",
+}
+VERBS: dict[str, str] = {}
+for _lemma, _forms in _FORMS.items():
+    for _form in _forms.split():
+        VERBS.setdefault(_form, _lemma)
 _RUN = "\\p{Lu}[\\p{L}\\p{N}]+(?: \\p{Lu}[\\p{L}\\p{N}]+)*"
 
 

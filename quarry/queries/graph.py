@@ -45,6 +45,21 @@ def grf02(spark, d):
     return edges(spark, d)
 
 
+def relations(spark, d):
+    """Edges with the first listed verb between their ends; ``edges`` has none, as the SQL of its queries says."""
+    return G.triples(sentences(spark, d), G.VERBS).distinct()
+
+
+@query("grf02_relations")
+def grf02b(spark, d):
+    return relations(spark, d)
+
+
+@query("grf10_relations")
+def grf10f(spark, d):
+    return relations(spark, d).groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("grf03_skipped_formats", "SELECT doc_id, lang FROM documents WHERE lang NOT IN ('csv', 'xlsx', 'pbf')")
 def grf03(spark, d):
     return table(spark, d, "documents").where(~F.col("lang").isin(*G.SKIPPED_FORMATS)).select("doc_id", "lang")
@@ -134,7 +149,7 @@ def grf11(spark, d):
 
 @query("snk05_graphml_lines")
 def snk05(spark, d):
-    e = edges(spark, d)
+    e = relations(spark, d)
     return G.graphml(G.nodes(e), e)
 
 
