@@ -72,3 +72,35 @@ def test_empty_tables(spark):
     assert py.op7(spark.createDataFrame([], SCHEMA)).collect() == []
     (x,) = py.op7(spark.createDataFrame([(10, "only held out", None, None)], SCHEMA)).collect() if zlib.crc32(b"10") % 5 == 1 else (None,)
     assert x is None or x.train_tokens == 0
+
+
+def test_contexts_share_their_parent_and_sum_to_one(spark):
+    r = random.Random(3)
+    words = [f"w{k}" for k in range(40)]
+    held = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 5 == 1]
+    train = [i for i in range(3000) if i not in set(held)][:300]
+    rows = [(i, " ".join(r.choice(words[:6] if r.random() < 0.7 else words) for _ in range(r.randrange(1, 30)))) for i in train]
+    asked = [(u, w) for u in ("w0", "w33", "never") for w in [*words, "xyz", ""]]  # a frequent, a rare and an unknown context
+    rows += [(i, f"{u} {w}") for i, (u, w) in zip(held, asked)]
+    rows.append((held[-1], " ".join(r.choice(words) for _ in range(150_000))))
+    got = {x.doc_id: x for x in py.lm_scores(spark.createDataFrame(rows, "doc_id bigint, text string"), tokens=True).collect()}
+    assert all(math.isclose(sum(x.token_scores), x.score) and math.isclose(x.perplexity, 10 ** (-x.score / x.n_tokens)) for x in got.values())
+    assert len(got[held[-1]].token_scores) == 150_001
+    p = {a: 10 ** got[i].token_scores[1] for i, a in zip(held, asked)}
+    known = {u: sum(p[u, w] for w in [*words, ""]) for u in ("w0", "w33", "never")}
+    assert 0.5 < known["never"] < 1
+    for u in ("w0", "w33"):  # what is left over is the parent's rest times the share that backs off to it
+        assert math.isclose(1 - known[u], p[u, "xyz"] / p["never", "xyz"] * (1 - known["never"]), rel_tol=1e-3)
+
+
+def test_copies_of_what_was_learnt_stand_out(spark):
+    r = random.Random(4)
+    words = [f"w{k}" for k in range(2000)]
+    texts = [" ".join(r.choice(words) for _ in range(60)) for _ in range(200)]
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 == 1][:80]
+    train = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 != 1]
+    rows = list(zip(train, texts + texts[:40])) + [(i, texts[k] if k < 40 else " ".join(r.choice(words) for _ in range(60))) for k, i in enumerate(held)]
+    got = {x.doc_id: x.score for x in py.op7(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    twice, once = [got[i] for i in train[:40]], [got[i] for i in train[40:200]]
+    assert min(twice) > max(once)
+    assert min(got[i] for i in held[:40]) > max(got[i] for i in held[40:])
