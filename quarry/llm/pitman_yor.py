@@ -42,6 +42,8 @@ other columns are ignored.  A text is one row in memory, however long.
 
 from __future__ import annotations
 
+import math
+import random
 import zlib
 from collections.abc import Iterator
 
@@ -64,7 +66,9 @@ HOT_SHARE = 20_000
 BITS = (5, 5, 5, 2)
 ORDER = len(BITS)
 WIDTH = [sum(BITS[:m]) for m in range(ORDER + 1)]
-BURN_IN, SAMPLES, SINGLE = 2, 3, 16
+BURN_IN, SAMPLES = 2, 3
+#: Dishes that are seated one after the other rather than side by side.
+FEW = 2000
 #: Concentrations; discounts are estimated from counts of counts.
 CONCENTRATION, LEAF_CONCENTRATION = 1.0, 0.2
 
@@ -402,48 +406,55 @@ def with_customers(vocabulary: pa.Table, seated: pa.Table) -> pa.Table:
     return vocabulary.append_column("queue", pa.array([pack(*sums)], pa.binary())).append_column("once", pa.array([once], pa.list_(pa.int64())))
 
 
-def _lgamma(x: np.ndarray) -> np.ndarray:
-    """log of the gamma function of positive numbers: eight steps up, then Stirling's series."""
-    low, y = np.zeros_like(x), x + 8
-    for k in range(8):
-        low += np.log(x + k)
-    z = 1 / (y * y)
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - z * (1 / 360 - z / 1260)) / y - low
+def _queue_up(n: int, done: int, t: float, p: float, concentration: float, discount: float, others: float, r: random.Random) -> float:
+    """Tables after customers ``done + 1`` to ``n`` of one dish.
+
+    Where new tables are rare, the number of customers who join occupied ones
+    before the next is drawn at once, from the product of their probabilities;
+    otherwise one customer after the other is drawn.
+    """
+    draw_, lgamma = r.random, math.lgamma
+    while done < n:
+        fresh, old = (concentration + discount * (others + t)) * p, max(done - discount * t, 1e-12)
+        if old < 16 * fresh:
+            t += draw_() * (fresh + old) < fresh
+            done += 1
+            continue
+        # log of the chance that m join is lgamma(old + m) - lgamma(old + fresh + m), less its value for none
+        bound = math.log(1 - draw_()) + lgamma(old) - lgamma(old + fresh)
+        low, high = 0, 1
+        while high <= n - done and lgamma(old + high) - lgamma(old + fresh + high) >= bound:
+            low, high = high, 2 * high
+        high = min(high, n - done + 1)
+        while high - low > 1:
+            middle = (low + high) // 2
+            if lgamma(old + middle) - lgamma(old + fresh + middle) < bound:
+                high = middle
+            else:
+                low = middle
+        t += high <= n - done  # the next new table is the high-th from here
+        done += high
+    return t
 
 
 def seat(n: np.ndarray, p: np.ndarray, concentration: float, discount: float, others: np.ndarray | float, r: np.random.Generator) -> np.ndarray:
     """Tables of dishes with n customers, base probability p and so many tables of other dishes around.
 
-    The first ``SINGLE`` customers are drawn one by one.  Behind them, how many
-    join occupied tables before the next new one is drawn at once, from the
-    product of their probabilities: the same process, in as many steps as tables.
+    All dishes side by side, one customer at a time; dish by dish once few are left.
     """
     n = n.astype(np.int64)
     t = np.minimum(n, 1).astype(np.float64)
     live = np.flatnonzero(n > 1)
     others = np.broadcast_to(np.asarray(others, dtype=np.float64), n.shape)
-    for done in range(1, SINGLE):
+    done = 1
+    while len(live) > FEW:
         fresh = (concentration + discount * (others[live] + t[live])) * p[live]
         t[live] += r.random(len(live)) * (fresh + np.maximum(done - discount * t[live], 1e-12)) < fresh
-        live = live[n[live] > done + 1]
-        if not len(live):
-            return t
-    seated = np.full(len(live), SINGLE, dtype=np.int64)
-    while len(live):
-        fresh = (concentration + discount * (others[live] + t[live])) * p[live]
-        old = np.maximum(seated - discount * t[live], 1e-12)
-        bound = np.log(1 - r.random(len(live))) + _lgamma(old) - _lgamma(old + fresh)
-        joined = lambda m: _lgamma(old + m) - _lgamma(old + fresh + m)  # noqa: B023, E731 - log of the chance that m join, and a constant
-        low, high = np.zeros(len(live), dtype=np.int64), n[live] - seated + 1  # the next new table is the high-th from here
-        while (apart := high - low > 1).any():
-            middle = np.where(apart, (low + high) // 2, high)
-            over = joined(middle.astype(np.float64)) < bound
-            high, low = np.where(apart & over, middle, high), np.where(apart & ~over, middle, low)
-        opens = high <= n[live] - seated
-        t[live] += opens
-        seated = seated + high
-        go = opens & (seated < n[live])
-        live, seated = live[go], seated[go]
+        done += 1
+        live = live[n[live] > done]
+    one = random.Random(int(r.integers(2**62)))
+    for i in live.tolist():
+        t[i] = _queue_up(int(n[i]), done, float(t[i]), float(p[i]), concentration, discount, float(others[i]), one)
     return t
 
 
