@@ -1,11 +1,16 @@
 """License scans by fuzzy short-notice search.
 
 Texts are lower-cased and reduced to words joined by single spaces.  Each
-notice may be misspelt by a number of edits that grows with its length.  By the
-pigeonhole principle, a notice with at most k edits holds one of its k + 1
-pieces unchanged; one Aho-Corasick pass finds all pieces of all notices, and
-around each find the regex library's bounded-error matching verifies the whole
-notice, counts the edits and gives the span.
+notice may be misspelt by one edit, longer ones by more.  By the pigeonhole
+principle, a notice with at most k edits holds one of its k + 1 pieces
+unchanged; one Aho-Corasick pass finds all pieces of all notices, and around
+each find the regex library's bounded-error matching verifies the whole notice,
+counts the edits and gives the span, which begins and ends between words.
+
+Of spans of one notice that overlap, the one with fewest edits stays (ties: the
+first, then the shorter).  A span yields to a base place or a span of another
+notice that has fewer edits and covers all but ``LEFT_OVER`` characters of it:
+what reads ``cc by nd`` or ``cc by and`` isn't a misspelt ``cc by nc``.  The work is in proportion to the text and the pieces found.
 
 Base phrases are matched exactly, word by word, and always reported.
 
@@ -19,6 +24,7 @@ an empty result.  Other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 from collections.abc import Iterator
@@ -34,6 +40,7 @@ from .common import slices
 
 #: Phrase and label.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+_PHRASE = {label: phrase for phrase, label in BASE.items()}
 #: Notices in normal form and their labels.
 NOTICES = {
     "released under the mit license": "mit",
@@ -56,15 +63,16 @@ NOTICES = {
     "all rights reserved": "reserved",
     "proprietary and confidential": "proprietary",
 }
-#: One edit for so many characters.
+#: One edit for so many characters, and one at least.
 CHARS_PER_EDIT = 10
+LEFT_OVER = 4
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 SPAN = "struct<label:string,first_word:bigint,start:bigint,end:bigint,edits:int,found:string>"
 
 
 def edits_allowed(notice: str) -> int:
-    return len(notice) // CHARS_PER_EDIT if len(notice) > 2 * CHARS_PER_EDIT - 4 else 0
+    return max(1, len(notice) // CHARS_PER_EDIT)
 
 
 def pieces(notice: str) -> list[tuple[int, str]]:
@@ -89,29 +97,56 @@ def _machine():
     return machine, bounded, exact
 
 
+Span = tuple[int, int, int, str]  # edits, start, end, notice
+
+
+def _best(spans: set[Span], base: list[Span]) -> list[Span]:
+    """Of each notice the spans that no better one overlaps, without those that a base place or another notice explains better."""
+    kept: list[Span] = []
+    by_notice: dict[str, list[Span]] = {}
+    for s in spans:
+        by_notice.setdefault(s[3], []).append(s)
+    for group in by_notice.values():
+        starts: list[int] = []
+        own: list[Span] = []  # disjoint, by start
+        for s in sorted(group):
+            i = bisect.bisect(starts, s[1])
+            if (i == 0 or own[i - 1][2] <= s[1]) and (i == len(own) or s[2] <= own[i][1]):
+                starts.insert(i, s[1])
+                own.insert(i, s)
+        kept += own
+    better = sorted(kept + base, key=lambda s: s[1])
+    longest = max((s[2] - s[1] for s in better), default=0)
+    starts = [s[1] for s in better]
+    out = []
+    for s in kept:
+        near = better[bisect.bisect_left(starts, s[1] - longest) : bisect.bisect_left(starts, s[2])]  # disjoint for each notice and phrase
+        if not any(o[0] < s[0] and min(s[2], o[2]) - max(s[1], o[1]) >= s[2] - s[1] - LEFT_OVER for o in near):
+            out.append(s)
+    return out
+
+
 def scan(text: str) -> tuple[list[tuple[str, int]], list[tuple[str, int, int, int, str]]]:
-    """Of a text in normal form: base places (label, offset), and spans (label, start, end, edits, found)."""
+    """Of a text in normal form: base places (label, offset), and spans (label, start, end, edits, notice)."""
     machine, bounded, exact = _machine()
     base = [(label, m.start()) for phrase, label in BASE.items() if phrase in text for m in exact[phrase].finditer(text)]
-    windows: dict[str, list[list[int]]] = {}
+    windows: set[tuple[str, int, int]] = set()
     for end, (size, where) in machine.iter(text):
         for notice, at in where:
             k = edits_allowed(notice)
-            low = max(0, end + 1 - size - at - k)
-            high = min(len(text), end + 1 - size - at + len(notice) + k)
-            open_ = windows.setdefault(notice, [])
-            if open_ and low <= open_[-1][1]:  # seeds come in order, so windows do nearly so
-                open_[-1][1] = max(open_[-1][1], high)
-                open_[-1][0] = min(open_[-1][0], low)
-            else:
-                open_.append([low, high])
-    spans = set()
-    for notice, found in windows.items():
-        pattern = bounded[notice]
-        for low, high in found:
-            for m in pattern.finditer(text, max(0, low), high):
-                spans.add((NOTICES[notice], m.start(), m.end(), sum(m.fuzzy_counts), len(notice)))
-    return base, sorted((label, a, b, e, n) for label, a, b, e, n in spans)
+            begin = end + 1 - size - at
+            low, high = max(0, begin - k), min(len(text), begin + len(notice) + k)
+            # a match begins and ends between words, so the window may shrink to where words do
+            low = 0 if low == 0 else text.find(" ", low - 1) + 1
+            high = len(text) if high == len(text) else text.rfind(" ", 0, high + 1)
+            if 0 < high - low and (low or text[0] != " "):
+                windows.add((notice, low, high))
+    spans: set[Span] = set()
+    for notice, low, high in windows:
+        m = bounded[notice].search(text, low, high)
+        if m:
+            spans.add((sum(m.fuzzy_counts), m.start(), m.end(), notice))
+    return base, sorted((NOTICES[n], a, z, e, n) for e, a, z, n in _best(spans, [(0, at, at + len(_PHRASE[label]), _PHRASE[label]) for label, at in base]))
 
 
 def normal_form(texts: pa.Array) -> pa.Array:
@@ -132,9 +167,11 @@ def license_scan(docs: DataFrame) -> DataFrame:
             base, spans, scores = [], [], []
             for s in normal.to_pylist():
                 exact, fuzzy = scan(s)
-                base.append([{"label": label, "word": s.count(" ", 0, at)} for label, at in exact])
-                spans.append([{"label": label, "first_word": s.count(" ", 0, a), "start": a, "end": z, "edits": e, "found": s[a:z]} for label, a, z, e, _ in fuzzy])
-                scores.append(1.0 if exact else max((1 - e / n for _, _, _, e, n in fuzzy), default=0.0))
+                spaces = [m.start() for m in re.finditer(" ", s)] if exact or fuzzy else []
+                word = functools.partial(bisect.bisect_left, spaces)
+                base.append([{"label": label, "word": word(at)} for label, at in exact])
+                spans.append([{"label": label, "first_word": word(a), "start": a, "end": z, "edits": e, "found": s[a:z]} for label, a, z, e, _ in fuzzy])
+                scores.append(1.0 if exact else max((1 - e / len(n) for _, _, _, e, n in fuzzy), default=0.0))
             place = pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64())]))
             span = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32()), ("found", pa.string())]))
             yield pa.RecordBatch.from_arrays(
