@@ -60,7 +60,7 @@ from .common import Scratch, slices
 
 FOLDS, HELD_OUT = 5, 1
 #: Bytes of text of a page, of a bucket of contexts, and of a bucket of words.
-PAGE, PAGE_ROWS, BUCKET, WORD_BUCKET = 5_000_000, 16_384, 16_000_000, 32_000_000
+PAGE, PAGE_ROWS, BUCKET, WORD_BUCKET = 5_000_000, 16_384, 12_000_000, 24_000_000
 HOT_SHARE = 20_000
 #: Bits of context for each of the preceding letters, the closest first.
 BITS = (5, 5, 5, 2)
@@ -610,7 +610,7 @@ def lm_scores(docs: DataFrame, tokens: bool = False) -> DataFrame:
     masses = seated.where("mass is not null").groupBy("hot").agg(F.sum("mass").alias("mass")).collect()  # as many as in ``hot`` at most
     sent = seated.where("customers is not null").select("bucket", "customers")
     whole = vocabulary.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(with_customers, VOCABULARY + ", queue binary, once array<bigint>")
-    vocabulary = scratch.save(whole, "customers")
+    vocabulary = scratch.save(whole.repartition(word_buckets, "bucket"), "customers")  # every sweep reads it: not in a few files
     known, one, two = vocabulary.agg(F.sum("known"), F.sum(F.col("once")[0]), F.sum(F.col("once")[1])).first()
     share, known = discount(one or 0, two or 0), known or 0
     state = State(Spelling(), 0.0, 0.0, 0, 0)
