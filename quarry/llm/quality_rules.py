@@ -50,6 +50,8 @@ RULES = {
 #: Before any text is seen: how often a rule says good, nothing or bad, by class.
 ACCUSERS = ({1: 0.001, 0: 0.699, -1: 0.3}, {1: 0.001, 0: 0.989, -1: 0.01})
 JUDGES = ({1: 0.4, 0: 0.3, -1: 0.3}, {1: 0.8, 0: 0.18, -1: 0.02})
+#: That belief counts as so many texts, a fifth of them bad.
+PRIOR_TEXTS = 20.0
 
 
 def _grams(w: Column) -> Column:
@@ -130,20 +132,20 @@ def vote(name: str) -> Column:
     return F.when(F.col("n_words") > 0, says.otherwise(0)).otherwise(0)
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100, prior: float = 0.25) -> tuple[float, list[list[dict[int, float]]]]:
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, prior: float = PRIOR_TEXTS) -> tuple[float, list[list[dict[int, float]]]]:
     """EM over (votes, number of texts).
 
-    Starts from ``ACCUSERS`` and ``JUDGES``.  The same belief, with the weight of
-    ``prior`` times the corpus, stays in as pseudo-counts: it keeps the classes
-    from changing places and decides alone on an empty corpus.  Returns the
-    share of good texts and, by class and rule, vote probabilities.
+    Starts from ``ACCUSERS`` and ``JUDGES``, which keeps the classes from changing
+    places.  The same belief stays in as pseudo-counts of ``prior`` texts however
+    large the corpus, so accuracies are the corpus's own but for tiny ones.
+    Returns the share of good texts and, by class and rule, vote probabilities.
     """
     rules = len(RULES)
     total = sum(n for _, n in patterns)
     belief = [[dict((ACCUSERS if good is None else JUDGES)[k]) for _, _, good, _ in RULES.values()] for k in (0, 1)]
     share, says = 0.8, belief
     for _ in range(rounds if total else 0):
-        weight = [prior * total * 0.2 + 1e-9, prior * total * 0.8 + 1e-9]
+        weight = [prior * 0.2, prior * 0.8]
         seen = [[{v: weight[k] * belief[k][r][v] for v in (1, 0, -1)} for r in range(rules)] for k in (0, 1)]
         mass = list(weight)
         for votes, n in patterns:
@@ -195,15 +197,13 @@ def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that pass, all columns.
 
-    The statistics are computed once to learn from and once more beside the
-    text: dearer than a join by id, but without a shuffle of texts.
+    Rows are written once with their votes: the statistics are by far the
+    dearest part, and nothing is shuffled to bring them back to the texts.
     """
-    model = _model(_votes(statistics(docs)))
     whole = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
-    judged = _judged(_votes(statistics(whole, "_row")), model, threshold)
-    # a filter on ``kept`` would be pushed below the statistics, each use of which would compute them again
-    passed = judged.select(F.explode_outer(F.filter(F.array("_row"), lambda _: F.col("kept"))).alias("_row"))
-    return passed.where(F.col("_row").isNotNull()).select("_row.*")
+    voted = _votes(statistics(whole, "_row")).select("_row", "n_words", "n_repeat_words", *(f"v_{n}" for n in RULES))
+    voted = Scratch(docs.sparkSession, "rules").save(voted, "voted")
+    return _judged(voted, _model(voted), threshold).where("kept").select("_row.*")
 
 
 def op10(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,10 @@
+import unicodedata
+
+import numpy as np
+
 from quarry.llm import quality_rules as q
 
-from .brute import quality_counts
+from .brute import WORD, quality_counts
 
 SCHEMA = "doc_id bigint, text string, w string, kept boolean, _row int"
 GOOD = "The river of the town is long and it is in the north, and the people of it are there with the boats."
@@ -37,6 +41,58 @@ def test_verdicts_and_filter_agree(spark):
     assert stays.columns == df.columns and sorted(str(x.doc_id) for x in stays.collect()) == sorted(str(x.doc_id) for x in got if x.kept)
 
 
+def plain_shares(t):
+    """The shares the rules look at, letter by letter."""
+    t = t or ""
+    n_words, word_chars, symbols, dup, repeat = quality_counts(t)
+    solid = [c for c in t if c not in " \t\n\x0b\x0c\r"]
+    letters, capitals = (sum(unicodedata.category(c).startswith(k) for c in solid) for k in ("L", "Lu"))
+    lines = sum(1 for x in t.split("\n") if WORD.search(x))
+    share = lambda a, b: a / b if b else 0.0
+    return n_words, repeat, {
+        "symbol_share": share(symbols, n_words), "repeat_share": share(repeat, n_words), "dup_line_share": share(dup, lines), "letter_share": share(letters, word_chars),
+        "capital_share": share(capitals, letters), "bang_share": share(t.count("!"), n_words), "bar_share": share(t.count("|"), n_words),
+        "stop_share": share(sum(w.lower() in q.STOP_WORDS for w in WORD.findall(t)), n_words), "mean_word": share(word_chars, n_words),
+    }
+
+
+def test_posteriors_match_plain_em_text_by_text(spark):
+    rows = fixture(spark)
+    facts = [plain_shares(t) for _, t, *_ in rows]
+    votes = np.zeros((len(rows), len(q.RULES)), dtype=int)
+    for i, (n, _, x) in enumerate(facts):
+        for r, (share, way, good, bad) in enumerate(q.RULES.values()):
+            v, sign = x[share], 1 if way == "<" else -1
+            votes[i, r] = 0 if not n else -1 if sign * (v - bad) >= 0 else 1 if good is not None and sign * (v - good) <= 0 else 0
+    belief = np.array([[[(q.ACCUSERS if rule[2] is None else q.JUDGES)[k][v] for v in (-1, 0, 1)] for rule in q.RULES.values()] for k in (0, 1)])
+    says, good = belief.copy(), 0.8
+    for _ in range(500):
+        p = np.array([says[k][np.arange(len(q.RULES)), votes + 1].prod(axis=1) for k in (0, 1)])
+        post = good * p[1] / (good * p[1] + (1 - good) * p[0])
+        weight = np.array([1 - post, post])
+        prior = q.PRIOR_TEXTS * np.array([0.2, 0.8])
+        seen = np.array([[[weight[k][votes[:, r] == v].sum() for v in (-1, 0, 1)] for r in range(len(q.RULES))] for k in (0, 1)]) + prior[:, None, None] * belief
+        says = seen / seen.sum(axis=2, keepdims=True)
+        good = (weight[1].sum() + prior[1]) / (len(rows) + prior.sum())
+    want = sorted((str(i), round(float(x), 4), bool(n >= 50 and 100 * rep <= 50 * n and x >= 0.5)) for (i, *_), x, (n, rep, _) in zip(rows, post, facts))
+    got = sorted((str(x.doc_id), round(x.p_good, 4), x.kept) for x in q.op10(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert [(a, c) for a, _, c in got] == [(a, c) for a, _, c in want]
+    assert all(abs(a[1] - b[1]) < 1e-3 for a, b in zip(got, want))
+
+
+def test_em_finds_the_share_of_simulated_texts():
+    from random import Random
+
+    r, patterns = Random(7), {}
+    for _ in range(20000):  # rules are wrong about a tenth of the good texts and right about most bad ones
+        good = r.random() < 0.3
+        votes = tuple((-1 if r.random() < (0.1 if good else 0.6) else 0) if rule[2] is None else (1 if r.random() < (0.9 if good else 0.4) else -1) for rule in q.RULES.values())
+        patterns[votes] = patterns.get(votes, 0) + 1
+    share, says = q.fit(sorted(patterns.items()))
+    assert abs(share - 0.3) < 0.03
+    assert all(abs(says[1][i][-1] - 0.1) < 0.03 and abs(says[0][i][-1] - 0.6) < 0.03 for i, rule in enumerate(q.RULES.values()))
+
+
 def test_em_finds_who_is_right():
     from random import Random
 
