@@ -37,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 PACK_CHARS = 65_536
 TRAINED = "assistant"
 #: What follows the first character of a control string, here or in common templates.
@@ -136,10 +138,13 @@ def read_back(pack: dict) -> Iterator[tuple[object, str, list[tuple[int, int]]]]
         yield c["conv_id"], "".join(reversed(parts)), loss[::-1]
 
 
-def chat_packs(conversations: DataFrame, pack_chars: int = PACK_CHARS) -> DataFrame:
-    """One row a pack: text, segments, conversations."""
+def chat_packs(conversations: DataFrame, pack_chars: int = PACK_CHARS, apart: tuple[str, ...] = ()) -> DataFrame:
+    """One row a pack: text, segments, conversations.
+
+    Rows of one conv_id that differ in a column of ``apart`` are conversations of their own.
+    """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
+    whole = conversations.groupBy("conv_id", *apart).agg(F.sort_array(F.collect_list(turn)).alias("t"))
     whole = whole.select("conv_id", "t.role", "t.text", F.transform("t", lambda x: F.xxhash64(x["role"], x["text"])).alias("path"))
     whole = whole.repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id")
     kind = conversations.schema["conv_id"].dataType.simpleString()
@@ -168,7 +173,7 @@ def digests(packs: DataFrame) -> DataFrame:
     kind = packs.schema["conversations"].dataType.elementType["conv_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 16):  # packs
             ids = b.column("conversations").type.value_type.field("conv_id").type
             rows = []
             for pack in b.to_pylist():
@@ -189,22 +194,23 @@ PROBE = "</s>[INST] ok [/INST]"
 
 
 def op3(conversations: DataFrame) -> DataFrame:
+    """All conversations and the probe, which stays apart from a conversation of its id: then there are two rows of that id."""
     spark = conversations.sparkSession
-    probe = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise(TRAINED).alias("role"), F.lit(PROBE).alias("text"))
-    rows = conversations.select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", "text").unionByName(probe)
-    return digests(chat_packs(rows))
+    probe = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise(TRAINED).alias("role"), F.lit(PROBE).alias("text"), F.lit(True).alias("probe"))
+    rows = conversations.select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", "text", F.lit(False).alias("probe")).unionByName(probe)
+    return digests(chat_packs(rows, apart=("probe",)))
 
 
 OP3_SQL = """
 WITH c AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
-  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, false AS probe FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]', true
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]', true)
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(length(replace(replace(replace(role, '%', '%25'), '|', '%7C'), chr(10), '%0A')) + 5 + length(text) + 8
            + len(regexp_extract_all(text, '[<\\[]!*(\\||/?s>|/?INST\\]|</?SYS>>)'))) AS BIGINT) AS formatted_chars
-FROM c GROUP BY conv_id
+FROM c GROUP BY conv_id, probe
 """

@@ -60,3 +60,10 @@ def test_packs_share_turns_once_and_attend_to_ancestors_only():
 
 def test_empty_table(spark):
     assert [x.conv_id for x in chat.op3(spark.createDataFrame([], SCHEMA)).collect()] == [-1]
+
+
+def test_a_conversation_with_the_probe_s_id_stays_apart_and_long_texts_stay_whole(spark):
+    long = "word [INST] " * 30_000
+    df = spark.createDataFrame([(-1, 0, "user", "mine", None), (-1, 1, "assistant", long, None)], SCHEMA)
+    got = sorted(chat.op3(df).collect(), key=lambda x: x.loss_chars)
+    assert [(x.conv_id, x.n_turns, x.loss_chars) for x in got] == [(-1, 2, len(chat.PROBE)), (-1, 2, len(long))]
