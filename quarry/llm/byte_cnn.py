@@ -6,9 +6,10 @@ describe each chunk, a small hidden layer looks at every chunk, and the mean
 and the maximum over all chunks give one probability.  A response is a sum of
 table look-ups, one a byte, so no text is ever one-hot encoded.
 
-Training takes at most ``SAMPLE`` labelled texts of each class, those whose ids
-have the lowest hashes, and of very long ones ``SAMPLE_CHUNKS`` pieces spread
-evenly over the text; this bounds the driver's work whatever the corpus.
+Training takes a bounded sample of labelled rows: at most ``SAMPLE`` of each
+class, those whose ids have the lowest hashes, and of these, in that order, as
+many as fit into ``SAMPLE_BYTES``.  Every text of it is learnt from whole; one
+that doesn't fit is left out.  This bounds the driver's work whatever the corpus.
 Scoring is one narrow pass over all texts, whole, in pieces of bounded size.
 
 Labels are learnt from rows whose crc32 of the id modulo ``FOLDS`` isn't 0; the
@@ -23,7 +24,6 @@ prior.  Empty tables give empty results, other columns are ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import Scratch, slices
 
-WIDTH, STRIDE, FILTERS, HIDDEN, BLOCK = 8, 2, 24, 16, 256
-SAMPLE, SAMPLE_CHUNKS = 1500, 64
+WIDTH, FILTERS, HIDDEN, BLOCK = 8, 24, 16, 256
+SAMPLE, SAMPLE_BYTES = 1500, 12_000_000
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 #: Blocks convolved at once: 6 MB of responses.
-AT_ONCE = 512
+AT_ONCE = 256
 
 
 def fold(doc_id: Column) -> Column:
@@ -74,22 +74,21 @@ def block_maxima(x: Layout, table: np.ndarray, places: bool = False) -> tuple[np
     total = len(x.starts)
     out = np.empty((total, table.shape[2]), dtype=np.float32)
     where = np.empty(out.shape, dtype=np.int64) if places else None
-    per = BLOCK // STRIDE
-    place = np.arange(per) * STRIDE
+    place = np.arange(BLOCK)
     for a in range(0, total, AT_ONCE):
         z = min(total, a + AT_ONCE)
         window = x.bytes[a * BLOCK : z * BLOCK + WIDTH]
         n = (z - a) * BLOCK
-        y = table[0][window[0:n:STRIDE]]
+        y = table[0][window[:n]]
         for k in range(1, WIDTH):
-            y += table[k][window[k : n + k : STRIDE]]
-        y = y.reshape(z - a, per, -1)
+            y += table[k][window[k : n + k]]
+        y = y.reshape(z - a, BLOCK, -1)
         short = np.flatnonzero(x.starts[a:z] < BLOCK)
         if len(short):
             y[short] = np.where((place[None, :] < x.starts[a:z][short][:, None])[:, :, None], y[short], -np.inf)
         out[a:z] = y.max(axis=1)
         if places:
-            where[a:z] = y.argmax(axis=1) * STRIDE + (np.arange(a, z) * BLOCK)[:, None]
+            where[a:z] = y.argmax(axis=1) + (np.arange(a, z) * BLOCK)[:, None]
     return out, where
 
 
@@ -157,15 +156,17 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 14, batch: int =
     return net
 
 
-def spread(text: bytes) -> bytes:
-    """At most ``SAMPLE_CHUNKS`` pieces of a chunk's size, evenly spaced over the text."""
-    size = 2 * BLOCK
-    if len(text) <= SAMPLE_CHUNKS * size:
-        return text
-    return b"".join(text[a : a + size] for a in np.linspace(0, len(text) - size, SAMPLE_CHUNKS).astype(int))
+def fitting(rows: list[tuple[int, int]], limit: int) -> set[int]:
+    """Of (hash, bytes) those hashes whose texts fit into ``limit``, in order."""
+    chosen, left = set(), limit
+    for h, size in rows:
+        if h not in chosen and size <= left:
+            chosen.add(h)
+            left -= size
+    return chosen
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], np.ndarray, float]:
+def sample(docs: DataFrame, labels: DataFrame, limit: int | None = None) -> tuple[list[bytes], np.ndarray, float]:
     """Texts, labels, and the share of label 1 among all that may be learnt from."""
     known = labels.where(F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != HELD_OUT)).select("doc_id", F.col("quality").cast("int").alias("y"))
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
@@ -173,18 +174,15 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], np.ndarray,
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id")  # at most 2 * SAMPLE ids
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            texts = [spread((t or "").encode()) for t in b.column("text").to_pylist()]
-            hashes = [zlib.crc32(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), b.column("y"), pa.array(hashes, pa.int64())], ["t", "y", "h"])
-
-    found = rows.select("text", "y").mapInArrow(run, "t binary, y int, h bigint")
-    got = found.orderBy("h", "t", "y").limit(2 * SAMPLE).collect()  # ids that repeat can't exceed the bound
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select("doc_id", text.alias("t")).join(F.broadcast(chosen.distinct()), "doc_id")  # at most 2 * SAMPLE ids
+    found = Scratch(docs.sparkSession, "quality").save(rows.select("t", "y", F.xxhash64("t", "y").alias("h"), F.octet_length("t").alias("size")), "sample")
+    # equal texts of one label teach once; ids that repeat can't exceed the bound
+    sizes = found.groupBy("h").agg(F.first("size").alias("size")).orderBy("h").limit(2 * SAMPLE).collect()
+    hashes = fitting([(r["h"], r["size"]) for r in sizes], SAMPLE_BYTES if limit is None else limit)
+    got = found.where(F.col("h").isin(list(hashes))).dropDuplicates(["h"]).orderBy("h").select("t", "y").collect()
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    return [bytes(r["t"]) for r in got], np.array([r["y"] for r in got], dtype=float), share
+    return [r["t"].encode() for r in got], np.array([r["y"] for r in got], dtype=float), share
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

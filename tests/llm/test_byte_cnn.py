@@ -18,7 +18,7 @@ def test_maxima_match_brute_force_and_batches_do_not_matter():
         at = x.first[i]
         padded = (t or b"\0") + bytes(2 * c.BLOCK)
         for b in range(0, max(1, len(t)), c.BLOCK):
-            starts = range(b, min(b + c.BLOCK, max(1, len(t))), c.STRIDE)
+            starts = range(b, min(b + c.BLOCK, max(1, len(t))))
             want = np.max([sum(net.table[k, padded[s + k]] for k in range(c.WIDTH)) for s in starts], axis=0)
             assert np.allclose(got[at], want, atol=1e-4)
             at += 1
@@ -62,3 +62,14 @@ def test_held_out_accuracy_and_defined_edge_cases(spark):
     assert all(abs(again[x.doc_id] - x.score) < 1e-6 for x in held)  # held-out labels teach nothing
     assert c.op2(spark.createDataFrame([], DOCS), lab).collect() == []
     assert {x.score for x in c.op2(d, spark.createDataFrame([], LABELS)).collect()} == {0.5}
+
+
+def test_the_sample_holds_whole_texts_within_its_bound(spark):
+    docs = spark.createDataFrame([(i, "x" * (10 + i) * (500 if i == 7 else 1), None, None) for i in range(1, 40)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2, None, None) for i in range(1, 40)], LABELS)
+    whole = {("x" * (10 + i) * (500 if i == 7 else 1)).encode() for i in range(1, 40)}
+    texts, y, _ = c.sample(docs, labels, 600)
+    assert set(texts) <= whole and 400 < sum(map(len, texts)) <= 600 and len(texts) == len(y)
+    texts, _, share = c.sample(docs, labels)
+    assert set(texts) == {t for i in range(1, 40) if zlib.crc32(str(i).encode()) % 5 for t in [("x" * (10 + i) * (500 if i == 7 else 1)).encode()]}
+    assert 0 < share < 1
