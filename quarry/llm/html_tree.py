@@ -8,12 +8,19 @@ every node; the text leaves that are more likely content than not are the page's
 main text, in page order.
 
 The weights maximise the likelihood of labelled pages (their gradient needs the
-same messages).  The labelled pages come from ``labelled_pages``: layouts
-with menus, headers, footers, sidebars, notices, adverts, forms and comments
-around and inside an article, labelled as they are written.
+same messages).  The labelled pages come from ``labelled_page``: layouts with
+menus, headers, footers, sidebars, notices, adverts, forms and comments around
+and inside an article, labelled as they are written; in a third of them no
+element, class or id tells what it is, only headings, shape and wording do.
 
 Messages run over a whole batch of pages at once, one vectorised step for each
-depth of the trees.  The scan is one narrow pass; a page is read whole.
+depth of the trees.  The scan is one narrow pass; a page is read whole, in time
+proportional to its length, and a batch is bounded in bytes.
+
+Of scripts, styles and other raw text everything up to the end tag is left out,
+or up to the end of the page if there is none, as browsers do.  Other elements
+without readable text (``UNSEEN``) are left out with all they nest; one that is
+never closed is ignored alone.
 
 Nulls: a null or empty page gives an empty text.  Null ids and urls stay null,
 repeated rows are pages of their own, an empty table gives an empty result, and
@@ -22,7 +29,6 @@ other columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import html
 import random
 import re
@@ -30,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +48,8 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Elements whose text no reader sees.
-RAW = frozenset("script style noscript template iframe title textarea xmp noembed noframes svg math object canvas audio video select datalist".split())
+RAW = frozenset("script style noscript template iframe title textarea xmp noembed noframes".split())
+UNSEEN = frozenset("svg math object canvas audio video select datalist".split())
 BLOCK = frozenset(
     "html head body article section main nav header footer aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th "
     "form fieldset legend label button blockquote pre figure figcaption address hr details summary center menu dialog hgroup search".split()
@@ -52,6 +60,8 @@ ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
 }
+#: How far up an element is sought that the start of its sibling ends.
+NESTED = 64
 KEYWORDS = {
     "nav": "nav menu navbar navigation breadcrumb breadcrumbs pagination pager tabs toc skip",
     "ad": "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner adsense",
@@ -65,6 +75,39 @@ KEYWORDS = {
     "main": "article content main post entry story body text prose",
 }
 _GROUP = {w: g for g, ws in KEYWORDS.items() for w in ws.split()}
+#: Words that short texts and headings around an article use.
+SAYS = {
+    "comment": "comment comments reply replies replied responses commented discussion kommentare kommentar comentarios commentaires réponses",
+    "side": "related recommended trending popular latest ähnliche relacionados similaires",
+    "notice": "cookie cookies consent newsletter subscribe subscription sign accept privacy unsubscribe",
+    "foot": "© copyright rights reserved imprint impressum",
+    "ad": "advertisement sponsored advert anzeige publicidad publicité",
+    "share": "share tweet follow print",
+}
+_SAYS = {w: g for g, ws in SAYS.items() for w in ws.split()}
+_WORD = re.compile(r"[^\W\d_]+|©")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def _says(text: str) -> str:
+    """What a short text is about, by the first word that tells."""
+    return next((_SAYS[w] for w in _WORD.findall(text.lower()) if w in _SAYS), "")
+
+
+def _portion(n: int, total: int) -> str:
+    share = n / total if total else 0
+    return "tiny" if share < 0.03 else "small" if share < 0.15 else "some" if share < 0.4 else "most" if share < 0.75 else "all"
+
+
+def _unseen(page: str, name: str) -> dict[int, int]:
+    """By the place of each start tag of ``name`` that has an end tag, where that one ends."""
+    out, open_ = {}, []
+    for m in re.finditer(f"<(/?){name}(?=[\\s/>])[^>]*>", page, re.IGNORECASE):
+        if not m[1]:
+            open_.append(m.start())
+        elif open_:
+            out[open_.pop()] = m.end()
+    return out
 
 
 class Tree:
@@ -99,7 +142,10 @@ def parse(page: str) -> Tree:
     """The tree of a page.  Never fails: what isn't a tag is text."""
     t = Tree()
     root = t.add(-1, {"root"}, None)
-    stack = [("", root, [0, 0, 0])]  # tag, node, [words, words in links, paragraphs]
+    stack: list[list] = [["", root, [0, 0, 0, 0], ""]]  # tag, node, [words, words in links, paragraphs, main headings], what its last heading says
+    words: dict[int, int] = {}
+    open_: dict[str, int] = {"": 1}  # how many of each tag are open
+    unseen: dict[str, dict[int, int]] = {}
     pieces: list[str] = []
     linked, in_link = 0, 0
 
@@ -110,23 +156,37 @@ def parse(page: str) -> Tree:
         text = " ".join(html.unescape("".join(pieces)).split())
         pieces.clear()
         if text:
-            tag, node, counts = stack[-1]
+            tag, node, counts, after = stack[-1]
             n = text.count(" ") + 1
             counts[0] += n
             counts[1] += min(n, linked)
-            density = _links(min(n, linked), n)
-            t.add(node, {"text", f"in:{tag}", f"words:{_bucket(n)}", f"links:{density}", f"in:{tag}:links:{density}", f"ends:{text[-1] in '.!?:;…'}"}, text)
+            density, says = _links(min(n, linked), n), _says(text) if n <= 15 else ""
+            ends = text[-1] in ".!?:;…"
+            features = {"text", f"in:{tag}", f"words:{_bucket(n)}", f"links:{density}", f"in:{tag}:links:{density}", f"ends:{ends}", f"ends:{ends}:words:{_bucket(n)}"}
+            if says:
+                features.add(f"says:{says}")
+                if tag in HEADINGS and len(stack) > 1:
+                    stack[-2][3] = says
+            elif tag in HEADINGS and len(stack) > 1:
+                stack[-2][3] = ""
+            if after:
+                features.add(f"after:{after}")
+            words[t.add(node, features, text)] = n
         linked = 0
 
     def close() -> None:
         flush()
-        tag, node, (n, links, paragraphs) = stack.pop()
-        t.features[node] |= {f"size:{_bucket(n)}", f"density:{_links(links, n)}", f"{tag}:density:{_links(links, n)}", f"paragraphs:{min(paragraphs, 3)}"}
+        tag, node, (n, links, paragraphs, main), _ = stack.pop()
+        open_[tag] -= 1
+        density = _links(links, n)
+        t.features[node] |= {f"size:{_bucket(n)}", f"density:{density}", f"{tag}:density:{density}", f"paragraphs:{min(paragraphs, 3)}", f"main:{min(main, 1)}:paragraphs:{min(paragraphs, 3)}"}
+        words[node] = n
         if stack:
             up = stack[-1][2]
             up[0] += n
             up[1] += links
             up[2] += paragraphs + (tag == "p")
+            up[3] += main + (tag == "h1")
 
     at, end = 0, len(page)
     while at < end:
@@ -148,6 +208,11 @@ def parse(page: str) -> Tree:
                 stop = re.compile(f"</{re.escape(name)}[^>]*(?:>|\\Z)", re.IGNORECASE).search(page, at)
                 at = stop.end() if stop else end
             continue
+        if name in UNSEEN and not ending:
+            if name not in unseen:
+                unseen[name] = _unseen(page, name)
+            at = unseen[name].get(m.start(), at)
+            continue
         if name == "a":
             in_link = 0 if ending else 1
         elif name == "br":
@@ -155,13 +220,13 @@ def parse(page: str) -> Tree:
         if name not in BLOCK:
             continue
         if ending:
-            if any(tag == name for tag, _, _ in stack):
+            if open_.get(name):
                 while stack[-1][0] != name:
                     close()
                 close()
             continue
         flush()
-        if name != "p" or stack[-1][0] == "p":
+        if open_.get("p") and (name != "p" or stack[-1][0] == "p"):
             for k in range(len(stack) - 1, 0, -1):  # an open paragraph ends before any block
                 if stack[k][0] == "p":
                     while len(stack) > k:
@@ -169,15 +234,19 @@ def parse(page: str) -> Tree:
                     break
                 if stack[k][0] in ("td", "th", "li", "blockquote", "div", "section", "article", "body"):
                     break
-        ended, stops = ENDS.get(name, ((), ()))
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in stops:
-                break
-            if stack[k][0] in ended:
-                while len(stack) > k:
-                    close()
-                break
+        if name in ENDS and any(open_.get(x) for x in ENDS[name][0]):
+            ended, stops = ENDS[name]
+            for k in range(len(stack) - 1, max(0, len(stack) - NESTED), -1):
+                if stack[k][0] in stops:
+                    break
+                if stack[k][0] in ended:
+                    while len(stack) > k:
+                        close()
+                    break
+        after = stack[-1][3]
         features, mark = {f"tag:{name}", f"under:{stack[-1][0]}:{name}"}, ""
+        if after:
+            features.add(f"after:{after}")
         for key, value in _ATTRIBUTE.findall(attributes) if attributes else ():
             key, value = key.lower(), value.strip("\"'")
             if key in ("hidden", "aria-hidden") and value.lower() != "false" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
@@ -187,9 +256,14 @@ def parse(page: str) -> Tree:
                 mark = value if key == "id" and value.startswith("label-") else mark
         node = t.add(stack[-1][1], features, None, mark)
         if name not in VOID:
-            stack.append((name, node, [0, 0, 0]))
+            stack.append([name, node, [0, 0, 0, 0], ""])
+            open_[name] = open_.get(name, 0) + 1
     while stack:
         close()
+    whole = words[root]
+    for node, n in words.items():
+        kind = "text" if t.text[node] is not None else "node"
+        t.features[node].add(f"{kind}:portion:{_portion(n, whole)}")
     return t
 
 
@@ -297,6 +371,61 @@ def labelled_page(r: random.Random) -> str:
                 parts.append(noise())
         return "".join(parts)
 
+    def bare() -> str:
+        """A page without telling elements, classes or ids: divisions, headings and paragraphs."""
+        heading = lambda group: f'<{(x := r.choice(["h2", "h3", "h4", "div", "p"]))} id="label-0">{r.choice(["", f"{r.randrange(1, 99)} ", f"{_words(r, 1)} "])}{r.choice(SAYS[group].split()).capitalize()}</{x}>'
+        rows = lambda one, tag: "".join(f'<{tag} id="label-0">{one()}</{tag}>' for _ in range(r.choice([1, 2, 3, 8, 20])))
+        zero = lambda inside: f'<{(x := r.choice(["div", "div", "p", "section", "span"]))} id="label-0">{inside}</{x}>' if r.random() < 0.8 else f'<div><div id="label-0">{inside}</div></div>'
+
+        def around() -> str:
+            kind = r.randrange(6)
+            if kind == 0:
+                return zero(r.choice([" | ", " ", " &middot; "]).join(link() for _ in range(r.randrange(2, 9))))
+            if kind == 1:
+                return f'<div id="label-0">{menu()}</div>' if r.random() < 0.7 else f'<ul id="label-0">{menu()[4:-5]}</ul>'
+            if kind == 2:
+                return zero(f"{sentence(2, 6)} {r.choice(SAYS['notice'].split())} {sentence(2, 5)}")
+            if kind == 3:
+                return zero(f"{r.choice(SAYS['share'].split())} {link(1)} {link(1)}")
+            if kind == 4:
+                return zero(f"{r.choice(SAYS['ad'].split())} {_words(r, r.randrange(1, 8))}")
+            return zero(_words(r, r.randrange(1, 4)))
+
+        def behind() -> str:
+            kind = r.randrange(3)
+            if kind == 0:
+                tag = r.choice(["p", "div", "li"])
+                inside = heading("comment") + rows(lambda: r.choice([text, sentence])() if r.random() < 0.7 else f"<b>{_words(r, 1)}</b> {sentence()}", tag)
+                return inside if r.random() < 0.5 else f'<div id="label-0">{inside}</div>'
+            if kind == 1:
+                return heading("side") + f'<ul id="label-0">{menu()[4:-5]}</ul>'
+            return around()
+
+        marked = lambda inner: "".join(f'<{x} id="label-1">{y}</{x}>' for x, y in inner)
+        parts = [("h1", r.choice([_words(r, 5), sentence()]))] if r.random() < 0.7 else []
+        for _ in range(r.choice([1, 2, 3, 5, 9, 20])):
+            parts.append(("h2", _words(r, 4)) if r.random() < 0.12 else ("ul", "".join(f"<li>{sentence()}</li>" for _ in range(3))) if r.random() < 0.08 else ("blockquote", text()) if r.random() < 0.05 else (r.choice(["p"] * 9 + ["div"]), plain() if r.random() < 0.9 else text()))
+        inner = marked(parts)
+        if r.random() < 0.65:
+            inner = f'<{(x := r.choice(["div", "div", "section", "td"]))} id="label-1">{inner}</{x}>'
+        front, back = "".join(around() for _ in range(r.randrange(0, 4))), "".join(behind() for _ in range(r.randrange(0, 4)))
+        foot = zero(f"{r.choice(['&copy;', 'Copyright', 'All rights reserved'])} {r.choice(['', '2020 '])}{_words(r, r.randrange(1, 6))}") if r.random() < 0.7 else ""
+        body = f"{front}{inner}{back}{foot}"
+        if r.random() < 0.2:  # laid out by a table
+            if r.random() < 0.5:
+                broken = "<br><br>".join([f"<b>{_words(r, 4)}</b>", *(plain() for _ in range(r.randrange(1, 6)))])
+                inner = f'<span>{broken}</span>'
+            cells = [x.replace("<p ", "<div ") for x in (front, back, foot) if x]
+            rows_ = [f"<td>{x}</td>" for x in cells[:1]] + [f'<td id="label-1">{inner}</td>'] + [f"<td>{x}</td>" for x in cells[1:]]
+            glue = r.choice(["</tr><tr>", ""])
+            body = f"<table><tr>{glue.join(rows_)}</tr></table>"
+            if r.random() < 0.5:  # cells of their own, without a division inside
+                around_ = [f'<td id="label-0">{" ".join(link() for _ in range(r.randrange(2, 6)))}</td>', f'<td id="label-0">{r.choice(["&copy;", "Copyright"])} {_words(r, 4)}</td>']
+                body = f'<table><tr>{glue.join([around_[0], rows_[min(1, len(cells))] if cells else rows_[0], around_[1]])}</tr></table>'
+        return f"<html><head><title>{_words(r, 3)}</title></head><body>{body if r.random() < 0.6 else f'<div>{body}</div>'}</body></html>"
+
+    if r.random() < 1 / 3:
+        return bare()
     head = ""
     if r.random() < 0.6:
         inside = r.choice([f"<div>{_words(r, 2)}</div>", f"<h2>{_words(r, 3)}</h2>", f"<p>{sentence()}</p>", menu(), f"<h1>{_words(r, 2)}</h1>", f"<h1>{link()}</h1><p>{_words(r, 4)}</p>"])
@@ -330,8 +459,11 @@ def labels(t: Tree) -> np.ndarray:
     return np.array(out)
 
 
-@functools.cache
-def trained(pages: int = 600, steps: int = 300, seed: int = 7) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+#: Of the first steps; later ones are shorter.
+RATE = 0.2
+
+
+def trained(pages: int = 600, steps: int = 160, seed: int = 7) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
     """vocabulary, weights, potentials: gradient ascent on the likelihood of the labelled pages."""
     r = random.Random(seed)
     trees = [parse(labelled_page(r)) for _ in range(pages)]
@@ -351,7 +483,7 @@ def trained(pages: int = 600, steps: int = 300, seed: int = 7) -> tuple[dict[str
         for x, g, (m, v) in zip((w, theta), (grad_w, seen - expected - 0.05 * theta), moments):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
-            x += 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+            x += RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return vocabulary, w, theta
 
 
@@ -369,14 +501,27 @@ def main_texts(pages: list[str | None], model: tuple[dict[str, int], np.ndarray,
     return out
 
 
-def extract(pages: DataFrame, threshold: float = 0.5, pages_at_once: int = 256) -> DataFrame:
-    """page_id, url, text and the number of blocks kept and left."""
-    model = trained()
+def batches_of(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
+    """(begin, length) of runs whose sizes add up to ``limit`` at most, or of one item."""
+    begin = total = 0
+    for i, n in enumerate(sizes):
+        if i > begin and total + n > limit:
+            yield begin, i - begin
+            begin, total = i, 0
+        total += n
+    if sizes:
+        yield begin, len(sizes) - begin
+
+
+def extract(pages: DataFrame, threshold: float = 0.5, at_once: int = 2_000_000, model: tuple | None = None) -> DataFrame:
+    """page_id, url, text and the number of blocks kept and left; ``model`` from ``trained`` may be reused."""
+    model = model or trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, pages_at_once):
-                b = whole.slice(k, pages_at_once)
+            sizes = [(n or 0) + 1000 for n in pc.binary_length(whole.column("html")).to_pylist()]
+            for begin, length in batches_of(sizes, at_once):
+                b = whole.slice(begin, length)
                 found = main_texts(b.column("html").to_pylist(), model)
                 kept = [[x for x, p in blocks if p > threshold] for blocks in found]
                 yield pa.RecordBatch.from_arrays(
