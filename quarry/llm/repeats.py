@@ -25,7 +25,8 @@ few, and a window can repeat only where its anchor's hash does.
 4. Each page is read again with what was found for it, and cut.
 
 "Earlier" is: smaller doc_id, then earlier start.  A null doc_id comes first;
-rows of equal ids follow in the order of the input.  Null texts are empty.
+rows of equal ids follow in the order of the input, as do text ids that have
+their first eight bytes in common.  Null texts are empty.
 Windows never cross rows.  Contexts are told apart by 128 bits of hashes.
 Repeated rows are repeats of the first.  Empty tables give empty results.  All
 columns of the input are kept by ``find_repeats``, whatever their names.
@@ -56,7 +57,7 @@ _U = np.uint64
 _TABLE = np.random.default_rng(9).integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 2**64)
-_PLACE = (1 << 30) - 1
+_PLACE = (1 << 32) - 1  # more than a text can have
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -125,8 +126,14 @@ def _unblob(blob: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
-def _ids(batch: pa.RecordBatch) -> np.ndarray:
-    return np.array([-(2**63) if v is None else int(v) for v in batch.column("doc_id").to_pylist()], dtype=np.int64)
+def _ids(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
+    """Numbers in the order of the ids: integers themselves, of others the first eight bytes; null comes first."""
+    column = batch.column("doc_id")
+    values = column.to_pylist()
+    if pa.types.is_integer(column.type):
+        return np.array([-(2**63) if v is None else v for v in values], dtype=np.int64)
+    heads = [(v if isinstance(v, bytes) else str(v).encode())[:8].ljust(8, b"\0") for v in ("" if v is None else v for v in values)]
+    return np.array([int.from_bytes(x, "big") - 2**63 for x in heads], dtype=np.int64)
 
 
 def _unpack(blob: bytes) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
@@ -194,15 +201,12 @@ def anchor_packs(paged: DataFrame, buckets: int) -> DataFrame:
                 local = _blob(first[again].astype(np.uint32), (last[again] + LENGTH).astype(np.uint32))
                 owner = np.searchsorted(offsets, first, side="right") - 1
                 bucket = (h[keep] % _U(buckets)).astype(np.int64)
-                keep = keep[np.argsort(bucket, kind="stable")]
-                cuts = np.searchsorted(np.sort(bucket), np.arange(buckets + 1))
-                home = page % buckets
                 rows = []
-                for k in range(buckets):
-                    i = keep[cuts[k] : cuts[k + 1]]
-                    if len(i) or (k == home and len(again)):
-                        entries = _blob(h[i], context[i], ids[owner[i]], first[i].astype(np.uint32), (p[i] - first[i]).astype(np.uint8), (last[i] - first[i]).astype(np.uint8))
-                        rows.append((k, page, entries, local if k == home and len(again) else None))
+                for k, part in _by_page(bucket):
+                    i = keep[part]
+                    rows.append((k, page, _blob(h[i], context[i], ids[owner[i]], first[i].astype(np.uint32), (p[i] - first[i]).astype(np.uint8), (last[i] - first[i]).astype(np.uint8)), None))
+                if len(again):
+                    rows.append((page % buckets, page, _blob(*[np.zeros(0, k) for k in _ENTRY]), local))
                 if rows:
                     c = list(zip(*rows))
                     yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.binary()), pa.array(c[3], pa.binary())], ["bucket", "page", "entries", "local"])
