@@ -269,22 +269,46 @@ def _forest(found: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]
     return out
 
 
+#: Runs of more rows than this are searched from one row to the next that it reaches.
+LONG_RUN = 256
+
+
 def cell_links(cell: np.ndarray, fp: np.ndarray, plain: np.ndarray, wide: np.ndarray, max_distance: int, similar: int) -> list[tuple[int, int]]:
-    """Row pairs that link, within runs of equal ``cell``, as a forest: as many pairs as it takes to connect what is linked."""
-    n = len(cell)
+    """Row pairs that link, within runs of equal ``cell``, as a forest: as many pairs as it takes to connect what is linked.
+
+    In a long run each row is compared with those that nothing has reached yet,
+    so a large group of near copies costs little more than one look at each.
+    """
     table = np.stack([(plain >> (7 * i)) & 127 for i in range(PLAIN)], axis=1).astype(np.int16)
+
+    def near(i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
+        ok = (np.abs(table[i] - table[j]) <= max_distance).all(axis=1)  # pivots
+        ok &= np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)) <= max_distance
+        return ok & (np.bitwise_count((wide[i] ^ wide[j]).view(np.uint64)).sum(axis=1) <= similar)
+
     found = []
-    row, k = np.arange(n), 1
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]])
+    long = np.diff(cuts) > LONG_RUN
+    for a, z in zip(cuts[:-1][long], cuts[1:][long]):
+        rest = np.arange(a, z)
+        while len(rest):
+            todo, rest = [int(rest[0])], rest[1:]
+            while todo and len(rest):
+                x = todo.pop()
+                hit = near(x, rest)
+                if hit.any():
+                    reached, rest = rest[hit], rest[~hit]
+                    found.append((np.full(len(reached), x), reached))
+                    todo += reached.tolist()
+    row, k = np.flatnonzero(~np.repeat(long, np.diff(cuts))), 1
     while True:
-        row = row[row + k < n]
+        row = row[row + k < len(cell)]
         row = row[cell[row] == cell[row + k]]  # runs shorter than k are through
         if not len(row):
             return _forest(found)
-        near = row[(np.abs(table[row] - table[row + k]) <= max_distance).all(axis=1)]  # pivots
-        near = near[np.bitwise_count((fp[near] ^ fp[near + k]).view(np.uint64)) <= max_distance]
-        near = near[np.bitwise_count((wide[near] ^ wide[near + k]).view(np.uint64)).sum(axis=1) <= similar]
-        if len(near):
-            found.append((near, near + k))
+        linked = row[near(row, row + k)]
+        if len(linked):
+            found.append((linked, linked + k))
         k += 1
 
 
@@ -367,8 +391,18 @@ def exact_groups(sets: list[np.ndarray]) -> np.ndarray:
     return group
 
 
-def verified(docs: DataFrame, texts: DataFrame, groups: DataFrame) -> DataFrame:
-    """node, root: ``groups`` (node, root) of candidates taken apart by the exact similarity of their shingles."""
+#: Sets that a task compares with each other are two blocks of so many.
+BLOCK = 256
+
+
+def verified(docs: DataFrame, texts: DataFrame, groups: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
+    """node, root: ``groups`` (node, root) of candidates taken apart by the exact similarity of their shingles.
+
+    Every member is compared with its group's hub, in a join; those that link to
+    it are through.  The others are compared with all members of their group,
+    block by block, so no group, however large, need fit into a task, and only
+    members that the hub doesn't reach cost more than one comparison.
+    """
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -376,17 +410,32 @@ def verified(docs: DataFrame, texts: DataFrame, groups: DataFrame) -> DataFrame:
             sets = pa.array([shingle_set(t).view(np.int64) for t in words_], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_hexdigest(t) for t in words_], pa.string()), sets], ["copy", "shingles"])
 
-    def apart(group: pa.Table) -> pa.Table:
-        nodes = group.column("node").to_numpy()
+    def compared(pair: pa.Table) -> pa.Table:
+        nodes = pair.column("node").to_numpy()
         order = np.argsort(nodes)
-        sets = [x.values.to_numpy() for x in group.column("shingles")]
-        first = exact_groups([sets[k] for k in order])
-        return pa.table({"node": nodes[order], "root": nodes[order][first]})
+        sets = [x.values.to_numpy() for x in pair.column("shingles")]
+        first = nodes[order][exact_groups([sets[k] for k in order])]
+        link = nodes[order] != first
+        return pa.table({"a": nodes[order][link], "b": first[link]})
 
     members = texts.join(groups, "node").select("copy", "node", "root", F.coalesce(F.col("first.doc_id").cast("string"), F.lit("\x00")).alias("id"))
     asked = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")).alias("id"), "text").join(members.select("id").distinct(), "id", "left_semi")
     sets = asked.select("text").mapInArrow(shingled, "copy string, shingles array<bigint>").dropDuplicates(["copy"])
-    return sets.join(members, "copy").select("node", "root", "shingles").groupBy("root").applyInArrow(apart, "node bigint, root bigint")
+    sets = scratch.save(sets.join(members, "copy").select("node", "root", "shingles"), "sets")
+    hubs = sets.groupBy("root").agg(F.min("node").alias("hub"), F.min_by("shingles", "node").alias("of_hub"))
+    # shared / union >= 4 / 5; a hot root is a skewed join of few rows with many, which adaptive execution splits
+    links_ = 9 * F.size(F.array_intersect("shingles", "of_hub")) >= 4 * (F.size("shingles") + F.size("of_hub"))
+    hubbed = scratch.save(sets.join(hubs, "root").select("node", "root", "hub", links_.alias("linked")), "hubbed")
+    blocks = lambda c: F.ceil(F.sum(c.cast("int")) / block).cast("int")
+    open_ = hubbed.groupBy("root").agg(blocks(~F.col("linked")).alias("nl"), blocks(F.col("linked")).alias("nk")).where("nl > 0")
+    rows = hubbed.select("node", "root", "linked").join(open_, "root")
+    own = F.when(F.col("linked"), F.col("nl") + F.pmod(F.xxhash64("node"), "nk")).otherwise(F.pmod(F.xxhash64("node"), "nl")).cast("int")
+    last = F.when(F.col("linked"), F.col("nl") - 1).otherwise(F.col("nl") + F.col("nk") - 1)
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    pairs = rows.select("node", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(sets.select("node", "shingles"), "node")
+    more = pairs.groupBy("root", "i", "j").applyInArrow(compared, "a bigint, b bigint")
+    direct = hubbed.where("linked and node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    return components(scratch.save(direct.unionByName(more).distinct(), "exact"), scratch, "cx")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
@@ -403,7 +452,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     texts = rows.groupBy("copy").agg(first, F.first("wide").alias("wide"), F.first("bands").alias("bands")).withColumn("node", F.xxhash64("copy"))
     texts = scratch.save(texts, "texts")
     near = scratch.save(components(scratch.save(band_links(texts), "candidates"), scratch), "near")
-    roots = scratch.save(verified(docs, texts, near), "verified").withColumnRenamed("node", "k")
+    roots = scratch.save(verified(docs, texts, near, scratch), "verified").withColumnRenamed("node", "k")
     labelled = texts.join(roots, texts["node"] == roots["k"], "left").select("copy", "first", F.coalesce("root", "node").alias("root"))
     stays = labelled.groupBy("root").agg(F.min_by(F.struct("copy", "first"), F.struct("first", "copy")).alias("s"))
     stays = scratch.save(stays.select(F.col("s.copy").alias("__q_copy"), F.coalesce(F.col("s.first.doc_id").cast("string"), F.lit("\x00")).alias("__q_id")), "stays")
@@ -418,7 +467,9 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(marks, pa.string())], [*b.schema.names, "__q_copy"])
 
     marked = keyed.mapInArrow(run, StructType([*keyed.schema.fields, StructField("__q_copy", StringType())]))
-    return marked.join(stays, ["__q_id", "__q_copy"], "left_semi").dropDuplicates(["__q_id", "__q_copy"]).select(*docs.columns)
+    whole = F.struct(*docs.columns)
+    one = marked.join(stays, ["__q_id", "__q_copy"], "left_semi").groupBy("__q_id", "__q_copy").agg(F.min_by(whole, F.to_json(whole)).alias("_row"))
+    return one.select("_row.*")
 
 
 def op6(docs: DataFrame) -> DataFrame:

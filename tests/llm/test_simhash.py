@@ -112,3 +112,44 @@ def test_near_copies_link_at_an_exact_similarity(spark):
     assert sum(0.8 <= s < 0.86 for s in seen) > 10 and sum(0.7 < s < 0.8 for s in seen) > 10
     got = simhash.drop_near_copies(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(x.doc_id for x in got) == kept
+
+
+def test_groups_in_blocks_match_all_pairs(spark, monkeypatch):
+    """Families whose members drift apart, so that hubs don't reach them; all pairs decide."""
+    monkeypatch.setattr(simhash, "LONG_RUN", 3)
+    r = random.Random(2)
+    words = [f"w{k}" for k in range(3000)]
+    texts = []
+    for _ in range(6):
+        t = [r.choice(words) for _ in range(120)]
+        for _ in range(14):
+            t = list(t)
+            for _ in range(r.choice([1, 2, 2, 6])):
+                t[r.randrange(len(t))] = r.choice(words)
+            texts.append(" ".join(t))
+    sets = [set(simhash.shingle_set(t.encode()).tolist()) for t in texts]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    want = {}
+    for i in range(len(sets)):
+        want.setdefault(find(i), set()).add(i)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    scratch = Scratch(spark, "near")
+    marked = scratch.save(simhash.profiles(docs), "p").selectExpr("doc_id", "copy", "xxhash64(copy) AS node", "struct(false AS none, doc_id) AS first")
+    groups_ = marked.selectExpr("node", "CAST(doc_id / 28 AS bigint) AS root")  # candidates: three lots of two families
+    got = {x.node: x.root for x in simhash.verified(docs, marked, groups_, scratch, block=4).collect()}
+    found = {}
+    for x in marked.collect():
+        found.setdefault(got.get(x.node, x.node), set()).add(x.doc_id)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values())) and len(want) > 6
+    kept = {x.doc_id for x in simhash.drop_near_copies(docs).collect()}
+    assert kept == {min(g) for g in want.values()}
