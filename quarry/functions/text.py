@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented letters and what they are searched as.
-ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
+#: Combining marks, which follow the letter that they change.
+MARKS = "".join(chr(k) for k in range(0x300, 0x370))
+
+
+def _letters() -> tuple[str, str, list[tuple[str, str]]]:
+    """From Unicode's tables: letters with marks, the letters without them, and (letter, mark) sequences with the letter they make."""
+    marked, bare, made = [], [], []
+    for k in range(0xA0, 0x2000):
+        whole = unicodedata.normalize("NFD", chr(k))
+        rest = "".join(c for c in whole if not unicodedata.combining(c))
+        if len(rest) == 1 and rest != chr(k) and chr(k).lower() == chr(k):
+            marked.append(chr(k))
+            bare.append(rest)
+        pair = unicodedata.decomposition(chr(k)).split()
+        if len(pair) == 2 and not pair[0].startswith("<") and unicodedata.normalize("NFC", chr(k)) == chr(k):
+            made.append(("".join(chr(int(x, 16)) for x in pair), chr(k), len(whole)))
+    return "".join(marked), "".join(bare), [(a, b) for a, b, _ in sorted(made, key=lambda x: x[2])]
+
+
+ACCENTED, PLAIN, COMPOSED = _letters()
 
 #: Function words that say nothing about what a passage covers.
 STOP_WORDS = tuple(
@@ -53,8 +71,14 @@ def word_pairs(c: Column) -> Column:
 
 
 def unaccent(c: Column) -> Column:
-    """Lower case without accents."""
-    return F.translate(F.lower(F.coalesce(c, F.lit(""))), ACCENTED, PLAIN)
+    """Lower case without accents, be they part of a letter or marks of their own."""
+    return F.translate(F.lower(F.coalesce(c, F.lit(""))), ACCENTED + MARKS, PLAIN)
+
+
+def composed(c: Column) -> Column:
+    """Letters and the marks behind them as one character where there is one (NFC of alphabets below U+2000)."""
+    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in COMPOSED))
+    return F.when(c.rlike(f"[{MARKS[0]}-{MARKS[-1]}]"), F.aggregate(pairs, c, lambda s, p: F.replace(s, p["a"], p["b"]))).otherwise(c)
 
 
 def squeeze(c: Column) -> Column:
@@ -63,7 +87,8 @@ def squeeze(c: Column) -> Column:
 
 
 def clean_text(c: Column) -> Column:
-    """Control characters out, spaces collapsed, at most one blank line, trimmed; in this order."""
+    """Letters composed, control characters out, spaces collapsed, at most one blank line, trimmed; in this order."""
+    c = composed(c)
     c = F.regexp_replace(c, "[\\x00-\\x08\\x0b-\\x1f\\x7f]", "")
     c = F.regexp_replace(c, "[ \\t]+", " ")
     c = F.regexp_replace(c, " \\n", "\n")

@@ -1,7 +1,8 @@
 """Sections, sentences and chunks under a word budget.
 
-Packing is sequential within a document, so it is a fold over the document's
-sentences: no shuffle, and nothing grows beyond one document.
+Packing is sequential within a document, so it is a fold over the sizes of the
+document's sentences that only notes where chunks begin and end: no shuffle, and
+nothing grows beyond one document.
 """
 
 from __future__ import annotations
@@ -48,23 +49,34 @@ def pack(sentences: Column, budget: int = BUDGET, overlap: int = OVERLAP) -> Col
     next, unless they leave no room for the sentence at hand.  A sentence above
     the budget is a chunk of its own.
     """
-    none = F.array().cast("array<string>")
-    state = F.struct(none.alias("open"), F.lit(0).alias("n"), F.array().cast("array<array<string>>").alias("done"))
-    total = lambda a: F.aggregate(a, F.lit(0), lambda n, s: n + _size(s))
-
-    def step(a: Column, s: Column) -> Column:
-        n = _size(s)
-        fits = (F.size(a["open"]) == 0) | (a["n"] + n <= budget)
-        kept = F.slice(a["open"], F.greatest(F.size(a["open"]) - overlap + 1, F.lit(1)), overlap) if overlap else none
-        kept = F.when(total(kept) + n <= budget, kept).otherwise(none) if overlap else none
-        rest = F.concat(kept, F.array(s))
-        return F.when(fits, F.struct(F.concat(a["open"], F.array(s)).alias("open"), (a["n"] + n).alias("n"), a["done"].alias("done"))).otherwise(
-            F.struct(rest.alias("open"), total(rest).alias("n"), F.concat(a["done"], F.array(a["open"])).alias("done"))
+    none = F.array().cast("array<int>")
+    state = F.struct(
+        F.lit(0).alias("i"), F.lit(1).alias("first"), F.lit(0).alias("n"), none.alias("tail"), F.array().cast("array<struct<a:int,z:int>>").alias("done")
+    )
+    total = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + x)
+    last = lambda a: F.slice(a, F.greatest(F.size(a) - overlap + 1, F.lit(1)), overlap) if overlap else none
+
+    def step(a: Column, n: Column) -> Column:
+        """``i`` sentences are through, the open chunk begins at ``first`` and has ``n`` words; ``tail`` has the sizes of its last sentences."""
+        i = a["i"] + 1
+        fits = (a["first"] > a["i"]) | (a["n"] + n <= budget)
+        keep = total(a["tail"]) + n <= budget
+        closed = F.concat(a["done"], F.array(F.struct(a["first"].alias("a"), a["i"].alias("z"))))
+        add = lambda first, words, tail, done: F.struct(i.alias("i"), first.alias("first"), words.alias("n"), tail.alias("tail"), done.alias("done"))
+        return (
+            F.when(fits, add(a["first"], a["n"] + n, last(F.concat(a["tail"], F.array(n))), a["done"]))
+            .when(keep, add(i - F.size(a["tail"]), total(a["tail"]) + n, last(F.concat(a["tail"], F.array(n))), closed))
+            .otherwise(add(i, n, last(F.array(n)), closed))
         )
 
-    end = lambda a: F.when(F.size(a["open"]) > 0, F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"])
-    groups = F.aggregate(sentences, state, step, end)
-    return F.transform(groups, lambda g: F.struct(F.array_join(g, " ").alias("text"), T.word_count(F.array_join(g, " ")).alias("num_tokens")))
+    end = lambda a: F.when(a["first"] <= a["i"], F.concat(a["done"], F.array(F.struct(a["first"].alias("a"), a["i"].alias("z"))))).otherwise(a["done"])
+
+    def packed(s: Column) -> Column:
+        groups = F.aggregate(F.transform(s, _size), state, step, end)
+        texts = F.transform(groups, lambda g: F.array_join(F.slice(s, g["a"], g["z"] - g["a"] + 1), " "))
+        return F.transform(texts, lambda t: F.struct(t.alias("text"), T.word_count(t).alias("num_tokens")))
+
+    return T.bind(sentences, packed)
 
 
 def chunks(docs: DataFrame, budget: int = BUDGET, overlap: int = OVERLAP) -> DataFrame:

@@ -61,7 +61,7 @@ def bootstrap(deltas: list[float], repeats: int = 10_000, seed: int = 0) -> tupl
     return sum(deltas) / n, means[int(0.05 * repeats)], means[int(0.95 * repeats) - 1]
 
 
-def bootstrap_frame(paired: DataFrame, repeats: int = 1000) -> DataFrame:
+def bootstrap_frame(paired: DataFrame, repeats: int = 10_000) -> DataFrame:
     """low, mean, high of ``delta`` by Poisson resampling: each query's weight in each round is a hash, so nothing is collected."""
     rounds = paired.select("query_id", "delta", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("round"))
     u = (F.pmod(F.xxhash64("query_id", "round"), F.lit(1 << 20)) + 0.5) / float(1 << 20)

@@ -14,7 +14,7 @@ from .retrieval import items
 from .text import content_sql, words_sql
 
 #: Lines as chunks, with a share of bibliography by position.
-LINES = """ch AS (SELECT doc_id, lang, i - 1 AS pos, doc_id * 100000 + i - 1 AS chunk_id, string_split(text, chr(10))[i] AS text, (i % 7) / 7e0 AS reference_share
+LINES = """ch AS (SELECT doc_id, lang, i - 1 AS pos, doc_id * 4294967296 + i - 1 AS chunk_id, string_split(text, chr(10))[i] AS text, (i % 7) / 7e0 AS reference_share
   FROM (SELECT doc_id, lang, text, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents))"""
 _T = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
 POOL = f"""{LINES}, bt AS (SELECT chunk_id, {_T} AS w FROM ch), bs AS (SELECT count(*) AS docs, avg(len(w)) AS avgdl FROM bt),
@@ -35,7 +35,7 @@ TAKEN = f"{ORDERED}, u AS (SELECT * FROM ordered QUALIFY row_number() OVER (PART
 
 def lines(spark, d):
     x = table(spark, d, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
-    return x.select("doc_id", "lang", "pos", (F.col("doc_id") * 100000 + F.col("pos")).alias("chunk_id"), "text", (((F.col("pos") + 1) % 7) / 7.0).alias("reference_share"))
+    return x.select("doc_id", "lang", "pos", (F.col("doc_id") * 4294967296 + F.col("pos")).alias("chunk_id"), "text", (((F.col("pos") + 1) % 7) / 7.0).alias("reference_share"))
 
 
 def pool(spark, d):

@@ -289,10 +289,3 @@ def snk02(spark, d):
     """Vectors on the row of their chunk: nothing to align later."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.round(F.col("embedding")[63].cast("double"), 6).alias("last"))
     return e.join(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id")
-
-
-@query("enc02_prefixed_vectors")
-def enc02(spark, d):
-    from ..operators import vectors as V
-
-    return V.encode(table(spark, d, "benchmark"), "text", V.PrefixedEncoder(V.get_encoder("hashing")))

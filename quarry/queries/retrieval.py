@@ -97,9 +97,25 @@ def snk03(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(V.dot(n, n), 3).alias("norm"))
 
 
-@query("enc03_hashing_encoder")
+def slots_sql(text: str) -> str:
+    """Slots of the hashing encoder that aren't zero, and their signs."""
+    terms = f"SELECT doc_id, md5('hashing ' || unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]+'))) AS h FROM documents"
+    return f"SELECT doc_id, CAST(CAST('0x' || left(h, 8) AS BIGINT) % 64 AS INTEGER) AS slot, CAST(sign(sum(CASE WHEN h[9] >= '8' THEN -1 ELSE 1 END)) AS INTEGER) AS sign FROM ({terms}) GROUP BY ALL HAVING sign <> 0"
+
+
+def slots(vectors):
+    v = vectors.select("doc_id", F.posexplode("embedding").alias("slot", "x")).where("x <> 0")
+    return v.select("doc_id", "slot", F.signum("x").cast("int").alias("sign"))
+
+
+@query("enc03_hashing_encoder", slots_sql("text"))
 def enc03(spark, d):
-    return V.encode(table(spark, d, "benchmark"), "text", V.get_encoder("hashing"))
+    return slots(V.encode(table(spark, d, "documents"), "text", V.get_encoder("hashing")))
+
+
+@query("enc02_prefixed_vectors", slots_sql("'passage: ' || text"))
+def enc02(spark, d):
+    return slots(V.encode(table(spark, d, "documents"), "text", V.PrefixedEncoder(V.get_encoder("hashing"))))
 
 
 @query("enc06_to_encode", "SELECT doc_id AS chunk_id FROM documents WHERE doc_id % 4 <> 0 OR doc_id % 8 = 0")

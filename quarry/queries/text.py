@@ -62,10 +62,12 @@ def src03(spark, d):
 
 
 @query("cln01_clean_text", """SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-  replace(text, ' ', ' ' || chr(9) || chr(7)), '[\\x00-\\x08\\x0b-\\x1f\\x7f]', '', 'g'), '[ \\t]+', ' ', 'g'), ' \\n', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS text
+  nfc_normalize(replace(replace(replace(text, ' ', ' ' || chr(9) || chr(7)), 'é', 'e' || chr(769)), 'an', 'a' || chr(776) || chr(772) || 'n')), '[\\x00-\\x08\\x0b-\\x1f\\x7f]', '', 'g'), '[ \\t]+', ' ', 'g'), ' \\n', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS text
   FROM documents""")
 def cln01(spark, d):
-    dirty = F.replace(F.col("text"), F.lit(" "), F.lit(" \t\x07"))
+    dirty = F.col("text")  # letters taken apart, with one and two marks
+    for a, b in ((" ", " \t\x07"), ("é", "e\u0301"), ("an", "a\u0308\u0304n")):
+        dirty = F.replace(dirty, F.lit(a), F.lit(b))
     return table(spark, d, "documents").select("doc_id", T.clean_text(dirty).alias("text"))
 
 
