@@ -6,13 +6,21 @@ order ends in a key, because sorts aren't stable.
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from .vectors import MAX_QUERIES
 
 K1, B, TF_CAP, RRF_K = 1.5, 0.75, 65_535, 60
 
@@ -31,20 +39,83 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", only: Dat
     return out.groupBy(key, "term").agg(F.least(F.count(F.lit(1)), F.lit(TF_CAP)).alias("tf"), F.first("length").alias("length"))
 
 
+def _query_terms(queries: DataFrame) -> tuple[list, list[list[str]]]:
+    """Ids and distinct terms of the queries, a bounded set."""
+    found = queries.select("query_id", F.array_distinct(T.search_terms(F.col("text"))).alias("w")).limit(MAX_QUERIES + 1).collect()
+    if len(found) > MAX_QUERIES:
+        raise ValueError(f"at most {MAX_QUERIES} queries at once; search the rest in another block")
+    return [r["query_id"] for r in found], [r["w"] or [] for r in found]
+
+
+def _occurrences(terms: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lists of words: row, number and frequency of the words that are in the vocabulary."""
+    ids = pc.index_in(pc.list_flatten(terms), value_set=vocabulary)
+    known = pc.is_valid(ids).to_numpy(zero_copy_only=False)
+    row = pc.list_parent_indices(terms).to_numpy()[known].astype(np.int64)
+    cell, tf = np.unique(row * len(vocabulary) + ids.filter(pa.array(known)).to_numpy().astype(np.int64), return_counts=True)
+    return cell // len(vocabulary), cell % len(vocabulary), np.minimum(tf, TF_CAP)
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", k1: float = K1, b: float = B) -> DataFrame:
     """query_id, rank, key, score: Okapi BM25 of the distinct query terms.
 
-    Documents are reduced to the query's terms before anything is shuffled.
+    A document is scored where it is read: the queries' terms, a bounded set, go
+    to every task, which keeps the k best of each query, and only those are
+    shuffled.  One pass before that counts in how many documents each term is.
     """
-    q = queries.select("query_id", F.explode(F.array_distinct(T.search_terms(F.col("text")))).alias("term"))
-    stats = docs.select(F.size(T.search_terms(F.col("text"))).alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("avgdl"))
-    p = postings(docs, key, only=q)
-    df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    hits = p.join(df, "term").join(q, "term").crossJoin(F.broadcast(stats))  # one row
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avgdl"))
-    scored = hits.groupBy("query_id", key).agg(F.round(F.sum(idf * F.col("tf") * (k1 + 1) / norm), 6).alias("score"))
-    return ranked(scored, "score", key, limit=k)
+    spark = docs.sparkSession
+    ids, terms = _query_terms(queries)
+    vocabulary = pa.array(sorted({t for w in terms for t in w}), pa.string())
+    rows = docs.select(F.col(key).alias("key"), T.search_terms(F.col("text")).alias("w"))
+    out = T_.StructType([T_.StructField("query_id", queries.schema["query_id"].dataType), T_.StructField(key, docs.schema[key].dataType), T_.StructField("score", T_.DoubleType())])
+    if not len(vocabulary):
+        return ranked(spark.createDataFrame([], out), "score", key, limit=k)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, length, df = 0, 0, np.zeros(len(vocabulary), dtype=np.int64)
+        for batch in batches:
+            n += batch.num_rows
+            length += pc.sum(pc.list_value_length(batch.column("w"))).as_py() or 0
+            df += np.bincount(_occurrences(batch.column("w"), vocabulary)[1], minlength=len(df))
+        seen = np.flatnonzero(df)
+        term = np.concatenate([[-2, -1], seen])  # documents, words, and each term's documents
+        yield pa.RecordBatch.from_arrays([pa.array(term, pa.int64()), pa.array(np.concatenate([[n, length], df[seen]]), pa.int64())], ["term", "n"])
+
+    counted = {r["term"]: r["n"] for r in rows.select("w").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    total, average = counted.get(-2, 0), counted.get(-1, 0) / max(1, counted.get(-2, 0))
+    df = np.array([counted.get(i, 0) for i in range(len(vocabulary))], dtype=float)
+    idf = np.log(1 + (total - df + 0.5) / (df + 0.5))
+    number = {t: i for i, t in enumerate(vocabulary.to_pylist())}
+    pairs = sorted((number[t], q) for q, w in enumerate(terms) for t in w)
+    asked_by = np.array([q for _, q in pairs], dtype=np.int64)
+    begin = np.searchsorted(np.array([t for t, _ in pairs]), np.arange(len(vocabulary) + 1))
+    arrow = to_arrow_schema(out)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[list] = [[] for _ in ids]
+        least = np.zeros(len(ids))  # of a query that has k already
+        order = lambda x: (-x[0], x[1] is not None, x[1])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                row, term, tf = _occurrences(batch.column("w"), vocabulary)
+                length = pc.fill_null(pc.list_value_length(batch.column("w")), 0).to_numpy(zero_copy_only=False)
+                weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / max(average, 1e-300)))
+                times = begin[term + 1] - begin[term]
+                places = np.repeat(begin[term] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+                sums = np.bincount(asked_by[places] * batch.num_rows + np.repeat(row, times), weights=np.repeat(weight, times), minlength=len(ids) * batch.num_rows)
+                sums = sums.round(6).reshape(len(ids), batch.num_rows)
+                hit_q, hit_row = np.nonzero((sums > 0) & (sums >= least[:, None]))
+                keys = batch.column("key").to_pylist()
+                for q in np.unique(hit_q).tolist():
+                    mine = hit_row[hit_q == q].tolist()
+                    best[q] = heapq.nsmallest(k, best[q] + [(sums[q, i], keys[i]) for i in mine], key=order)
+                    least[q] = best[q][-1][0] if len(best[q]) == k else 0
+        flat = [(ids[q], x, float(s)) for q, found in enumerate(best) for s, x in found]
+        if flat:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*flat), arrow)], names=arrow.names)
+
+    return ranked(rows.mapInArrow(score, out), "score", key, limit=k)
 
 
 def rrf(lists: list[DataFrame], key: str = "chunk_id", k: int = RRF_K, weights: list[int] | None = None, limit: int | None = None) -> DataFrame:

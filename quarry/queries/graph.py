@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import graph as G
 from ..operators import retrieve as R
+from ..sources import sinks as K
+from ..sources import structured as S
 from ..registry import query, table
 from .ingest import sentences_sql
 from .text import unaccent_sql
@@ -162,3 +164,12 @@ def qry17(spark, d):
 @query("val04_cited_documents", f"WITH {EDGES} SELECT DISTINCT doc_id FROM ed WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def val04(spark, d):
     return edges(spark, d).select("doc_id").distinct().join(table(spark, d, "labels"), "doc_id", "left_anti")
+
+
+@query("src18_graph_file", f"WITH {EDGES} SELECT DISTINCT src, dst FROM ed")
+def src18(spark, d):
+    """The graph written as GraphML and read again."""
+    path = K.work_folder(spark, "graph")
+    found = edges(spark, d)
+    K.write_graphml(G.nodes(found), found, path)
+    return S.read_graphml(spark, path).select("src", "dst").distinct()

@@ -8,7 +8,9 @@ from ..functions import text as T
 from ..operators import chunking as C
 from ..operators import ingest as I
 from ..registry import query, table
+from ..sources import formats as D
 from ..sources import pages as P
+from ..sources import sinks as K
 from ..sources import structured as S
 from .text import words_sql
 
@@ -254,17 +256,43 @@ def src04(spark, d):
     return paths(spark, d).select("doc_id", F.coalesce(T.format_of(F.col("path")), F.lit("none")).alias("reader"))
 
 
-@query("snk08_pool_by_encoder", "SELECT vec_id, encoder, cosine FROM (SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS a, round(CAST(embedding[2] AS DOUBLE), 6) AS b FROM embeddings) UNPIVOT (cosine FOR encoder IN (a, b))")
+@query("src04_documents", f"SELECT 'p/' || page_id || '.html' AS path, 'html' AS format, {_PAGE} AS text, false AS truncated FROM pages UNION ALL SELECT 'd/' || doc_id || '.md', 'md', text, false FROM documents UNION ALL SELECT 'e/' || event_id || '.json', 'json', event_type, false FROM events UNION ALL SELECT 'i/' || item_id || '.png', 'img', NULL, false FROM benchmark")
+def src04b(spark, d):
+    """Files of four formats, each to its reader; for images there is none."""
+    as_file = lambda t, folder, key, suffix, content: table(spark, d, t).select(F.concat(F.lit(folder + "/"), key, F.lit(suffix)).alias("path"), content.cast("binary").alias("content"))
+    files = as_file("pages", "p", "page_id", ".html", F.col("html")).unionByName(as_file("documents", "d", "doc_id", ".md", F.col("text")))
+    files = files.unionByName(as_file("events", "e", "event_id", ".json", F.to_json(F.struct(F.struct(F.array("event_type").alias("unknown")).alias("deep")))))
+    files = files.unionByName(as_file("benchmark", "i", "item_id", ".png", F.col("text"))).unionByName(as_file("region", "r", "r_regionkey", ".exe", F.col("r_name")))
+    return D.documents(files)
+
+
+_CSV = "SELECT c_nationkey AS n, c_custkey AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i, count(*) OVER (PARTITION BY c_nationkey) AS m FROM customer"
+
+
+@query("src07_delimited_files", f"SELECT n || '.csv' AS path, string_agg('key: ' || k || CASE WHEN k % 2 = 0 THEN ' | what: a;b' ELSE '' END, chr(10) ORDER BY i) AS text, any_value(m) > 500 AS truncated FROM ({_CSV}) WHERE i <= 500 GROUP BY n")
+def src07b(spark, d):
+    """Files with another delimiter than the comma, quoted cells and empty ones."""
+    line = F.concat("c_custkey", F.lit(";"), F.when(F.col("c_custkey") % 2 == 0, '"a;b"').otherwise(""))
+    rows = table(spark, d, "customer").groupBy("c_nationkey").agg(F.sort_array(F.collect_list(F.struct("c_custkey", line.alias("line")))).alias("r"))
+    content = F.concat(F.lit("key;what\n"), F.array_join("r.line", "\n")).cast("binary")
+    return D.documents(rows.select(F.concat("c_nationkey", F.lit(".csv")).alias("path"), content.alias("content"))).select("path", "text", "truncated")
+
+
+@query("snk08_pool_by_encoder", "SELECT vec_id AS query_id, vec_id AS chunk_id, encoder, cosine FROM (SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS a, round(CAST(embedding[2] AS DOUBLE), 6) AS b FROM embeddings) UNPIVOT (cosine FOR encoder IN (a, b))")
 def snk08(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", *(F.round(F.col("embedding")[i].cast("double"), 6).alias(n) for i, n in ((0, "a"), (1, "b"))))
-    return e.unpivot(["vec_id"], ["a", "b"], "encoder", "cosine")
+    """Written by encoder and read again."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("chunk_id"), *(F.round(F.col("embedding")[i].cast("double"), 6).alias(n) for i, n in ((0, "a"), (1, "b"))))
+    path = K.work_folder(spark, "pool")
+    K.write_pool(e, ["a", "b"], path)
+    return spark.read.parquet(path)
 
 
-@query("src13_json_lines")
+@query("src13_json_lines", "SELECT doc_id, quality, toxic FROM labels")
 def src13(spark, d):
-    """Rows to JSON and back under a fixed schema."""
-    j = table(spark, d, "labels").select(F.to_json(F.struct("*")).alias("j"))
-    return j.select(F.from_json("j", "doc_id bigint, quality int, toxic int").alias("r")).select("r.*")
+    """A JSON Lines file, written and read under a fixed schema."""
+    path = K.work_folder(spark, "labels")
+    table(spark, d, "labels").write.json(path)
+    return spark.read.schema("doc_id bigint, quality int, toxic int").json(path)
 
 
 @query("src12_text_passthrough", "SELECT doc_id, text FROM documents")
@@ -281,11 +309,16 @@ def src17(spark, d):
 
 @query("snk01_chunk_lines")
 def snk01(spark, d):
-    return C.chunks(table(spark, d, "documents")).select("chunk_id", F.to_json(F.struct("doc_id", "pos", "section", "text", "num_tokens")).alias("line"))
+    """Chunks written as JSON Lines and read again."""
+    path = K.work_folder(spark, "chunks")
+    K.write_chunks(C.chunks(table(spark, d, "documents")), path)
+    return spark.read.schema("doc_id bigint, pos int, chunk_id string, section string, text string, num_tokens int").json(path)
 
 
 @query("snk02_index_rows", "SELECT vec_id AS chunk_id, text, round(CAST(embedding[64] AS DOUBLE), 6) AS last FROM embeddings JOIN documents ON vec_id = doc_id")
 def snk02(spark, d):
-    """Vectors on the row of their chunk: nothing to align later."""
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.round(F.col("embedding")[63].cast("double"), 6).alias("last"))
-    return e.join(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id")
+    """Vectors on the row of their chunk, written and loaded with its checks: nothing to align later."""
+    path = K.work_folder(spark, "index")
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    K.write_index(e.join(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id"), path)
+    return S.load_index(spark, path, 64).select("chunk_id", "text", F.round(F.col("embedding")[63].cast("double"), 6).alias("last"))

@@ -273,7 +273,8 @@ def qry08(spark, d):
 
 @query("qry10_reference_share")
 def qry10(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.round(T.reference_share(F.concat("text", F.lit(CITED))), 6).alias("share"), F.round(1 - T.reference_share(F.concat("text", F.lit(CITED))), 6).alias("quality"))
+    shares = F.transform(F.array(T.reference_share(F.concat("text", F.lit(CITED)))), lambda x: F.struct(F.round(x, 6).alias("share"), F.round(1 - x, 6).alias("quality")))
+    return table(spark, d, "documents").select("doc_id", F.inline(shares))
 
 
 def _shingles_sql(c: str) -> str:
