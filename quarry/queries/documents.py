@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import results as A
 from ..operators import retrieve as R
 from ..registry import query
@@ -75,19 +76,25 @@ def agg11b(spark, d):
     return A.documents(A.discounted(with_share(pool(spark, d)), how="exclude"), "sum").select("query_id", "rank", "doc_id", "score")
 
 
-_SAT = f"{_docs_sql('sum(score)', 20)}, k AS (SELECT query_id, doc_id, rank, doc_id % 7 AS key, doc_id % 2 = 0 AS sat FROM docs), s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place, row_number() OVER (PARTITION BY query_id ORDER BY key DESC, rank) AS turn FROM k WHERE sat)"
+_SAT = f"""{_docs_sql('sum(score)', 20)}, c AS (SELECT query_id, doc_id, count(*) AS chunks, max(score) AS best, CAST(max(CAST(topic = query_id % 10 AS INTEGER)) AS INTEGER) AS agrees FROM pool GROUP BY ALL),
+  k AS (SELECT query_id, doc_id, rank, @KEY@ AS key, chunks >= 3 AS sat FROM docs JOIN c USING (query_id, doc_id)), s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place, row_number() OVER (PARTITION BY query_id ORDER BY key DESC, rank) AS turn FROM k WHERE sat)"""
+_MOVED = "SELECT a.query_id, a.doc_id, b.rank FROM s a JOIN s b ON a.query_id = b.query_id AND a.turn = b.place UNION ALL SELECT query_id, doc_id, rank FROM k WHERE NOT sat"
 
 
-@query("agg12_permute_saturated", f"WITH {POOL}, {_SAT} SELECT a.query_id, a.doc_id, b.rank FROM s a JOIN s b ON a.query_id = b.query_id AND a.turn = b.place UNION ALL SELECT query_id, doc_id, rank FROM k WHERE NOT sat")
+def saturation(p):
+    """The twenty best documents with what the pool has of each: chunks, best score, and whether any has the query's topic."""
+    own = p.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.max("score").alias("best"), F.max((F.col("topic") == F.col("query_id") % 10).cast("int")).alias("agrees"))
+    return A.documents(p, "sum", 20).join(own, ["query_id", "doc_id"])
+
+
+@query("agg12_permute_saturated", f"WITH {POOL}, {_SAT.replace('@KEY@', 'best')} {_MOVED}")
 def agg12(spark, d):
-    docs = A.documents(pool(spark, d), "sum", 20).withColumn("chunks", F.when(F.col("doc_id") % 2 == 0, 9).otherwise(1))
-    return A.permute_saturated(docs, F.col("doc_id") % 7).select("query_id", "doc_id", "rank")
+    return A.permute_saturated(saturation(pool(spark, d)), F.col("best"), 3).select("query_id", "doc_id", "rank")
 
 
-@query("agg13_permute_by_overlap", f"WITH {POOL}, {_SAT.replace('doc_id % 7 AS key', 'CAST(doc_id % 3 > 0 AS INTEGER) AS key')} SELECT a.query_id, a.doc_id, b.rank FROM s a JOIN s b ON a.query_id = b.query_id AND a.turn = b.place UNION ALL SELECT query_id, doc_id, rank FROM k WHERE NOT sat")
+@query("agg13_permute_by_overlap", f"WITH {POOL}, {_SAT.replace('@KEY@', 'agrees')} {_MOVED}")
 def agg13(spark, d):
-    docs = A.documents(pool(spark, d), "sum", 20).withColumn("chunks", F.when(F.col("doc_id") % 2 == 0, 9).otherwise(1))
-    return A.permute_saturated(docs, (F.col("doc_id") % 3 > 0).cast("int")).select("query_id", "doc_id", "rank")
+    return A.permute_saturated(saturation(pool(spark, d)), F.col("agrees"), 3).select("query_id", "doc_id", "rank")
 
 
 @query("agg14_name_weight", f"WITH {POOL}, {_docs_sql('sum(score)', 20)}, t AS (SELECT query_id, doc_id, round(score + 3e-1 * (doc_id % 10) / 1e1, 9) AS score FROM docs) SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM t")
@@ -101,19 +108,24 @@ def agg15(spark, d):
     return R.ranked(pool(spark, d).withColumn("score", F.round("score", 1)), "score", "chunk_id").select("query_id", "chunk_id", "rank")
 
 
-_YEAR = "CASE WHEN doc_id % 3 > 0 THEN 1990 + doc_id % 37 END"
+_YEAR = "CASE WHEN 1960 + doc_id % 90 BETWEEN 1990 AND 2026 THEN 1960 + doc_id % 90 END"
+
+
+def report_year(key: str):
+    """The year in the name of a file, some of them implausible."""
+    return T.year_of(F.concat(F.lit("report-"), (1960 + F.col(key) % 90).cast("string"), F.lit("-final.pdf")))
+
 
 
 @query("agg16_recency", f"WITH {POOL}, {_docs_sql('sum(score)')} SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score + 2e-1 * CASE WHEN {_YEAR} IS NULL THEN 0e0 ELSE greatest(0e0, least(1e0, 1 - (2026 - {_YEAR}) / 36e0)) END, 9) DESC, docs.rank) AS rank FROM docs")
 def agg16(spark, d):
-    docs = A.documents(pool(spark, d), "sum").withColumn("year", F.when(F.col("doc_id") % 3 > 0, 1990 + F.col("doc_id") % 37))
+    docs = A.documents(pool(spark, d), "sum").withColumn("year", report_year("doc_id"))
     return A.recency(docs, 0.2).select("query_id", "doc_id", "score", "rank")
 
 
-@query("agg17_document_year", f"WITH {POOL} SELECT query_id, doc_id, max(CASE WHEN chunk_id % 3 > 0 THEN 1990 + chunk_id % 37 END) AS year FROM pool GROUP BY ALL")
+@query("agg17_document_year", f"WITH {POOL} SELECT query_id, doc_id, max({_YEAR.replace('doc_id', 'chunk_id')}) AS year FROM pool GROUP BY ALL")
 def agg17(spark, d):
-    year = F.when(F.col("chunk_id") % 3 > 0, 1990 + F.col("chunk_id") % 37)
-    return pool(spark, d).groupBy("query_id", "doc_id").agg(F.max(year).alias("year"))
+    return pool(spark, d).groupBy("query_id", "doc_id").agg(F.max(report_year("chunk_id")).alias("year"))
 
 
 @query("agg19_topic_veto", f"WITH {POOL}, {_VOTES} SELECT p.query_id, p.chunk_id FROM pool p JOIN g USING (query_id) WHERE share < 2e-1 OR winner <> p.query_id % 10 OR topic = winner")

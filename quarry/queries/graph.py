@@ -86,15 +86,15 @@ def grf06(spark, d):
     return G.evidence(edges(spark, d), query_entities(spark, d), 20).select("query_id", "rank", "doc_id", "chunk_id", "evidence")
 
 
-#: A pool with many ties: every document by every query, scored by remainders.
-_FLAT = "pool AS (SELECT query_id, chunk_id, doc_id, (doc_id * 13 + query_id) % 5 AS score, row_number() OVER (PARTITION BY query_id ORDER BY (doc_id * 13 + query_id) % 5 DESC, doc_id) AS rank FROM ev)"
+#: A pool with many ties: the 200 best documents of each query, scored by remainders.
+_FLAT = "pool AS (SELECT query_id, chunk_id, doc_id, (doc_id * 13 + query_id) % 5 AS score, row_number() OVER (PARTITION BY query_id ORDER BY (doc_id * 13 + query_id) % 5 DESC, doc_id) AS rank FROM (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY evidence DESC, doc_id, chunk_id) <= 200))"
 
 
 @query("grf07_tie_break", f"WITH {_EV}, {_FLAT} SELECT p.query_id, p.chunk_id, row_number() OVER (PARTITION BY p.query_id ORDER BY score DESC, coalesce(evidence, 0) DESC, p.rank) AS new_rank FROM pool p LEFT JOIN evidence e ON e.query_id = p.query_id AND e.chunk_id = p.chunk_id")
 def grf07(spark, d):
     q = query_entities(spark, d)
     e = edges(spark, d)
-    every = G.evidence(e, q, 1 << 30).withColumn("score", (F.col("doc_id") * 13 + F.col("query_id")) % 5)
+    every = G.evidence(e, q, 200).withColumn("score", (F.col("doc_id") * 13 + F.col("query_id")) % 5)
     pool = R.ranked(every.drop("rank"), "score", "doc_id").drop("evidence")
     return G.break_ties(pool, G.evidence(e, q, 20)).select("query_id", "chunk_id", "new_rank")
 
@@ -144,7 +144,7 @@ def grf10e(spark, d):
 def grf11(spark, d):
     q = query_entities(spark, d)
     e = edges(spark, d)
-    every = G.evidence(e, q, 1 << 30).withColumn("score", (F.col("doc_id") * 13 + F.col("query_id")) % 5)
+    every = G.evidence(e, q, 200).withColumn("score", (F.col("doc_id") * 13 + F.col("query_id")) % 5)
     pool = R.ranked(every.drop("rank"), "score", "doc_id", limit=20)
     return R.rrf([pool, G.evidence(e, q, 20)], limit=10).select("query_id", "chunk_id", "score", "rank")
 
