@@ -7,12 +7,12 @@ Windows that follow each other share an anchor, about 35 of them, so anchors are
 few, and a window can repeat only where its anchor's hash does.
 
 1. Texts are packed into pages of about ``PAGE`` bytes, all columns along, which
-   are written once.  Anchors that repeat within a page, with all their windows,
-   are repeats already; the first of each goes to the bucket of its hash: 26
-   bytes in packed arrays.  A page sends an anchor once, so a passage in a
-   third of all documents is one entry a page.
-2. In a bucket, occurrences of an anchor with the same context (all its windows)
-   are repeats but for the first.  Where several contexts share an anchor, the
+   are written once.  Of anchors that recur within a page with the same context
+   (all their windows), an index as in step 3 finds the windows that repeat; the
+   first goes to the bucket of its hash: 26 bytes in packed arrays.  A page sends
+   such an anchor once, so a passage in a third of all documents is one entry a page.
+2. In a bucket, occurrences on several pages of an anchor with the same context
+   are repeats but for the first; 128 bits of hashes decide that.  Where several contexts share an anchor, the
    first occurrence of each is asked for its bytes.
 3. Of a bucket's contexts, windows whose bytes around the anchor recur are put behind each other in document order and
    indexed: suffixes are ordered by their first bytes, by doubling, the
@@ -185,7 +185,7 @@ def pages(docs: DataFrame, page_bytes: int = PAGE) -> DataFrame:
 _ENTRY = (np.uint64, np.uint64, np.int64, np.uint32, np.uint8, np.uint8)
 
 
-def anchor_packs(paged: DataFrame, buckets: int) -> DataFrame:
+def anchor_packs(paged: DataFrame, buckets: int, index: int = INDEX) -> DataFrame:
     """bucket, page, entries, local: what a page has for each bucket, and ranges that repeat within the page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,15 +197,25 @@ def anchor_packs(paged: DataFrame, buckets: int) -> DataFrame:
                 new = np.ones(len(p), dtype=bool)
                 if len(p):
                     new[1:] = (h[order][1:] != h[order][:-1]) | (context[order][1:] != context[order][:-1])
-                again, keep = np.sort(order[~new]), np.sort(order[new])
-                local = _blob(first[again].astype(np.uint32), (last[again] + LENGTH).astype(np.uint32))
+                twice = ~new
+                twice[:-1] |= ~new[1:]
+                some = np.sort(order[twice])
+                begin, last_ = repeats_in_page(x, first[some], last[some], h[some], index)
+                local = _blob(begin.astype(np.uint32), (last_ + LENGTH).astype(np.uint32))
+                gone = np.zeros(len(x) + 2, dtype=np.int64)
+                np.add.at(gone, begin, 1)
+                np.add.at(gone, last_ + 1, -1)
+                gone = np.concatenate([[0], np.cumsum(np.cumsum(gone) > 0)])  # windows before each place that are repeats
+                again = gone[last + 1] - gone[first] == last - first + 1
+                again[order[new]] = False  # the first of each context is sent on, the others if they aren't repeats throughout
+                keep = np.flatnonzero(~again)
                 owner = np.searchsorted(offsets, first, side="right") - 1
                 bucket = (h[keep] % _U(buckets)).astype(np.int64)
                 rows = []
                 for k, part in _by_page(bucket):
                     i = keep[part]
                     rows.append((k, page, _blob(h[i], context[i], ids[owner[i]], first[i].astype(np.uint32), (p[i] - first[i]).astype(np.uint8), (last[i] - first[i]).astype(np.uint8)), None))
-                if len(again):
+                if len(begin):
                     rows.append((page % buckets, page, _blob(*[np.zeros(0, k) for k in _ENTRY]), local))
                 if rows:
                     c = list(zip(*rows))
@@ -379,6 +389,44 @@ def same_prefix_classes(t: np.ndarray, length: int) -> tuple[np.ndarray, np.ndar
     return order, np.cumsum(common[:n] >= 0) - 1
 
 
+def repeated_runs(x: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of ranges of ``x`` in document order: range, first and last start in it of each run of windows that have an earlier equal."""
+    t = np.concatenate([_slices(x, start, size).astype(np.int16) + 1, np.zeros(1, np.int16)])
+    owner = np.repeat(np.arange(len(size)), size)
+    offset = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+    window = np.concatenate([offset + LENGTH <= size[owner], [False]])
+    ranks, kind = same_prefix_classes(t, LENGTH)
+    place = np.where(window[ranks], ranks, len(t))
+    lowest = np.minimum.reduceat(place, np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]])))
+    again = np.sort(ranks[window[ranks] & (place > lowest[kind])])
+    if not len(again):
+        return again, again, again
+    new = np.concatenate([[True], (np.diff(again) > 1) | (np.diff(owner[again]) > 0)])
+    first, last = again[new], again[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(again) - 1]])]
+    return owner[first], offset[first], offset[last]
+
+
+def repeats_in_page(x: np.ndarray, first: np.ndarray, last: np.ndarray, h: np.ndarray, index: int = INDEX) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start of the runs of windows, of these contexts of a page, that have an earlier equal among them.
+
+    Equal windows have equal anchors, so contexts are dealt by anchor, and an
+    index never has much more than ``index`` bytes unless one anchor does.
+    """
+    parts = -(-int((last - first + LENGTH).sum()) // index) if len(first) else 0
+    lot = (_mixed(h) % _U(max(1, parts))).astype(np.int64)
+    begins, ends = [], []
+    for k in range(parts):
+        i = np.flatnonzero(lot == k)
+        if not len(i):
+            continue
+        new = np.concatenate([[True], first[i][1:] > last[i][:-1] + 1])  # neighbours go in one range
+        start, end = first[i][new], last[i][np.concatenate([np.flatnonzero(new)[1:] - 1, [len(i) - 1]])]
+        run, begin, stop = repeated_runs(x, start, end - start + LENGTH)
+        begins.append(start[run] + begin)
+        ends.append(start[run] + stop)
+    return (np.concatenate(begins), np.concatenate(ends)) if begins else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def index_bucket(table: pa.Table) -> pa.Table:
     """A bucket of contexts: by page, ranges of windows that have an earlier equal."""
     heads, pages_, bodies = [], [], []
@@ -395,24 +443,10 @@ def index_bucket(table: pa.Table) -> pa.Table:
     ids, page, low, start, size = ids[own], page[own], low[own] + (first - start[own]), first, last - first + LENGTH
     order = np.lexsort((low, page, ids))
     page, low, size = page[order], low[order].astype(np.int64), size[order]
-    index_start = np.concatenate([[0], np.cumsum(size)[:-1]])
-    t = np.concatenate([_slices(x, start[order], size).astype(np.int16) + 1, np.zeros(1, np.int16)])
-    owner = np.repeat(np.arange(len(size)), size)
-    offset = np.arange(len(owner)) - np.repeat(index_start, size)
-    window = np.concatenate([offset + LENGTH <= size[owner], [False]])
-    ranks, kind = same_prefix_classes(t, LENGTH)
-    place = np.where(window[ranks], ranks, len(t))
-    lowest = np.minimum.reduceat(place, np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]])))
-    repeats_ = ranks[window[ranks] & (place > lowest[kind])]
+    run, begin, last = repeated_runs(x, start[order], size)
     out = []
-    if len(repeats_):
-        repeats_.sort()
-        begin = low[owner[repeats_]] + offset[repeats_]
-        run = np.concatenate([[True], (np.diff(repeats_) > 1) | (np.diff(owner[repeats_]) > 0)])
-        first, last = np.flatnonzero(run), np.concatenate([np.flatnonzero(run)[1:] - 1, [len(begin) - 1]])
-        own = page[owner[repeats_[first]]]
-        for k, i in _by_page(own):
-            out.append((k, _blob(begin[first][i].astype(np.uint32), (begin[last][i] + LENGTH).astype(np.uint32))))
+    for k, i in _by_page(page[run]):
+        out.append((k, _blob((low[run] + begin)[i].astype(np.uint32), (low[run] + last + LENGTH)[i].astype(np.uint32))))
     c = list(zip(*out)) or [(), ()]
     return pa.table({"page": pa.array(c[0], pa.int64()), "ranges": pa.array(c[1], pa.binary())})
 
@@ -441,7 +475,7 @@ def located(docs: DataFrame, scratch: Scratch, page_bytes: int = PAGE, bucket: i
     paged = scratch.save(pages(docs, page_bytes), "pages")
     total = paged.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(8, -(-total // bucket))
-    packs = anchor_packs(paged, buckets)
+    packs = anchor_packs(paged, buckets, index)
     resolved = packs.groupBy("bucket").applyInArrow(lambda table: resolve(table, crowd), "page bigint, ranges binary, request binary, asked bigint")
     resolved = scratch.save(resolved, "resolved")
     asked = resolved.agg(F.sum("asked")).first()[0] or 0
