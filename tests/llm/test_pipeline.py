@@ -64,3 +64,22 @@ def test_stages_against_plain_versions(spark, tmp_path):
         taken[x.source] = taken.get(x.source, 0) + len(WORD.findall(x.text))
     assert all(abs(taken[s] - target[s]) < 200 for s in target)
     assert sorted(map(str, p.run(spark, d).collect())) == sorted(map(str, docs.collect()))
+
+
+def test_empty_tables_null_ids_and_repeated_rows(spark, tmp_path):
+    r = random.Random(3)
+    vocabulary = ["".join(r.choice("aeioubcdlmnrst") for _ in range(r.randrange(3, 9))) for _ in range(800)]
+    prose = lambda: " ".join(r.choice(COMMON) if r.random() < 0.4 else r.choice(vocabulary) for _ in range(90))
+    texts = [prose() for _ in range(3)]
+    rows = [(None, texts[0], None, None, None, 1), (5, texts[1], "en", "a", 3, 2), (5, texts[1], "en", "a", 3, 2), (7, texts[1], None, "a", 3, 4), (8, None, None, None, None, None), (9, texts[2], "en", None, 1, 1)]
+    for name, some in (("some", rows), ("none", [])):
+        d = str(tmp_path / name)
+        spark.createDataFrame(some, SCHEMA + ", _row int").write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{d}/benchmark.parquet")
+        docs = spark.read.parquet(f"{d}/documents.parquet")
+        for k, (_, stage) in enumerate(p.STAGES[:4]):
+            stage(spark, docs, d).write.parquet(f"{d}/out{k}")
+            docs = spark.read.parquet(f"{d}/out{k}")
+        assert sorted((str(x.doc_id), x.text) for x in docs.collect()) == (sorted([("None", texts[0]), ("5", texts[1]), ("9", texts[2])]) if some else [])
+        assert docs.columns == [*SCHEMA.replace(" bigint", "").replace(" string", "").split(", "), "_row"]
+        assert not some or {x.doc_id for x in p.STAGES[4][1](spark, docs, d).collect()} <= {None, 5, 9}
