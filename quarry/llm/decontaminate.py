@@ -21,8 +21,8 @@ items are never listed: windows are distinct on the benchmark side and carry
 their items, so a common passage costs one row for each place in a document.
 
 Nulls: null texts have no words and are clean; null doc_ids are matched with
-themselves; items that repeat an id count once.  ``op8`` counts no null item_ids, as its
-SQL says; ``decontaminate`` takes their passages out like any other's.
+themselves; items that repeat an id count once.  Items with a null id have windows, hits and
+contaminated documents like all others; only the lists of item ids leave them out.
 Rows that repeat are each reported.  An empty benchmark leaves all clean; empty
 documents give an empty result.  Other columns are ignored, and kept by
 ``decontaminate``.
@@ -88,9 +88,9 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def windows(benchmark: DataFrame, scratch: Scratch, unnamed: bool = False) -> DataFrame:
-    """n, run, items: the distinct windows and the ids of the items that have them; items with a null id only if ``unnamed``."""
-    items = (benchmark if unnamed else benchmark.where(F.col("item_id").isNotNull())).select(F.col("item_id").cast("string").alias("item"), tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
+def windows(benchmark: DataFrame, scratch: Scratch) -> DataFrame:
+    """n, run, items: the distinct windows and the ids of the items that have them."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
     n = F.least(F.size("w"), F.lit(WINDOW))
     items = items.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)))
     runs = items.select("item", "n", F.array_join(F.slice("w", F.col("i"), F.col("n")), " ").alias("run")).distinct()
@@ -123,9 +123,9 @@ def fingerprints(w: Column, lengths: list[int]) -> Column:
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, unnamed: bool = False) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
     """id, hash, starts (s, n), items for the documents that have any window."""
-    wins = windows(benchmark, scratch, unnamed)
+    wins = windows(benchmark, scratch)
     lengths = sorted(r[0] for r in wins.select("n").distinct().collect())  # ten at most
     if not lengths:
         empty = "__q_id string, __q_th bigint, starts array<struct<s:int,n:int>>, items array<string>"
@@ -175,7 +175,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a window of the benchmark; all columns stay."""
     scratch = Scratch(docs.sparkSession, "clean")
-    found = find_hits(docs, benchmark, scratch, unnamed=True).select("__q_id", "__q_th")
+    found = find_hits(docs, benchmark, scratch).select("__q_id", "__q_th")
     keyed = docs.select("*", *_key())
     return keyed.join(found, ["__q_id", "__q_th"], "left_anti").select(*docs.columns)
 
@@ -196,7 +196,7 @@ def _words_sql(text: str) -> str:
 
 OP8_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_words_sql("text")} AS w FROM documents),
-i AS (SELECT item_id, {_words_sql("text")} AS w FROM benchmark WHERE item_id IS NOT NULL),
+i AS (SELECT item_id, {_words_sql("text")} AS w FROM benchmark),
 i2 AS (SELECT item_id, w, least(len(w), 10) AS n FROM i WHERE len(w) > 0),
 g AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS run
       FROM (SELECT item_id, n, w, unnest(generate_series(1, len(w) - n + 1)) AS k FROM i2)),
@@ -205,7 +205,7 @@ p AS (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k
 h AS (SELECT r, k, p.n, g.item_id FROM p JOIN g ON p.n = g.n AND array_to_string(p.w[p.k:p.k + p.n - 1], ' ') = g.run),
 c AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(generate_series(k, k + n - 1)) AS x FROM h) GROUP BY r),
 t AS (SELECT r, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
-      FROM (SELECT DISTINCT r, item_id FROM h) GROUP BY r)
+      FROM (SELECT DISTINCT r, item_id FROM h WHERE item_id IS NOT NULL) GROUP BY r)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(t.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(t.ids, '')) AS items_sha256,
        coalesce(c.n_hit, 0) > 0 AS contaminated

@@ -14,16 +14,15 @@ def plain(docs, items):
     for i, t, _ in items:
         w = toks(t)
         n = min(10, len(w))
-        if i is not None and n:
-            for k in range(len(w) - n + 1):
-                wins.setdefault(tuple(w[k : k + n]), set()).add(str(i))
+        for k in range(len(w) - n + 1) if n else ():
+            wins.setdefault(tuple(w[k : k + n]), set()).update(() if i is None else (str(i),))
     out = []
     for i, t, *_ in docs:
         w, hit, found = toks(t), set(), set()
         for n in {len(x) for x in wins}:
             for k in range(len(w) - n + 1):
                 x = wins.get(tuple(w[k : k + n]))
-                if x:
+                if x is not None:
                     hit |= set(range(k, k + n))
                     found |= x
         out.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
@@ -67,7 +66,8 @@ def test_empty_tables(spark):
 
 
 def test_passages_of_items_without_an_id_are_taken_out(spark):
-    passage = "one passage of an item that has no id but eleven words"
+    passage = "one passage of an item that has no id but twelve words"
     docs = [(1, f"before {passage} after", None, None, None, None, None), (2, "before and after", None, None, None, None, None)]
     d, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame([(None, passage, None)], ITEMS)
     assert [x.doc_id for x in c.decontaminate(d, b).collect()] == [2]
+    assert sorted((x.doc_id, x.n_hit, x.n_items, x.contaminated) for x in c.op8(d, b).collect()) == [(1, 12, 0, True), (2, 0, 0, False)]
