@@ -85,6 +85,20 @@ def sign_test(wins: int, losses: int) -> float:
     return 1.0 if n == 0 else min(1.0, 2 * sum(math.comb(n, i) for i in range(min(wins, losses) + 1)) / 2**n)
 
 
+def sign_test_column(wins: Column, losses: Column) -> Column:
+    """The same over two columns: each binomial term from the one before."""
+    n = wins + losses
+    first = F.struct((-n * math.log(2)).alias("t"), F.exp(-n * math.log(2)).alias("s"))
+
+    def step(a: Column, i: Column) -> Column:
+        t = a["t"] + F.log((n - i + 1) / i)
+        return F.struct(t.alias("t"), (a["s"] + F.exp(t)).alias("s"))
+
+    fewer = F.least(wins, losses)
+    terms = F.when(fewer > 0, F.sequence(F.lit(1).cast("bigint"), F.greatest(fewer, F.lit(1)))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * F.aggregate(terms, first, step, lambda a: a["s"])))
+
+
 def paired(a: DataFrame, b: DataFrame, metric: str) -> DataFrame:
     """query_id, delta: b less a; queries that one lacks count 0 there."""
     x, y = a.select("query_id", F.col(metric).alias("x")), b.select("query_id", F.col(metric).alias("y"))

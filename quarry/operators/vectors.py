@@ -115,20 +115,33 @@ def normalise(v: Column) -> Column:
     return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
 
 
-def search(rows: DataFrame, queries: list[tuple[object, np.ndarray]], k: int, key: str = "chunk_id", vector: str = "embedding", digits: int = 6) -> DataFrame:
-    """query_id, rank, score and the other columns of ``rows`` for the k best of each query; ties by key."""
+def search(rows: DataFrame, queries: list[tuple[object, np.ndarray]], k: int, key: str = "chunk_id", vector: str = "embedding", digits: int = 6, near: tuple[str, ...] = (), how: str = "mean") -> DataFrame:
+    """query_id, rank, score and the other columns of ``rows`` for the k best of each query; ties by key.
+
+    ``near`` names columns of further vectors, null where there is none: the score is then the mean or the maximum (``how``) of all.
+    """
     if len(queries) > MAX_QUERIES:
         raise ValueError(f"at most {MAX_QUERIES} queries at once")
     ids = [q for q, _ in queries]
     matrix = np.array([v for _, v in queries], dtype=np.float64).reshape(len(queries), -1)
-    others = [c for c in rows.columns if c != vector]
+    others = [c for c in rows.columns if c != vector and c not in near]
+
+    def scored(v: pa.Array) -> np.ndarray:
+        """Scores by query and row, not a number where the row has no vector."""
+        out = np.full((len(ids), len(v)), np.nan)
+        flat = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        if len(flat):
+            out[:, v.is_valid().to_numpy(zero_copy_only=False)] = np.round(matrix @ flat.reshape(-1, matrix.shape[1]).T, digits)
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat = b.column(vector).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            if not len(flat) or not len(ids):
+            if not b.num_rows or not len(ids):
                 continue
-            scores = np.round(matrix @ flat.reshape(b.num_rows, -1).T, digits)
+            scores = scored(b.column(vector))
+            if near:
+                each = np.stack([scored(b.column(near[0])), scores, *(scored(b.column(c)) for c in near[1:])])
+                scores = np.nanmax(each, axis=0) if how == "max" else np.round(np.nansum(each, axis=0) / np.sum(~np.isnan(each), axis=0), 9)
             n = min(k, b.num_rows)
             keys = np.asarray(b.column(key).to_pylist(), dtype=object) if not pa.types.is_integer(b.column(key).type) else b.column(key).to_numpy(zero_copy_only=False)
             order = np.argsort(keys, kind="stable")
@@ -141,7 +154,7 @@ def search(rows: DataFrame, queries: list[tuple[object, np.ndarray]], k: int, ke
     from pyspark.sql import types as T
 
     id_type = T.LongType() if all(isinstance(i, (int, np.integer)) for i in ids) else T.StringType()
-    schema = T.StructType([T.StructField("query_id", id_type), T.StructField("score", T.DoubleType()), *(f for f in rows.schema.fields if f.name != vector)])
+    schema = T.StructType([T.StructField("query_id", id_type), T.StructField("score", T.DoubleType()), *(f for f in rows.schema.fields if f.name in others)])
     local = rows.mapInArrow(run, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
     return local.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -171,9 +184,7 @@ def to_encode(chunks: DataFrame, encoded: DataFrame) -> DataFrame:
     return chunks.withColumn("text_hash", F.xxhash64("text")).join(encoded.select("chunk_id", "text_hash"), ["chunk_id", "text_hash"], "left_anti")
 
 
-def neighbour_scores(scored: DataFrame, how: str = "mean") -> DataFrame:
-    """Scores over all chunks blended with those of the chunks before and after in the document."""
-    w = Window.partitionBy("query_id", "doc_id").orderBy("chunk_id")
-    near = F.array_compact(F.array(F.lag("score").over(w), F.col("score"), F.lead("score").over(w)))
-    value = F.array_max(near) if how == "max" else F.aggregate(near, F.lit(0.0), lambda s, x: s + x) / F.size(near)
-    return scored.withColumn("near_score", value)
+def with_neighbours(rows: DataFrame, vector: str = "embedding") -> DataFrame:
+    """Rows with the vectors of the chunks before and after in the document, as ``before`` and ``after``: for a search with ``near``."""
+    w = Window.partitionBy("doc_id").orderBy("chunk_id")
+    return rows.withColumns({"before": F.lag(vector).over(w), "after": F.lead(vector).over(w)})

@@ -1,7 +1,7 @@
 """Metrics, diagnoses and validation.
 
 Relevance: a document is relevant to a benchmark item if it holds the item's
-first sixty characters.  Results are BM25's.
+whole text.  Results are BM25's.
 """
 
 from __future__ import annotations
@@ -13,9 +13,9 @@ from ..operators import evaluate as E
 from ..registry import query, table
 from .fragments import TAKEN, ordered, pool, top
 from .retrieval import BM25, items, lexical
-from .text import words_sql
+from .text import signs_sql, words_sql
 
-QRELS = "qrels AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 60)))"
+QRELS = "qrels AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 _F1 = """rel AS (SELECT query_id, count(*) AS relevant FROM qrels GROUP BY 1),
   top AS (SELECT DISTINCT query_id, doc_id FROM res WHERE rank <= 3), got AS (SELECT query_id, count(*) AS returned FROM top GROUP BY 1),
   hit AS (SELECT query_id, count(*) AS hits FROM top JOIN qrels USING (query_id, doc_id) GROUP BY 1),
@@ -28,13 +28,19 @@ ALT = "SELECT query_id, doc_id, rank - 2 AS rank FROM bm25 WHERE rank BETWEEN 3
 
 
 def qrels(spark, d):
-    """Documents that hold an item's first sixty characters: candidates share its second and third word, one after the other."""
-    head = items(spark, d).select("query_id", F.substring("text", 1, 60).alias("head"))
-    w = F.split("head", " ")
-    head = head.withColumn("pair", F.xxhash64(F.get(w, F.lit(1)), F.get(w, F.lit(2))))
+    """Documents that hold an item's text.
+
+    Candidates for items of four words or more share their second and third word, which are whole in any document; all
+    shorter items, as one row, are looked for in each document.
+    """
+    item = items(spark, d).select("query_id", F.col("text").alias("item"), F.split("text", " ").alias("w"))
+    long = item.where(F.size("w") > 3).withColumn("pair", F.xxhash64(F.get("w", F.lit(1)), F.get("w", F.lit(2))))
     docs = table(spark, d, "documents").select("doc_id", "text")
-    shared = docs.select("doc_id", F.explode(T.word_pairs(F.col("text"))).alias("pair")).join(head.select("query_id", "pair"), "pair").select("doc_id", "query_id")
-    return shared.distinct().join(head, "query_id").join(docs, "doc_id").where(F.contains("text", F.col("head"))).select("query_id", "doc_id")
+    shared = docs.select("doc_id", F.explode(T.word_pairs(F.col("text"))).alias("pair")).join(long.select("query_id", "pair"), "pair").select("doc_id", "query_id")
+    found = shared.distinct().join(long, "query_id").join(docs, "doc_id").where(F.contains("text", F.col("item"))).select("query_id", "doc_id")
+    short = item.where(F.size("w") <= 3).agg(F.collect_list(F.struct("query_id", "item")).alias("short"))
+    held = F.filter("short", lambda x: F.contains("text", x["item"]))
+    return found.unionByName(docs.crossJoin(F.broadcast(short)).select(F.explode(held).alias("x"), "doc_id").select("x.query_id", "doc_id"))
 
 
 def results(spark, d):
@@ -96,8 +102,8 @@ _ALTF1 = _ALTF1.replace("FROM top GROUP", "FROM top2 GROUP").replace("FROM top J
 @query("evl08_sign_test", _PAIR.replace("@B@", _ALTF1 + ",") + ", k AS (SELECT count(*) FILTER (WHERE delta > 1e-9) AS w, count(*) FILTER (WHERE delta < -1e-9) AS l FROM w) SELECT w AS wins, l AS losses, CASE WHEN w + l = 0 THEN 1e0 ELSE round(least(1e0, 2 * (SELECT sum(exp(lgamma(w + l + 1) - lgamma(i + 1) - lgamma(w + l - i + 1) - (w + l) * ln(2e0))) FROM (SELECT unnest(generate_series(0, least(w, l))) AS i))), 6) END AS p FROM k")
 def evl08(spark, d):
     r, q = results(spark, d), qrels(spark, d)
-    k = E.wins(E.paired(E.scores(alternative(r), q), E.scores(r, q), "f1")).first()
-    return spark.createDataFrame([(k["wins"], k["losses"], round(E.sign_test(k["wins"], k["losses"]), 6))], "wins bigint, losses bigint, p double")
+    k = E.wins(E.paired(E.scores(alternative(r), q), E.scores(r, q), "f1"))
+    return k.select("wins", "losses", F.round(E.sign_test_column(F.col("wins"), F.col("losses")), 6).alias("p"))
 
 
 @query("evl09_wins", _PAIR.replace("@B@", _ALTF1 + ",") + " SELECT count(*) FILTER (WHERE delta > 1e-9) AS wins, count(*) FILTER (WHERE delta < -1e-9) AS losses, count(*) FILTER (WHERE abs(delta) <= 1e-9) AS ties FROM w")
@@ -164,9 +170,21 @@ def dgn05(spark, d):
     return r.select("query_id", "doc_id", F.when(F.col("q").isNotNull(), "hit").when(F.col("c").isNotNull(), "sibling").otherwise("other").alias("kind"))
 
 
-@query("dgn06_reference_density", "SELECT source, count(*) AS n, round(avg((doc_id % 10) / 1e1), 6) AS density FROM documents GROUP BY source HAVING count(*) >= 5")
+#: Share of a document's lines that are references; every third line is made one.
+_SHARE = f"""rl AS (SELECT doc_id, i, string_split(text, chr(10))[i] AS l FROM (SELECT doc_id, text, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents)),
+  rs AS (SELECT doc_id, avg(CAST({signs_sql('t')} AS INTEGER)) AS share FROM (SELECT doc_id, CASE WHEN (i + doc_id) % 3 = 0 THEN '[3] ' || l || ', accessed May 4, 2011.' ELSE l END AS t FROM rl) GROUP BY doc_id)"""
+
+
+def reference_lines(spark, d):
+    line = lambda l, i: F.when((i + 1 + F.col("doc_id")) % 3 == 0, F.concat(F.lit("[3] "), l, F.lit(", accessed May 4, 2011."))).otherwise(l)
+    signs = F.transform(F.transform(F.split("text", "\n"), line), lambda l: T.is_reference(l))
+    share = F.size(F.filter(signs, lambda x: x)) / F.size(signs)
+    return table(spark, d, "documents").select("doc_id", "source", "lang", F.when(F.col("text").isNotNull(), share).alias("share"))
+
+
+@query("dgn06_reference_density", f"WITH {_SHARE} SELECT source, count(*) AS n, round(avg(share), 6) AS density FROM documents LEFT JOIN rs USING (doc_id) GROUP BY source HAVING count(*) >= 5")
 def dgn06(spark, d):
-    g = table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("doc_id") % 10) / 10.0), 6).alias("density"))
+    g = reference_lines(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("share"), 6).alias("density"))
     return g.where("n >= 5")
 
 
@@ -187,10 +205,9 @@ def dgn10(spark, d):
     return E.changed(r.where("rank <= 3"), r.where(F.col("rank") <= F.when(F.col("query_id") % 2 == 0, 3).otherwise(2)))
 
 
-@query("dgn12_flagged_by_format", "SELECT lang AS format, round(avg(CAST((doc_id % 10) / 1e1 >= 6e-1 AS INTEGER)), 6) AS flagged FROM documents GROUP BY lang")
+@query("dgn12_flagged_by_format", f"WITH {_SHARE} SELECT lang AS format, round(avg(CAST(share >= 6e-1 AS INTEGER)), 6) AS flagged FROM documents LEFT JOIN rs USING (doc_id) GROUP BY lang")
 def dgn12(spark, d):
-    f = (F.col("doc_id") % 10 / 10.0 >= 0.6).cast("int")
-    return table(spark, d, "documents").groupBy(F.col("lang").alias("format")).agg(F.round(F.avg(f), 6).alias("flagged"))
+    return reference_lines(spark, d).groupBy(F.col("lang").alias("format")).agg(F.round(F.avg((F.col("share") >= 0.6).cast("int")), 6).alias("flagged"))
 
 
 _PHRASE_WORDS = "len(string_split(source || ' ' || lang, ' '))"

@@ -9,6 +9,7 @@ from ..operators import chunking as C
 from ..operators import results as A
 from ..operators import retrieve as R
 from ..registry import query, table
+from .chunk_sql import SPLIT
 from .retrieval import items
 from .text import content_sql, words_sql
 
@@ -67,7 +68,7 @@ def frg02(spark, d):
     return table(spark, d, "documents").groupBy("lang", r).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("frg03_split_long")
+@query("frg03_split_long", SPLIT)
 def frg03(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(C.split_long(F.col("text"))).alias("part", "text")).withColumn("n", T.word_count(F.col("text")))
 

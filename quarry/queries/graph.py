@@ -10,7 +10,7 @@ from ..operators import retrieve as R
 from ..sources import sinks as K
 from ..sources import structured as S
 from ..registry import query, table
-from .ingest import sentences_sql
+from .chunk_sql import sentences_sql
 from .text import unaccent_sql
 
 _RUN = "\\p{Lu}[\\p{L}\\p{N}]+(?: \\p{Lu}[\\p{L}\\p{N}]+)*"
@@ -52,12 +52,19 @@ def relations(spark, d):
     return G.triples(sentences(spark, d), G.VERBS).distinct()
 
 
-@query("grf02_relations")
+_FORMS = "[" + ", ".join(f"'{v}'" for v in G.VERBS) + "]"
+_LEMMAS = "[" + ", ".join(f"'{v}'" for v in G.VERBS.values()) + "]"
+RELATIONS = f"""{EDGES}, bw AS (SELECT doc_id, chunk_id, src, lead(src) OVER (PARTITION BY n ORDER BY i) AS dst, sentence FROM en),
+  vb AS (SELECT *, list_filter(regexp_extract_all(lower(string_split(list_last(string_split(sentence, src)), dst)[1]), '[\\p{{L}}\\p{{N}}_]+'), lambda w: list_contains({_FORMS}, w))[1] AS verb FROM bw WHERE dst IS NOT NULL AND src <> dst),
+  rel AS (SELECT DISTINCT src, CASE WHEN verb IS NULL THEN '{G.RELATED}' ELSE {_LEMMAS}[list_position({_FORMS}, verb)] END AS relation, dst, {_LABEL.format('src')} AS src_type, {_LABEL.format('dst')} AS dst_type, doc_id, chunk_id FROM vb)"""
+
+
+@query("grf02_relations", f"WITH {RELATIONS} SELECT * FROM rel")
 def grf02b(spark, d):
     return relations(spark, d)
 
 
-@query("grf10_relations")
+@query("grf10_relations", f"WITH {RELATIONS} SELECT relation, count(*) AS n FROM rel GROUP BY relation")
 def grf10f(spark, d):
     return relations(spark, d).groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
 

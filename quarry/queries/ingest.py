@@ -12,6 +12,8 @@ from ..sources import formats as D
 from ..sources import pages as P
 from ..sources import sinks as K
 from ..sources import structured as S
+from . import chunk_sql as Q
+from .chunk_sql import sentences_sql
 from .text import words_sql
 
 _HTML = "regexp_replace(html, '(?s)<!--.*?-->|<(?:script|style|nav|footer|aside|head|form)[ >].*?</(?:script|style|nav|footer|aside|head|form)>|<div class=\"ad\">.*?</div>', ' ', 'g')"
@@ -52,7 +54,7 @@ def src06b(spark, d):
     return S.flat_fields(table(spark, d, "events").select("event_id", "props"), "props").select("event_id", "key", "value")
 
 
-@query("src06c_string_leaves")
+@query("src06c_string_leaves", "SELECT event_id, generate_subscripts(x, 1) - 1 AS pos, unnest(x) AS leaf FROM (SELECT doc_id AS event_id, list_filter([lang, source, text], lambda v: v IS NOT NULL) AS x FROM documents)")
 def src06c(spark, d):
     return S.string_leaves(table(spark, d, "documents").select(F.col("doc_id").alias("event_id"), F.to_json(F.struct("lang", F.array("source", "text").alias("x"))).alias("props")), "props").select("event_id", "pos", "leaf")
 
@@ -156,13 +158,6 @@ def chk02(spark, d):
     return marked(spark, d).select("doc_id", F.inline(C.sections(F.col("text"))).alias("title", "body")).withColumn("body", F.trim("body"))
 
 
-_SENT = "regexp_replace(regexp_replace({0}, '([.!?…][\"”»)]*)\\s+([\"“«(¿¡\\p{{Lu}}0-9])', '\\1' || chr(1) || '\\2', 'g'), '((^|[^\\p{{L}}])(Dr|Sr|Sra|Mr|Mrs|Ms|St|No|vs|etc|Inc|Jr|U\\.S|e\\.g|i\\.e)\\.)' || chr(1), '\\1 ', 'g')"
-
-
-def sentences_sql(c: str) -> str:
-    return f"list_filter([trim(x) FOR x IN string_split({_SENT.format(c)}, chr(1))], lambda x: x <> '')"
-
-
 @query("chk01_sentences", f"SELECT doc_id, len({sentences_sql('text')}) AS n, array_to_string({sentences_sql('text')}, ' / ') AS sentences FROM documents")
 def chk01(spark, d):
     s = T.sentences(F.col("text"))
@@ -175,7 +170,7 @@ def chk03(spark, d):
     return s.groupBy("doc_id", "sentence").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("chk04_packed_chunks")
+@query("chk04_packed_chunks", Q.CHUNK_ROWS)
 def chk04(spark, d):
     return C.chunks(table(spark, d, "documents"))
 
@@ -185,12 +180,12 @@ def chk05(spark, d):
     return C.blocks(table(spark, d, "documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n"))))
 
 
-@query("chk07_overlap_removed")
+@query("chk07_overlap_removed", Q.OVERLAP_ROWS)
 def chk07(spark, d):
     return C.without_overlap(C.chunks(table(spark, d, "documents"), 60, 1)).select("doc_id", "pos", "k", F.size("sentences").alias("n"))
 
 
-@query("chk09_repacked")
+@query("chk09_repacked", Q.REPACKED)
 def chk09(spark, d):
     return C.repack(C.chunks(table(spark, d, "documents"), 60, 1), 120, 0)
 
@@ -222,18 +217,18 @@ def str01(spark, d):
     return activity(table(spark, d, "events")).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("chk08_character_overlap")
+@query("chk08_character_overlap", Q.SHARED)
 def chk08(spark, d):
     c = C.chunks(table(spark, d, "documents"), 60, 1)
     return C.character_overlap(c).select("doc_id", "pos", "shared")
 
 
-@query("chk10_loose_repack")
+@query("chk10_loose_repack", Q.LOOSE)
 def chk10(spark, d):
     return C.repack_loosely(C.chunks(table(spark, d, "documents"), 60, 1), 120, 0)
 
 
-@query("chk13_budget_grid")
+@query("chk13_budget_grid", Q.GRID)
 def chk13(spark, d):
     from ..plans.sweep import sweep
 
@@ -307,7 +302,7 @@ def src17(spark, d):
     return table(spark, d, "embeddings").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.size("embedding") != 64, 1)).alias("wrong"))
 
 
-@query("snk01_chunk_lines")
+@query("snk01_chunk_lines", Q.CHUNK_ROWS)
 def snk01(spark, d):
     """Chunks written as JSON Lines and read again."""
     path = K.work_folder(spark, "chunks")

@@ -211,9 +211,9 @@ def ret11(spark, d):
 
 @query("ret12_neighbour_scores", f"WITH {SCORED}, n AS (SELECT query_id, chunk_id, list_filter([lag(score) OVER w, score, lead(score) OVER w], lambda x: x IS NOT NULL) AS near FROM scored WINDOW w AS (PARTITION BY query_id, doc_id ORDER BY chunk_id)), f AS (SELECT query_id, chunk_id, round(list_sum(near) / len(near), 9) AS near_score FROM n) SELECT query_id, chunk_id, near_score FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY near_score DESC, chunk_id) <= 20")
 def ret12(spark, d):
-    n = rows(spark, d).count()
-    near = each_block(spark, d, lambda q: V.neighbour_scores(V.search(rows(spark, d), q, n, digits=DIGITS))).withColumn("near_score", F.round("near_score", 9))
-    return R.ranked(near, "near_score", "chunk_id", limit=20).select("query_id", "chunk_id", "near_score")
+    around = V.with_neighbours(rows(spark, d))
+    near = each_block(spark, d, lambda q: V.search(around, q, 20, digits=DIGITS, near=("before", "after")))
+    return near.select("query_id", "chunk_id", F.col("score").alias("near_score"))
 
 
 @query("ret13_cross_rerank", f"WITH {POOL}, s AS (SELECT *, min(third) OVER w AS lo, max(third) OVER w AS hi FROM pool WINDOW w AS (PARTITION BY query_id)), t AS (SELECT query_id, chunk_id, round(score + 5e-1 * CASE WHEN hi - lo <= 1e-12 THEN 5e-1 ELSE (third - lo) / (hi - lo) END, 9) AS total FROM s) SELECT query_id, chunk_id, total, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, chunk_id) AS rank FROM t")
@@ -232,7 +232,11 @@ def ret15(spark, d):
     return R.bm25(table(spark, d, "documents"), swapped, 5).select("query_id", "rank", "doc_id", "score")
 
 
-@query("ret16_vector_feedback")
+@query("ret16_vector_feedback", f"""WITH {SCORED}, best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 5),
+  mean AS (SELECT query_id, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM best JOIN embeddings ON vec_id = chunk_id, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL),
+  moved AS (SELECT query_id, list(x ORDER BY i) AS x FROM mean GROUP BY query_id), unit AS (SELECT query_id, [y / sqrt(list_dot_product(x, x)) FOR y IN x] AS x FROM moved),
+  again AS (SELECT query_id, chunk_id, round(list_dot_product(v, x), 4) AS score FROM unit, r)
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM again QUALIFY rank <= 10""")
 def ret16(spark, d):
     """Queries moved to the mean of their five best, then searched again."""
     kept = rows(spark, d).withColumn("v", F.col("embedding"))

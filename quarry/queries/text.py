@@ -253,12 +253,12 @@ def qry07(spark, d):
 CITED = ' [12] "The invented title of a source," accessed March 3, 2019, https://example.org/a. 7 Authors, et al., vol. 3.'
 
 
-def _signs_sql(c: str) -> str:
+def signs_sql(c: str) -> str:
     one = lambda p: f"CAST(regexp_matches({c}, '{p}') AS INTEGER)"
     return f"regexp_matches({c}, '{T.LINK}') OR {one(T.QUOTED)} + {one(T.DATED)} + {one(T.REFERENCE)} + {one(T.NOTE)} >= 2"
 
 
-@query("qry09_is_reference", f"WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '[3] ' || text || ', accessed May 4, 2011.' WHEN doc_id % 3 = 1 THEN text || ' www.example.org' ELSE text END AS t FROM documents) SELECT doc_id, {_signs_sql('t')} AS reference FROM t")
+@query("qry09_is_reference", f"WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '[3] ' || text || ', accessed May 4, 2011.' WHEN doc_id % 3 = 1 THEN text || ' www.example.org' ELSE text END AS t FROM documents) SELECT doc_id, {signs_sql('t')} AS reference FROM t")
 def qry09(spark, d):
     n, t = F.col("doc_id") % 3, F.col("text")
     mixed = F.when(n == 0, F.concat(F.lit("[3] "), t, F.lit(", accessed May 4, 2011."))).when(n == 1, F.concat(t, F.lit(" www.example.org"))).otherwise(t)
@@ -303,10 +303,10 @@ def qry14(spark, d):
     return table(spark, d, "events").select("event_id", F.coalesce(long("event_type"), long("props")).alias("field"))
 
 
-@query("qry15_shuffled_words")
+@query("qry15_shuffled_words", f"WITH w AS (SELECT item_id, string_split({squeeze_sql('text')}, ' ') AS w FROM benchmark), u AS (SELECT item_id, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM w) SELECT item_id, string_agg(x, ' ' ORDER BY md5(x || ' ' || i || ' 11'), x) AS text FROM u GROUP BY item_id")
 def qry15(spark, d):
     w = F.split(T.squeeze(F.col("text")), " ")
-    keyed = F.array_sort(F.transform(w, lambda x, i: F.struct(F.xxhash64(x, i, F.lit(11)).alias("k"), x.alias("w"))))
+    keyed = F.array_sort(F.transform(w, lambda x, i: F.struct(F.md5(F.concat_ws(" ", x, i.cast("string"), F.lit("11"))).alias("k"), x.alias("w"))))
     return table(spark, d, "benchmark").select("item_id", F.array_join(F.transform(keyed, lambda x: x["w"]), " ").alias("text"))
 
 

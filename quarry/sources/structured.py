@@ -43,12 +43,13 @@ def flat_fields(rows: DataFrame, column: str) -> DataFrame:
 
 
 def string_leaves(rows: DataFrame, column: str) -> DataFrame:
-    """pos, leaf: all quoted values of a JSON text, in order."""
+    """pos, leaf: all quoted values of a JSON text, in order, their escapes read; what can't be read stays as it is."""
     swap = lambda c, *pairs: reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), pairs, c)
     # escaped backslashes and quotes step aside for control characters, which JSON never has: a group in a loop would recurse once a character
     plain = swap(F.col(column), ("\\\\", "\x01"), ('\\"', "\x02"))
     found = F.regexp_extract_all(plain, F.lit('[:\\[,]\\s*"([^"]*+)"(?=\\s*[,}\\]])'), F.lit(1))
-    found = F.transform(found, lambda x: swap(x, ("\x02", '\\"'), ("\x01", "\\\\")))
+    read = lambda x: F.get(F.from_json(F.concat(F.lit('["'), x, F.lit('"]')), "array<string>"), 0)
+    found = F.transform(F.transform(found, lambda x: swap(x, ("\x02", '\\"'), ("\x01", "\\\\"))), lambda x: F.coalesce(read(x), x))
     return rows.select("*", F.posexplode(found).alias("pos", "leaf"))
 
 
