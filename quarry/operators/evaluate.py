@@ -64,7 +64,7 @@ def bootstrap(deltas: list[float], repeats: int = 10_000, seed: int = 0) -> tupl
 def bootstrap_frame(paired: DataFrame, repeats: int = 10_000) -> DataFrame:
     """low, mean, high of ``delta`` by Poisson resampling: each query's weight in each round is a hash, so nothing is collected."""
     rounds = paired.select("query_id", "delta", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("round"))
-    u = (F.pmod(F.xxhash64("query_id", "round"), F.lit(1 << 20)) + 0.5) / float(1 << 20)
+    u = (F.conv(F.substring(F.md5(F.concat_ws(" ", F.col("query_id").cast("string"), F.col("round").cast("string"))), 1, 5), 16, 10).cast("int") + 0.5) / float(1 << 20)
     cuts, p, total = [], math.exp(-1), math.exp(-1)
     for k in range(1, 8):
         cuts.append(total)

@@ -6,6 +6,8 @@ whole text.  Results are BM25's.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -83,12 +85,6 @@ def evl05(spark, d):
     return n.select("n", F.round(E.f1_ceiling(F.col("n")), 6).alias("ceiling"))
 
 
-@query("evl06_bootstrap")
-def evl06(spark, d):
-    r, q = results(spark, d), qrels(spark, d)
-    return E.bootstrap_frame(E.paired(E.scores(alternative(r), q), E.scores(r, q), "f1"))
-
-
 @query("evl07_verdict", "SELECT event_id, CASE WHEN value - 30 > -2e-2 THEN 'adopt' WHEN value - 20 < 0 THEN 'discard' ELSE 'undecided' END AS verdict FROM events")
 def evl07(spark, d):
     return table(spark, d, "events").select("event_id", E.verdict(F.col("value") - 30, F.col("value") - 20).alias("verdict"))
@@ -106,6 +102,19 @@ def evl08(spark, d):
     return k.select("wins", "losses", F.round(E.sign_test_column(F.col("wins"), F.col("losses")), 6).alias("p"))
 
 
+#: A query's weight in a round is Poisson's: how many of these sums its hash is above.
+_CUTS = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(7)]
+_WEIGHT = " + ".join(f"CAST(u > {c:.17e} AS INTEGER)" for c in _CUTS)
+_ROUNDS = f"""h AS (SELECT delta, round, (CAST('0x' || left(md5(query_id || ' ' || round), 5) AS BIGINT) + 5e-1) / 1048576 AS u FROM w, (SELECT unnest(range(1, 10001)) AS round)),
+  m AS (SELECT round, sum(delta * ({_WEIGHT})) / greatest(sum({_WEIGHT}), 1) AS m FROM h GROUP BY round)"""
+
+
+@query("evl06_bootstrap", _PAIR.replace("@B@", _ALTF1 + ",") + f", {_ROUNDS} SELECT round(quantile_cont(m, 5e-2), 6) AS low, round(avg(m), 6) AS mean, round(quantile_cont(m, 95e-2), 6) AS high FROM m")
+def evl06(spark, d):
+    r, q = results(spark, d), qrels(spark, d)
+    return E.bootstrap_frame(E.paired(E.scores(alternative(r), q), E.scores(r, q), "f1"))
+
+
 @query("evl09_wins", _PAIR.replace("@B@", _ALTF1 + ",") + " SELECT count(*) FILTER (WHERE delta > 1e-9) AS wins, count(*) FILTER (WHERE delta < -1e-9) AS losses, count(*) FILTER (WHERE abs(delta) <= 1e-9) AS ties FROM w")
 def evl09(spark, d):
     r, q = results(spark, d), qrels(spark, d)

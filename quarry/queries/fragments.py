@@ -9,7 +9,7 @@ from ..operators import chunking as C
 from ..operators import results as A
 from ..operators import retrieve as R
 from ..registry import query, table
-from .chunk_sql import SPLIT
+from .chunk_sql import SPLIT, sentences_sql
 from .retrieval import items
 from .text import content_sql, words_sql
 
@@ -110,7 +110,9 @@ def frg08(spark, d):
     return A.without_near_duplicates(ordered(spark, d))
 
 
-@query("frg09_extended_fragments")
+@query("frg09_extended_fragments", f"""WITH RECURSIVE {TAKEN}, nx AS (SELECT t.query_id, t.fragment, t.chunk_id, t.text, coalesce({sentences_sql('n.text')}, []) AS more, 0 AS i FROM taken t LEFT JOIN ch n ON n.doc_id = t.doc_id AND n.pos = t.pos + 1),
+  ex AS (SELECT * FROM nx UNION ALL SELECT query_id, fragment, chunk_id, CASE WHEN NOT contains(text, more[i + 1]) AND len(regexp_split_to_array(text, '\\s+')) + len(regexp_split_to_array(more[i + 1], '\\s+')) <= 250 THEN text || ' ' || more[i + 1] ELSE text END, more, i + 1 FROM ex WHERE i < len(more))
+  SELECT query_id, fragment, chunk_id, {words_sql('text')} AS n FROM ex WHERE i = len(more)""")
 def frg09(spark, d):
     f = A.take_fragments(ordered(spark, d))
     return A.extended(f, lines(spark, d)).select("query_id", "fragment", "chunk_id", T.word_count(F.col("text")).alias("n"))

@@ -135,7 +135,7 @@ def grf10c(spark, d):
     return G.components(e)
 
 
-@query("grf10_entity_components")
+@query("grf10_entity_components", f"WITH RECURSIVE {EDGES}, b AS (SELECT src AS a, dst AS b FROM ed UNION SELECT dst, src FROM ed), r AS (SELECT a AS node, a AS root FROM b UNION SELECT b.b, r.root FROM r JOIN b ON b.a = r.node) SELECT node, min(root) AS root FROM r GROUP BY node")
 def grf10d(spark, d):
     return G.components(edges(spark, d))
 
@@ -156,7 +156,9 @@ def grf11(spark, d):
     return R.rrf([pool, G.evidence(e, q, 20)], limit=10).select("query_id", "chunk_id", "score", "rank")
 
 
-@query("snk05_graphml_lines")
+@query("snk05_graphml_lines", f"""WITH {RELATIONS}, re AS (SELECT src AS node, src_type AS type FROM rel UNION ALL SELECT dst, dst_type FROM rel), rc AS (SELECT node, type, count(*) AS n FROM re GROUP BY ALL)
+  SELECT 0 AS part, '<node id="' || node || '"><data key="type">' || type || '</data></node>' AS line FROM rc QUALIFY row_number() OVER (PARTITION BY node ORDER BY n DESC, type) = 1
+  UNION ALL SELECT 1, '<edge source="' || src || '" target="' || dst || '"><data key="relation">' || relation || '</data><data key="doc_id">' || doc_id || '</data></edge>' FROM rel""")
 def snk05(spark, d):
     e = relations(spark, d)
     return G.graphml(G.nodes(e), e)
