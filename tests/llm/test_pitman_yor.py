@@ -42,6 +42,17 @@ def test_base_and_perplexity(spark):
     assert all(math.isclose(again[x.doc_id], x.score) for x in got)
 
 
+def test_very_long_texts_and_words_are_scored_whole(spark):
+    rows = [(1, "a b c " * 50_000, None, 1), (2, "w" * 100_000, None, 1), (3, "a b c", None, 1), (4, "w" * 100_000 + " a", None, 1)]
+    tokens = lambda t: WORD.findall(t) + [""]
+    learnt = [t for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    c = Counter(w for t in learnt for w in tokens(t))
+    got = {x.doc_id: x for x in py.op7(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, t, *_ in rows:
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), sum(c.values()))
+        assert math.isfinite(got[i].score) and got[i].score < 0
+
+
 def test_spelling_sums_to_one():
     words = py.Words.of(pa.array(["", "abc", "abd", "été", "a"]))
     keys, place, _, _ = words.letters()
