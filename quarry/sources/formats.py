@@ -123,8 +123,7 @@ def json_documents(files: DataFrame) -> DataFrame:
     other = ~F.coalesce(known, F.lit(False)) & F.col("json").rlike("[:\\[,]\\s*[\\[{]|^\\s*\\[")
     parsed = parsed.withColumn("other", other)
     leaves = string_leaves(parsed.where("other").select("path", "json"), "json")
-    leaf = F.get_json_object(F.concat(F.lit('{"v":"'), F.col("leaf"), F.lit('"}')), "$.v")  # undoes escapes
-    said = leaves.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", leaf.alias("leaf")))), lambda x: x["leaf"]), "\n").alias("said"))
+    said = leaves.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "leaf"))), lambda x: x["leaf"]), "\n").alias("said"))
     return parsed.join(said, "path", "left").withColumn("text", F.when(F.col("other"), F.col("said")).otherwise(F.col("text")))
 
 
