@@ -21,6 +21,9 @@ taken apart exactly: the bits outside the cell's blocks are cut into slivers of
 ``SLIVER`` bits, and all but ``max_distance`` slivers must agree as well, which
 leaves at most ``2 ** (SLIVER * max_distance)`` fingerprints that share a key.
 
+``drop_near_copies`` gives every text many fingerprints, each of a sample of its
+shingles, and links them in the same tables; see there.
+
 Nulls: a null text counts as empty; texts without words have fingerprint zero
 and link like any other.  A null doc_id keeps its row and is ignored when the
 smallest doc_id of a group is sought.  Repeated rows are members like any
@@ -102,14 +105,14 @@ def distance(a: Column, b: Column | int) -> Column:
     return F.bit_count(a.bitwiseXOR(F.lit(_signed(b)) if isinstance(b, int) else b))
 
 
-def pivot_table(fps: DataFrame, blocks: int, *keep: str) -> DataFrame:
+def pivot_table(fps: DataFrame, blocks: int, *keep: str, families: int = FAMILIES) -> DataFrame:
     """fp, columns of ``keep``, plain (distances to the pivots that discard), near (by block, the distances inside it packed into one number)."""
-    pivots = _pivots(max(PLAIN, FAMILIES))
+    pivots = _pivots(max(PLAIN, families))
     x = F.col("fp")
     near = []
     for mask in _block_masks(blocks):
         packed = F.lit(0).cast("bigint")
-        for p in pivots[:FAMILIES]:
+        for p in pivots[:families]:
             less = distance(x, p) - distance(x, p ^ mask)  # twice the distance inside the block, less its width
             packed = packed * 65 + F.shiftright(less + mask.bit_count(), 1)
         near.append(packed)
@@ -191,9 +194,11 @@ def near_copies(docs: DataFrame, shingle: int = 5, max_distance: int = 2, blocks
 
 #: Near-copies as a stage: texts whose five-word shingles have a Jaccard similarity of 0.8 or more link.
 WIDE, SHINGLE = 256, 5
-#: Candidates share a band of minima: a pair at 0.8 has none with a chance of (1 - 0.8 ** 4) ** 32, 5 in 100 million.
-BANDS, BAND = 32, 4
-#: And differ in at most 72 of 256 bits: at 0.8 they differ in 40, give or take 6, so beyond 72 with a chance of 1 in 100 million.
+#: Fingerprints of a text, and shingles in the sample of each: a pair at 0.8 has no sample in common with a chance of (1 - 0.8 ** 4) ** 32, 5 in 100 million.
+SAMPLES, SAMPLE = 32, 4
+#: Such fingerprints link at so many bits, by cells of one of two blocks; ten families tell blocks of 32 bits apart.
+SAMPLE_DISTANCE, SAMPLE_BLOCKS, SAMPLE_FAMILIES = 1, 2, 10
+#: And candidates differ in at most 72 of 256 bits: at 0.8 they differ in 40, give or take 6, so beyond 72 with a chance of 1 in 100 million.
 CANDIDATE_BITS = 72
 #: Shingles whose minima are sought at once: 2 MB.
 AT_ONCE = 2048
@@ -206,7 +211,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_SALTS = _mixed(np.arange(1, BANDS * BAND + WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_SALTS = _mixed(np.arange(1, SAMPLES * SAMPLE + WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_ODD = _SALTS[: SAMPLES * SAMPLE] | np.uint64(1)
+_INVERSE = np.array([pow(int(x), -1, 1 << 64) for x in _ODD], dtype=np.uint64)
 
 
 def shingle_set(normal: bytes) -> np.ndarray:
@@ -219,37 +226,38 @@ def shingle_set(normal: bytes) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """256 bits (four bigints), each set if it is in more than half of the shingles' hashes, and the hashes of the bands."""
+    """SimHash of all shingles (256 bits, four bigints), and of ``SAMPLES`` samples (64 bits each).
+
+    A sample is the shingles that come first in ``SAMPLE`` orders, the same for
+    all texts, so texts share it with a chance of their similarity for each.
+    """
     n = len(shingles)
     ones = np.zeros(WIDE, dtype=np.int64)
-    least = np.full(BANDS * BAND, 2**64 - 1, dtype=np.uint64)
-    odd = (_SALTS[: BANDS * BAND] | np.uint64(1))[:, None]
+    least = np.full(SAMPLES * SAMPLE, 2**64 - 1, dtype=np.uint64)
     for at in range(0, n, AT_ONCE):
         part = shingles[at : at + AT_ONCE]
-        lanes = _mixed(part[:, None] ^ _SALTS[BANDS * BAND :])
+        lanes = _mixed(part[:, None] ^ _SALTS[SAMPLES * SAMPLE :])
         ones += np.unpackbits(lanes.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
-        least = np.minimum(least, (part * odd).min(axis=1))
-    bands = np.arange(BANDS, dtype=np.uint64)
-    for k in range(BAND):
-        bands = _mixed(bands * np.uint64(0x9E3779B97F4A7C15) + least[k::BAND])
-    return np.packbits(ones * 2 > n).view(np.int64), bands.view(np.int64)
+        least = np.minimum(least, (part * _ODD[:, None]).min(axis=1))
+    sampled = np.unpackbits((least * _INVERSE).view(np.uint8).reshape(SAMPLES, SAMPLE, 8), axis=2).sum(axis=1, dtype=np.int64)
+    return np.packbits(ones * 2 > n).view(np.int64), np.packbits(sampled * 2 > SAMPLE, axis=1).view(np.int64).ravel()
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, copy (128 bits of the words), wide (four bigints), bands (bigints)."""
+    """doc_id, copy (128 bits of the words), wide (four bigints), fps (bigints, one for each sample)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             texts = [s.encode() for s in normal_words(b.column("text")).to_pylist()]
             pairs = [sketch(shingle_set(t)) for t in texts]
             columns = [b.column("doc_id"), pa.array([xxhash.xxh3_128_hexdigest(t) for t in texts], pa.string())]
-            for k, size in enumerate((WIDE // 64, BANDS)):
+            for k, size in enumerate((WIDE // 64, SAMPLES)):
                 flat = np.concatenate([x[k] for x in pairs]) if pairs else np.zeros(0, dtype=np.int64)
                 columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * size), pa.array(flat)))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "copy", "wide", "bands"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "copy", "wide", "fps"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, copy string, wide array<bigint>, bands array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, copy string, wide array<bigint>, fps array<bigint>")
 
 
 def _forest(found: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
@@ -273,13 +281,13 @@ def _forest(found: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]
 LONG_RUN = 256
 
 
-def cell_links(cell: np.ndarray, fp: np.ndarray, plain: np.ndarray, wide: np.ndarray, max_distance: int, similar: int) -> list[tuple[int, int]]:
+def cell_links(cell: np.ndarray, fp: np.ndarray, wide: np.ndarray, max_distance: int, similar: int) -> list[tuple[int, int]]:
     """Row pairs that link, within runs of equal ``cell``, as a forest: as many pairs as it takes to connect what is linked.
 
     In a long run each row is compared with those that nothing has reached yet,
     so a large group of near copies costs little more than one look at each.
     """
-    table = np.stack([(plain >> (7 * i)) & 127 for i in range(PLAIN)], axis=1).astype(np.int16)
+    table = np.stack([np.bitwise_count(fp.view(np.uint64) ^ np.uint64(p)) for p in _pivots(PLAIN)], axis=1).astype(np.int16)
 
     def near(i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
         ok = (np.abs(table[i] - table[j]) <= max_distance).all(axis=1)  # pivots
@@ -312,38 +320,30 @@ def cell_links(cell: np.ndarray, fp: np.ndarray, plain: np.ndarray, wide: np.nda
         k += 1
 
 
-def forest_links(texts: DataFrame, max_distance: int, blocks: int, similar: int) -> DataFrame:
+def forest_links(texts: DataFrame, max_distance: int, blocks: int, similar: int, families: int = FAMILIES) -> DataFrame:
     """(a, b): nodes of ``texts`` (node, fp, wide) whose links connect what is linked.
 
     Every cell gives a forest instead of all pairs of a group of near copies;
-    each link lies in some cell, so all forests together have its groups.
+    each link lies in some cell, so all forests together have its groups.  A
+    node may have several fingerprints, a row for each.
     """
     combos = list(combinations(range(blocks), blocks - max_distance))
-    table = pivot_table(texts, blocks, "node", "wide")
+    table = pivot_table(texts, blocks, "node", "wide", families=families)
     cells = F.array(*(F.xxhash64(F.lit(i), *(F.col("near")[j] for j in c)) for i, c in enumerate(combos)))
-    return _forests(table.select("node", "fp", "plain", "wide", F.explode(cells).alias("cell")), max_distance, similar)
-
+    rows = table.select("node", "fp", "wide", F.explode(cells).alias("cell"))
 
-def band_links(texts: DataFrame) -> DataFrame:
-    """(a, b): nodes of ``texts`` (node, wide, bands) whose links connect all candidates."""
-    cells = F.transform("bands", lambda x, i: F.xxhash64(i, x))
-    zero = F.lit(0).cast("bigint")  # no pivots: the bands are the cells
-    return _forests(texts.select("node", zero.alias("fp"), zero.alias("plain"), "wide", F.explode(cells).alias("cell")), 0, CANDIDATE_BITS)
-
-
-def _forests(rows: DataFrame, max_distance: int, similar: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            cell, node, fp, plain, *wide = (np.concatenate(c) for c in zip(*held))
+            cell, node, fp, *wide = (np.concatenate(c) for c in zip(*held))
             held.clear()
-            links_ = cell_links(cell, fp, plain, np.stack(wide, axis=1), max_distance, similar)
+            links_ = cell_links(cell, fp, np.stack(wide, axis=1), max_distance, similar)
             a, b = (np.array(x, dtype=np.int64) for x in (zip(*links_) if links_ else ((), ())))
             return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
         for b in batches:
-            part = [b.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "node", "fp", "plain")]
+            part = [b.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "node", "fp")]
             lanes = b.column("wide").flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDE // 64)
             part += [lanes[:, k] for k in range(lanes.shape[1])]
             if not len(part[0]):
@@ -359,8 +359,14 @@ def _forests(rows: DataFrame, max_distance: int, similar: int) -> DataFrame:
         if held:
             yield flush()
 
-    dealt = rows.repartition("cell").sortWithinPartitions("cell").select("cell", "node", "fp", "plain", "wide")
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    dealt = rows.repartition("cell").sortWithinPartitions("cell", "node").select("cell", "node", "fp", "wide")
+    return dealt.mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
+
+
+def sample_links(texts: DataFrame) -> DataFrame:
+    """(a, b): nodes of ``texts`` (node, wide, fps) whose links connect all candidates."""
+    each = texts.select("node", "wide", F.explode(F.array_distinct("fps")).alias("fp"))
+    return forest_links(each, SAMPLE_DISTANCE, SAMPLE_BLOCKS, CANDIDATE_BITS, SAMPLE_FAMILIES)
 
 
 def exact_groups(sets: list[np.ndarray]) -> np.ndarray:
@@ -442,16 +448,21 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near copies, the one with the smallest doc_id; all columns stay.
 
     Texts of equal words are copies.  Distinct texts link if their sets of
-    five-word shingles have a Jaccard similarity of 0.8 or more.  Candidates share
-    a band of minima; groups of candidates are then taken apart by the exact
-    similarity of all their pairs.  Texts without words are copies of each other.
+    five-word shingles have a Jaccard similarity of 0.8 or more.  At 0.8 one
+    fingerprint of the whole text differs in 10 of 64 bits, which is too far for
+    cells that lose no link.  So a text has a fingerprint of each of 32 samples
+    of its shingles, which is equal where the sample is.  The pivot tables find
+    all fingerprints that differ in at most one bit; those whose texts' 256-bit
+    fingerprints are near as well are candidates.  Groups of candidates are then
+    taken apart by the exact similarity of all their pairs.  Texts without words
+    are copies of each other.
     """
     scratch = Scratch(docs.sparkSession, "near")
     rows = scratch.save(profiles(docs), "profiles")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
-    texts = rows.groupBy("copy").agg(first, F.first("wide").alias("wide"), F.first("bands").alias("bands")).withColumn("node", F.xxhash64("copy"))
+    texts = rows.groupBy("copy").agg(first, F.first("wide").alias("wide"), F.first("fps").alias("fps")).withColumn("node", F.xxhash64("copy"))
     texts = scratch.save(texts, "texts")
-    near = scratch.save(components(scratch.save(band_links(texts), "candidates"), scratch), "near")
+    near = scratch.save(components(scratch.save(sample_links(texts), "candidates"), scratch), "near")
     roots = scratch.save(verified(docs, texts, near, scratch), "verified").withColumnRenamed("node", "k")
     labelled = texts.join(roots, texts["node"] == roots["k"], "left").select("copy", "first", F.coalesce("root", "node").alias("root"))
     stays = labelled.groupBy("root").agg(F.min_by(F.struct("copy", "first"), F.struct("first", "copy")).alias("s"))

@@ -153,3 +153,30 @@ def test_groups_in_blocks_match_all_pairs(spark, monkeypatch):
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values())) and len(want) > 6
     kept = {x.doc_id for x in simhash.drop_near_copies(docs).collect()}
     assert kept == {min(g) for g in want.values()}
+
+
+def test_candidates_are_linked_fingerprints_of_samples(spark):
+    """Fingerprints of four shingles each against plain ones; one bit apart links, two don't, and neither do texts far apart."""
+    import numpy as np
+
+    r = random.Random(4)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    for n in (1, 3, 2500):
+        hashes = sorted(r.getrandbits(64) for _ in range(n))
+        got = simhash.sketch(np.array(hashes, dtype=np.uint64))[1].view(np.uint64).tolist()
+        orders = [int(x) for x in simhash._ODD]
+        for i, fp in enumerate(got):
+            sample = [min(hashes, key=lambda h: h * o % 2**64) for o in orders[4 * i : 4 * i + 4]]  # noqa: B023
+            assert fp == sum(1 << b for b in range(64) if sum(h >> b & 1 for h in sample) > 2)
+        assert len(got) == 32
+    rows = []
+    for k in range(60):
+        wide = [r.getrandbits(64) for _ in range(4)]
+        fps = [r.getrandbits(64) for _ in range(32)]
+        apart = (1, 1, 2, 2)[k % 4]
+        other = [r.getrandbits(64) for _ in range(31)] + [fps[7] ^ sum(1 << b for b in r.sample(range(64), apart))]
+        far = [~w & (2**64 - 1) if k % 2 else w ^ 7 for w in wide]
+        rows += [(2 * k, [signed(w) for w in wide], [signed(f) for f in fps]), (2 * k + 1, [signed(w) for w in far], [signed(f) for f in other])]
+    df = spark.createDataFrame(rows, "node bigint, wide array<bigint>, fps array<bigint>")
+    got = {frozenset((x.a, x.b)) for x in simhash.sample_links(df).collect()}
+    assert got == {frozenset((2 * k, 2 * k + 1)) for k in range(0, 60, 4)}
