@@ -45,6 +45,9 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Of a table whose size is known about, rows that go to one file.
+FILE_ROWS = 100_000
+
 _FOLDERS: list[tuple[SparkSession, str]] = []
 
 
@@ -65,8 +68,16 @@ class Scratch:
         self.path = f"{shared_dir(spark)}/quarry-{name}-{uuid.uuid4().hex}"
         _FOLDERS.append((spark, self.path))
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and read it back: cuts the lineage and survives lost executors."""
+    def save(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """Write ``df`` and read it back: cuts the lineage and survives lost executors.
+
+        With ``rows``, about how many there are, small tables go to a file for
+        each core instead of one for each shuffle partition: on a local file
+        system Hadoop starts processes for every file (chmod), and until such a
+        process runs its program it counts with all of its executor's memory.
+        """
+        if rows is not None:
+            df = df.coalesce(max(self.spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
         return self.load(name)
 

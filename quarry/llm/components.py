@@ -27,7 +27,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); root is the smallest node of its component."""
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    state, before = scratch.save(pairs, f"{name}0"), None
+    rows, before = edges.count(), None
+    state = scratch.save(pairs, f"{name}0", rows)
     step = 0
     while True:
         step += 1
@@ -35,12 +36,12 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
         large = _star(both, True).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         small = _star(down, False).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        state = scratch.save(small, f"{name}{step}")
+        state = scratch.save(small, f"{name}{step}", rows)
         sign = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if step > 1:
             scratch.drop(f"{name}{step - 2}")
         if sign == before:
             break
-        before = sign
+        rows, before = sign[0], sign
     own = state.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return state.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(own)

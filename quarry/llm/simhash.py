@@ -427,7 +427,7 @@ def verified(docs: DataFrame, texts: DataFrame, groups: DataFrame, scratch: Scra
     members = texts.join(groups, "node").select("copy", "node", "root", F.coalesce(F.col("first.doc_id").cast("string"), F.lit("\x00")).alias("id"))
     asked = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")).alias("id"), "text").join(members.select("id").distinct(), "id", "left_semi")
     sets = asked.select("text").mapInArrow(shingled, "copy string, shingles array<bigint>").dropDuplicates(["copy"])
-    sets = scratch.save(sets.join(members, "copy").select("node", "root", "shingles"), "sets")
+    sets = scratch.save(sets.join(members, "copy").select("node", "root", "shingles"), "sets", 16 * groups.count())  # 4 KB a row or so
     hubs = sets.groupBy("root").agg(F.min("node").alias("hub"), F.min_by("shingles", "node").alias("of_hub"))
     # shared / union >= 4 / 5; a hot root is a skewed join of few rows with many, which adaptive execution splits
     links_ = 9 * F.size(F.array_intersect("shingles", "of_hub")) >= 4 * (F.size("shingles") + F.size("of_hub"))
@@ -441,7 +441,7 @@ def verified(docs: DataFrame, texts: DataFrame, groups: DataFrame, scratch: Scra
     pairs = rows.select("node", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(sets.select("node", "shingles"), "node")
     more = pairs.groupBy("root", "i", "j").applyInArrow(compared, "a bigint, b bigint")
     direct = hubbed.where("linked and node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    return components(scratch.save(direct.unionByName(more).distinct(), "exact"), scratch, "cx")
+    return components(scratch.save(direct.unionByName(more).distinct(), "exact", groups.count()), scratch, "cx")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
@@ -461,12 +461,12 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     rows = scratch.save(profiles(docs), "profiles")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
     texts = rows.groupBy("copy").agg(first, F.first("wide").alias("wide"), F.first("fps").alias("fps")).withColumn("node", F.xxhash64("copy"))
-    texts = scratch.save(texts, "texts")
-    near = scratch.save(components(scratch.save(sample_links(texts), "candidates"), scratch), "near")
-    roots = scratch.save(verified(docs, texts, near, scratch), "verified").withColumnRenamed("node", "k")
+    texts = scratch.save(texts, "texts", n := rows.count())
+    near = scratch.save(components(scratch.save(sample_links(texts), "candidates", n), scratch), "near", n)
+    roots = scratch.save(verified(docs, texts, near, scratch), "verified", n).withColumnRenamed("node", "k")
     labelled = texts.join(roots, texts["node"] == roots["k"], "left").select("copy", "first", F.coalesce("root", "node").alias("root"))
     stays = labelled.groupBy("root").agg(F.min_by(F.struct("copy", "first"), F.struct("first", "copy")).alias("s"))
-    stays = scratch.save(stays.select(F.col("s.copy").alias("__q_copy"), F.coalesce(F.col("s.first.doc_id").cast("string"), F.lit("\x00")).alias("__q_id")), "stays")
+    stays = scratch.save(stays.select(F.col("s.copy").alias("__q_copy"), F.coalesce(F.col("s.first.doc_id").cast("string"), F.lit("\x00")).alias("__q_id")), "stays", n)
     # rows of that id; where ids repeat, one row of that id and those words
     keyed = docs.withColumn("__q_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")))
     if not rows.groupBy("doc_id").count().where("count > 1").limit(1).count():

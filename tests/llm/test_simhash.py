@@ -180,3 +180,37 @@ def test_candidates_are_linked_fingerprints_of_samples(spark):
     df = spark.createDataFrame(rows, "node bigint, wide array<bigint>, fps array<bigint>")
     got = {frozenset((x.a, x.b)) for x in simhash.sample_links(df).collect()}
     assert got == {frozenset((2 * k, 2 * k + 1)) for k in range(0, 60, 4)}
+
+
+def test_small_tables_go_to_few_files(spark, monkeypatch):
+    """Of 97 shuffle partitions; components of a path and pairs, and near copies, stay what they are."""
+    import glob
+
+    from quarry.llm.components import components
+
+    written = {}
+    save = Scratch.save
+
+    def counted(self, df, name, *rest):
+        out = save(self, df, name, *rest)
+        written[name] = len(glob.glob(f"{self.path.removeprefix('file:')}/{name}/part-*"))
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    conf = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in conf}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        edges = [(k, k + 1) for k in range(300)] + [(1000 + 2 * k, 1001 + 2 * k) for k in range(300)]
+        scratch = Scratch(spark, "t")
+        got = {x.node: x.root for x in components(scratch.save(spark.createDataFrame(edges, "a bigint, b bigint"), "edges"), scratch).collect()}
+        assert got == {k: 0 for k in range(301)} | {k: k - k % 2 for k in range(1000, 1600)}
+        docs = [(i, " ".join(f"w{i // 2 * 1000 + k}" for k in range(100 + i % 2))) for i in range(400)]
+        kept = simhash.drop_near_copies(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+        assert sorted(x.doc_id for x in kept) == list(range(0, 400, 2))
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    most = spark.sparkContext.defaultParallelism
+    assert all(n <= most for name, n in written.items() if name not in ("profiles", "hubbed", "edges")) and len(written) > 10
