@@ -63,6 +63,16 @@ def test_tables_graphs_and_results_round_trip(spark, tmp_path):
     assert [x["query_id"] for x in lines] == ["q2", "q1"]
 
 
+def test_graphs_in_parts_are_read_whole(spark, tmp_path):
+    edge = '<edge source="{0}" target="{1}"><data key="relation">r</data></edge>'
+    parts = ['<graphml><graph edgedefault="directed">', '<node id="A"></node>', edge.format("A", "B"), edge.format("B &amp; C", "D"), edge.format("E", "F"), "</graph></graphml>"]
+    (tmp_path / "g").mkdir()
+    for k in range(3):
+        (tmp_path / "g" / f"part-{k}.txt").write_text("\n".join(parts[2 * k : 2 * k + 2]) + "\n")
+    back = S.read_graphml(spark, str(tmp_path / "g")).collect()
+    assert sorted((r.src, r.dst, r.fields["relation"]) for r in back) == [("A", "B", "r"), ("B & C", "D", "r"), ("E", "F", "r")]
+
+
 def test_stream_is_idempotent(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     docs = spark.createDataFrame([(1, "One sentence here. And another."), (2, "Second text.")], "doc_id bigint, text string")
