@@ -18,9 +18,18 @@ BUDGET, OVERLAP = 280, 1
 CHUNK = "array<struct<text:string,num_tokens:int>>"
 
 
+#: A line that begins a section.
+HEADING = "(?m)^(#{1,6})[ \\t]+([^\\n]*)$"
+
+
+def heading_words(text: Column) -> Column:
+    """Words of the heading lines, marks included: no chunk's text has them."""
+    return F.aggregate(F.regexp_extract_all(text, F.lit(HEADING), F.lit(0)), F.lit(0), lambda n, line: n + T.word_count(line))
+
+
 def sections(text: Column) -> Column:
     """Array of (title, body): headings ``#`` to ``######`` begin a section; text before the first has no title; empty bodies go."""
-    marked = F.regexp_replace(text, "(?m)^(#{1,6})[ \\t]+([^\\n]*)$", "\u0001$2\u0002")
+    marked = F.regexp_replace(text, HEADING, "\u0001$2\u0002")
     parts = F.split(marked, "\u0001")
 
     def part(p: Column, i: Column) -> Column:
@@ -79,10 +88,15 @@ def pack(sentences: Column, budget: int = BUDGET, overlap: int = OVERLAP) -> Col
     return T.bind(sentences, packed)
 
 
+def pieces(text: Column, budget: int = BUDGET, overlap: int = OVERLAP) -> Column:
+    """Array of (section, text, num_tokens): the chunks of a text, section by section."""
+    parts = F.transform(sections(text), lambda s: F.transform(pack(section_sentences(s["body"]), budget, overlap), lambda c: F.struct(s["title"].alias("section"), c["text"].alias("text"), c["num_tokens"].alias("num_tokens"))))
+    return F.flatten(parts)
+
+
 def chunks(docs: DataFrame, budget: int = BUDGET, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, pos, chunk_id, section, text, num_tokens; positions go on across sections."""
-    parts = F.transform(sections(F.col("text")), lambda s: F.transform(pack(section_sentences(s["body"]), budget, overlap), lambda c: F.struct(s["title"].alias("section"), c["text"].alias("text"), c["num_tokens"].alias("num_tokens"))))
-    out = docs.select("doc_id", F.posexplode(F.flatten(parts)).alias("pos", "c"))
+    out = docs.select("doc_id", F.posexplode(pieces(F.col("text"), budget, overlap)).alias("pos", "c"))
     return out.select("doc_id", "pos", chunk_id(F.col("doc_id"), F.col("pos")).alias("chunk_id"), "c.section", "c.text", "c.num_tokens")
 
 

@@ -192,11 +192,10 @@ def chk09(spark, d):
 
 @query("chk11_conservation", f"SELECT doc_id, {words_sql('text')} AS words, true AS whole FROM documents")
 def chk11(spark, d):
-    """Chunks without overlap have the words that the document had."""
-    docs = table(spark, d, "documents")
-    again = C.chunks(docs, 60, 0).groupBy("doc_id").agg(F.sum("num_tokens").alias("n"))
-    own = docs.select("doc_id", T.word_count(F.col("text")).alias("words"))
-    return own.join(again, "doc_id").select("doc_id", "words", (F.col("n") == F.col("words")).alias("whole"))
+    """Chunks without overlap and headings have the words that the document had; row by row, so that documents without chunks stay."""
+    text = F.coalesce("text", F.lit(""))
+    n = F.aggregate(C.pieces(text, 60, 0), F.lit(0), lambda n, c: n + c["num_tokens"]) + C.heading_words(text)
+    return table(spark, d, "documents").select("doc_id", T.word_count(text).alias("words"), n.alias("n")).select("doc_id", "words", (F.col("n") == F.col("words")).alias("whole"))
 
 
 @query("chk12_grouped_chunks", "SELECT source, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM documents GROUP BY source")

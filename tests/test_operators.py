@@ -196,3 +196,13 @@ def test_components_of_long_chains_are_whole(spark):
     chain = [(a, b) for a, b in zip(names, names[1:])] + [("x1", "x2")]
     got = {(x.node, x.root) for x in G.components(spark.createDataFrame(chain, "src string, dst string")).collect()}
     assert got == {(n, "n000") for n in names} | {("x1", "x1"), ("x2", "x1")}
+
+
+def test_conservation_counts_headings_and_keeps_documents_without_chunks(spark, tmp_path):
+    from quarry.registry import QUERIES
+
+    texts = ["One two. Three\n#  Four five\nSix. Seven", "## Only a title", "", " \n", None, "#\tA\n# B\nC d.", "####### no heading", "Twice here.", "Twice here."]
+    docs = spark.createDataFrame([(min(k, 7), t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["chk11_conservation"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.words, r.whole) for r in got) == [(0, 8, True), (1, 4, True), (2, 0, True), (3, 0, True), (4, 0, True), (5, 6, True), (6, 3, True), (7, 2, True), (7, 2, True)]
