@@ -46,15 +46,9 @@ def each_block(spark, d, search: Callable[[Block], DataFrame]) -> DataFrame:
 
 def pool(spark, d, k: int = K) -> DataFrame:
     """The k best by the first encoder, with the scores of the two others."""
-    kept = rows(spark, d).withColumn("v", F.col("embedding"))
-    part = lambda a: F.round(V.dot(F.slice("v", a, 32), F.slice("x", a, 32)), DIGITS)
-
-    def one(q: Block) -> DataFrame:
-        vectors = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in q], "query_id bigint, x array<double>")
-        p = V.search(kept, q, k, digits=DIGITS).join(F.broadcast(vectors), "query_id")  # at most MAX_QUERIES rows
-        return p.withColumns({"second": part(1), "third": part(33)}).drop("v", "x")
-
-    return each_block(spark, d, one)
+    halves = {"second": (0, 32), "third": (32, 64)}
+    p = each_block(spark, d, lambda q: V.search(rows(spark, d), q, k, digits=DIGITS, parts=halves))
+    return p.withColumns({c: F.round(c, DIGITS) for c in halves})
 
 
 def other(spark, d, k: int = K) -> DataFrame:
